@@ -15,7 +15,21 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), window=35)
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.tokens import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
+    "op3_packing": op3_packing,
+    "op9_token_counts": op9_token_counts,
     "op2_substring_dedup": op2_substring_dedup,
 }
 
