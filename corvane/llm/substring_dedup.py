@@ -6,9 +6,9 @@ half, into a new symbol. A name is a 64-bit hash of the parts and the round, so
 the same in every text of the corpus without a dictionary. Which symbols join depends only
 on the symbols themselves; equal substrings hence get equal symbols but for a few at their
 two ends. For a window of ``window`` words the symbols that the window alone determines are
-what is left after dropping the outermost symbol at each side in each round; the longest of
-them in the last round that leaves several is the window's anchor. Equal windows have equal
-anchors. Consecutive windows with one anchor make a block of at most ``window`` windows.
+what is left after dropping the outermost symbol at each side in each round. In the last
+round that leaves several, the inner one of least hash, named together with its two
+neighbours, is the window's anchor. Equal windows have equal anchors. Consecutive windows with one anchor make a block of at most ``window`` windows.
 
 Spark then counts anchor names over the corpus. A name seen once clears its windows. Where
 all blocks of a name are equal, their windows repeat. Only for the other names are single
@@ -28,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.scratch import written
+from corvane.llm.scratch import drop, written
 from corvane.llm.words import mix, powers, spans_hash, words
 
 _U = np.uint64
 #: Rounds of recompression; a window keeps the last round that leaves it LEAST symbols.
-ROUNDS, LEAST = 6, 4
+ROUNDS, LEAST = 3, 4
+#: Stands for a null doc_id.
+NO_ID = -(2**63)
 
 _BLOCKS = "key int, doc_id long, start int, n int, name long, block long"
 
@@ -60,22 +62,23 @@ def anchors(h: np.ndarray, row: np.ndarray, window: int) -> tuple[np.ndarray, np
     level_names, level_row, level_first = h, row, np.arange(n, dtype=np.int64)
     pending = np.flatnonzero(valid)
     low, high = low[pending], high[pending]
-    for turn in range(ROUNDS):
-        new = _round(level_names, level_row, turn)
-        low_up, high_up = new[low] + 1, new[high - 1]
-        stays = high_up - low_up >= LEAST if turn < ROUNDS - 1 else np.zeros(len(low), bool)
+    for turn in range(ROUNDS + 1):
+        stays = np.zeros(len(low), dtype=bool)
+        if turn < ROUNDS:
+            new = _round(level_names, level_row, turn)
+            low_up, high_up = new[low] + 1, new[high - 1]
+            stays = high_up - low_up >= LEAST
         ends = ~stays
         if ends.any():
-            size = np.diff(np.append(level_first, n)).astype(np.uint64)
-            key = ((_U(1023) - np.minimum(size, _U(1023))) << _U(54)) | (mix(level_names) >> _U(10))
-            a, b = low[ends], high[ends]
-            at = _least(key, a, b)
+            inner = np.arange(1, len(level_names) - 1)
+            named = spans_hash(level_names, inner - 1, inner + 2) ^ _U(turn)
+            at = _least(mix(level_names ^ _U(0x5851F42D4C957F2D)), low[ends] + 1, high[ends] - 1)
             where = pending[ends]
-            anchor[where] = mix(level_names[at] + _U(turn + 1))
+            anchor[where] = named[at - 1]
             place[where] = level_first[at] * (ROUNDS + 1) + turn
-        pending, low, high = pending[stays], low_up[stays], high_up[stays]
-        if not len(pending):
+        if not stays.any():
             break
+        pending, low, high = pending[stays], low_up[stays], high_up[stays]
         begins = np.flatnonzero(np.diff(new, prepend=-1))
         level_names = spans_hash(level_names, begins, np.append(begins[1:], len(new))) ^ _U(turn + 1)
         level_row, level_first = level_row[begins], level_first[begins]
@@ -177,7 +180,7 @@ def _kept(batches: Iterator[pa.RecordBatch], window: int, with_text: bool) -> It
 def remove_repeats(docs: DataFrame, window: int = 35, with_text: bool = False) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): its words without those of any window seen elsewhere too.
 
-    A window is ``window`` (2 to 64) consecutive words of one text. Every occurrence is removed,
+    A window is ``window`` (3 to 64) consecutive words of one text. Every occurrence is removed,
     also within one text; windows are judged on the input. Columns: doc_id, n_words, n_removed,
     kept_sha256 (of the kept words joined by one space), and kept_text if ``with_text``.
 
@@ -185,11 +188,11 @@ def remove_repeats(docs: DataFrame, window: int = 35, with_text: bool = False) -
     gives an empty result; repeated rows repeat each other; further columns are ignored. Rows
     are told apart by doc_id and a hash of both columns, so null or repeated ids do no harm.
     """
-    if not 2 <= window <= 64:
-        raise ValueError("window must be between 2 and 64 words")
+    if not 3 <= window <= 64:
+        raise ValueError("window must be between 3 and 64 words")
     powers(1)
-    base = docs.select(F.hash("doc_id", "text").alias("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), "text", F.col("doc_id").isNull().alias("no_id"))
-    blocks = written(base.select("key", "doc_id", "text").mapInArrow(lambda x: _blocks(x, window), _BLOCKS), "blocks")
+    base = docs.select(F.hash("doc_id", "text").alias("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
+    blocks = written(base.mapInArrow(lambda x: _blocks(x, window), _BLOCKS), "blocks")
     names = (
         blocks.groupBy("name")
         .agg(F.count("*").alias("c"), F.min("block").alias("low"), F.max("block").alias("high"))
@@ -197,6 +200,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, with_text: bool = False) -
         .select("name", (F.col("low") == F.col("high")).alias("equal"))
     )
     shared = written(blocks.join(names, "name"), "shared")
+    drop(blocks)
     whole = F.when(F.col("n") >= 64, F.lit(-1).cast("long")).otherwise(F.expr("shiftleft(1L, n) - 1L"))
     # Keys are structs: a hot name is then dealt anew by its blocks instead of staying in the task of its name.
     kinds = (
@@ -206,8 +210,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, with_text: bool = False) -
     )
     kinds = written(kinds.select("id.name", "id.block", "c", "at.*"), "kinds")
     wanted = kinds.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "n", "name", "block")).alias("wanted"))
-    texts = base.select("doc_id", "key", "text", "no_id")
-    windows = texts.join(wanted, ["doc_id", "key"]).select("text", "wanted").mapInArrow(lambda x: _windows(x, window), "name long, block long, offset int, hash long")
+    windows = base.join(wanted, ["doc_id", "key"]).select("text", "wanted").mapInArrow(lambda x: _windows(x, window), "name long, block long, offset int, hash long")
     again = windows.groupBy("name", "hash").agg(F.min("block").alias("low"), F.max("block").alias("high")).filter("low <> high").select("name", "hash")
     masks = (
         windows.join(again, ["name", "hash"])
@@ -217,12 +220,11 @@ def remove_repeats(docs: DataFrame, window: int = 35, with_text: bool = False) -
     )
     copied = kinds.filter("c > 1").select("name", "block", whole.alias("all"))
     masks = copied.join(masks, ["name", "block"], "full").select("name", "block", F.coalesce("all", "mask").alias("mask"))
-    masks = written(masks, "masks")
     places = shared.filter("equal").select("doc_id", "key", "start", whole.alias("mask")).unionByName(
         shared.filter("NOT equal").join(masks, ["name", "block"]).select("doc_id", "key", "start", "mask")
     )
     # Repeated rows find each place once for each of them.
     places = places.groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "mask")).alias("places"))
-    out = texts.join(places, ["doc_id", "key"], "left").select(F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "text", "places")
+    out = base.join(places, ["doc_id", "key"], "left").select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "text", "places")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     return out.mapInArrow(lambda x: _kept(x, window, with_text), schema)
