@@ -21,6 +21,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), k=3, part=85, whole=100)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvane.llm.tokens import count_tokens
 
@@ -29,6 +35,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_packing": op3_packing,
+    "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op9_token_counts": op9_token_counts,
     "op2_substring_dedup": op2_substring_dedup,
 }

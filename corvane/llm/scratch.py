@@ -25,6 +25,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """Bound what a Python worker holds at once: long texts come in batches of ``rows`` at most."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(df.sparkSession.conf.get(key)) > rows:
+        df.sparkSession.conf.set(key, rows)
+    return df
+
+
 def drop(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`written` that no later step reads."""
     spark = df.sparkSession

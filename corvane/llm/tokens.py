@@ -22,6 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
+from corvane.llm.scratch import small_batches
 from corvane.llm.words import chunks, utf8
 
 VOCABULARY = "word_bpe_49k.json"
@@ -159,4 +160,4 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 2048) ->
     repeated rows and null ids stay as they are, an empty table gives an empty result, further
     columns are ignored.
     """
-    return docs.select("doc_id", "text").mapInArrow(lambda x: _counted(x, path, limit), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(lambda x: _counted(x, path, limit), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
