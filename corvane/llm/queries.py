@@ -21,12 +21,24 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.secrets import find_secrets
+
+    return find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvane.llm.near_dedup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), k=3, part=85, whole=100)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.toxicity import score_toxicity
+
+    return score_toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvane.llm.tokens import count_tokens
 
@@ -35,7 +47,9 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_packing": op3_packing,
+    "op4_secret_scans": op4_secret_scans,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op8_toxicity": op8_toxicity,
     "op9_token_counts": op9_token_counts,
     "op2_substring_dedup": op2_substring_dedup,
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,7 +27,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """Bound what a Python worker holds at once: long texts come in batches of ``rows`` at most."""
+    """Bound what a Python worker holds at once: long texts come in batches of ``rows`` at most.
+
+    Workers on this machine also learn where this package lies; a cluster gets it by --py-files.
+    """
+    df.sparkSession.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(df.sparkSession.conf.get(key)) > rows:
         df.sparkSession.conf.set(key, rows)

@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.scratch import drop, written
-from corvane.llm.words import mix, powers, spans_hash, words
+from corvane.llm.scratch import drop, small_batches, written
+from corvane.llm.words import mix, spans_hash, words
 
 _U = np.uint64
 #: Rounds of recompression; a window keeps the last round that leaves it LEAST symbols.
@@ -190,7 +190,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, with_text: bool = False) -
     """
     if not 3 <= window <= 64:
         raise ValueError("window must be between 3 and 64 words")
-    powers(1)
+    small_batches(docs)
     base = docs.select(F.hash("doc_id", "text").alias("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
     blocks = written(base.mapInArrow(lambda x: _blocks(x, window), _BLOCKS), "blocks")
     names = (
