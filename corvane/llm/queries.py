@@ -33,6 +33,12 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), k=3, part=85, whole=100)
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.html_text import extract_main_text
+
+    return extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvane.llm.toxicity import score_toxicity
 
@@ -49,6 +55,7 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op4_secret_scans": op4_secret_scans,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op7_html_extraction": op7_html_extraction,
     "op8_toxicity": op8_toxicity,
     "op9_token_counts": op9_token_counts,
     "op2_substring_dedup": op2_substring_dedup,
