@@ -33,6 +33,12 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), k=3, part=85, whole=100)
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.embedding_dedup import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"), cosine=0.98)
+
+
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvane.llm.html_text import extract_main_text
 
@@ -55,6 +61,7 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op4_secret_scans": op4_secret_scans,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_html_extraction": op7_html_extraction,
     "op8_toxicity": op8_toxicity,
     "op9_token_counts": op9_token_counts,
