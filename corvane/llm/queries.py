@@ -9,6 +9,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.line_dedup import remove_boilerplate
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return remove_boilerplate(docs).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvane.llm.substring_dedup import remove_repeats
 
@@ -57,7 +64,20 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op3_packing": op3_packing,
     "op4_secret_scans": op4_secret_scans,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
@@ -66,6 +86,19 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_token_counts": op9_token_counts,
     "op2_substring_dedup": op2_substring_dedup,
+    "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "pipeline": pipeline,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": r"""
+        WITH d AS (SELECT doc_id, source, string_split(text, chr(10)) AS lines, row_number() OVER () AS rn FROM documents),
+        l AS (SELECT rn, doc_id, source, unnest(lines) AS line, generate_subscripts(lines, 1) AS place FROM d),
+        k AS (SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS t FROM l),
+        b AS (SELECT t, min(doc_id) AS first FROM k WHERE t <> '' GROUP BY t HAVING count(DISTINCT source) >= 10),
+        j AS (SELECT k.*, coalesce(k.doc_id <> b.first, FALSE) AS gone FROM k LEFT JOIN b ON k.t = b.t)
+        SELECT doc_id, count(*) FILTER (t <> '') AS n_lines, count(*) FILTER (gone) AS n_removed,
+               coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '') AS text
+        FROM j GROUP BY rn, doc_id
+    """,
+}

@@ -191,3 +191,18 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     small_batches(docs)
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int, worst_sentence string"
     return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(lambda x: _scored(x, model), schema)
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that are not predicted toxic; see :func:`score_toxicity`."""
+    model = train(docs, labels, sample)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text")
+            none = pa.nulls(batch.num_rows, pa.int64())
+            plain = pa.RecordBatch.from_arrays([none, pa.nulls(batch.num_rows, pa.bool_()), texts], names=["doc_id", "held_out", "text"])
+            predicted = [p for part in _scored(iter([plain]), model) for p in part.column("predicted").to_pylist()]
+            yield batch.filter(pa.array([not p for p in predicted], pa.bool_()))
+
+    return small_batches(docs).mapInArrow(clean, docs.schema)
