@@ -2,20 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from corvane.plans import graph, series, supply  # noqa: F401  each registers its queries
+from corvane.plans.registry import ORACLE_SQL, QUERIES
 
+FLAGSHIP = QUERIES["mode_share"]
 
-def mode_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of each event type among all events."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    per_type = events.groupBy("event_type").agg(F.count("*").alias("n"))
-    total = per_type.agg(F.sum("n").alias("total"))
-    return per_type.crossJoin(total).select("event_type", "n", (F.col("n") / F.col("total")).alias("share"))
-
-
-FLAGSHIP = mode_share
-QUERIES = {"mode_share": mode_share}
-ORACLE_SQL = {
-    "mode_share": "SELECT event_type, count(*) AS n, count(*) / sum(count(*)) OVER () AS share FROM events GROUP BY event_type",
-}
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
