@@ -75,24 +75,25 @@ def fit(texts: list[str | None], labels: list[int], share: float, turns: int = 2
     y = np.asarray(labels, dtype=np.float64)
     if not len(y) or y.min() == y.max():
         return Model(weights, -20.0)
-    bag, instance, feature = [], [], []
-    seen = 0
-    for w in words(pa.array(texts, pa.string())):
-        row, sentence = w.row_of() + w.first, sentences(w)
-        for numbers in features(w):
-            has = numbers >= 0
-            bag.append(row[has])
-            instance.append(sentence[has] + seen)
-            feature.append(numbers[has])
-        seen += int(sentence[-1]) + 1 if len(sentence) else 0
-    bag, instance, feature = (np.concatenate(x) for x in (bag, instance, feature))
-    pairs = np.unique((bag << BITS) | feature)
-    row, number = pairs >> BITS, pairs & ((1 << BITS) - 1)
+    # Twice over the texts, part by part: first to count texts with each feature, then to keep the few that tell.
+    column = pa.array(texts, pa.string())
     n1, n0 = y.sum(), (1 - y).sum()
-    pos, neg = (np.bincount(number, weights=v[row], minlength=1 << BITS) for v in (y, 1 - y))
+    pos, neg = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for w in words(column):
+        row = w.row_of()
+        seen = np.unique(np.concatenate([(row[numbers >= 0] << BITS) | numbers[numbers >= 0] for numbers in features(w)]))
+        toxic = y[w.first + (seen >> BITS)]
+        np.add.at(pos, seen & ((1 << BITS) - 1), toxic)
+        np.add.at(neg, seen & ((1 << BITS) - 1), 1 - toxic)
     kept = (_g(pos, neg, n1, n0) > LEAST_G) & (pos / n1 > neg / n0) & (pos + neg >= LEAST_TEXTS)
-    use = kept[feature]
-    pairs = np.unique(np.stack([instance[use], feature[use], bag[use]]), axis=1)
+    parts, before = [], 0
+    for w in words(column):
+        row, sentence = w.row_of() + w.first, sentences(w)
+        for numbers in features(w):
+            use = np.flatnonzero((numbers >= 0) & kept[numbers])
+            parts.append(np.stack([sentence[use] + before, numbers[use], row[use]]))
+        before += int(sentence[-1]) + 1 if len(sentence) else 0
+    pairs = np.unique(np.concatenate(parts, axis=1), axis=1) if parts else np.zeros((3, 0), np.int64)
     if not pairs.size:
         return Model(weights, -20.0)
     _, instance = np.unique(pairs[0], return_inverse=True)
