@@ -44,22 +44,24 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.unionByName(links.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
 
 
-def roots(parents: DataFrame, rounds: int = 40) -> DataFrame:
+def roots(parents: DataFrame) -> DataFrame:
     """node, root: where ``parents`` (node, parent) lead, by pointer jumping; nodes of a cycle end at its least node.
 
     A null parent or one that is no node ends a path.
     """
     known = parents.filter("parent IS NOT NULL AND parent <> node").groupBy("node").agg(F.min("parent").alias("root"))
     at = kept(known.withColumn("least", F.least("node", "root")))
-    for _ in range(rounds):
+    before = None
+    while True:
         further = at.select(F.col("node").alias("root"), F.col("root").alias("next"), F.col("least").alias("next_least"))
         joined = at.join(further, "root", "left")
-        moved = kept(joined.select("node", F.coalesce("next", "root").alias("root"), F.least("least", "next_least").alias("least"), F.col("next").isNotNull().alias("moves")))
-        n = moved.filter("moves").count()
-        at = moved.drop("moves")
-        if not n:
+        at = kept(joined.select("node", F.coalesce("next", "root").alias("root"), F.least("least", "next_least").alias("least"), F.col("next").isNotNull().alias("moves")))
+        # Each round ends some path while any has an end, and spreads a cycle's least node until all have it.
+        now = tuple(at.agg(F.count_if("moves"), F.sum(F.xxhash64("least").cast("decimal(38,0)"))).first())
+        at = at.drop("moves")
+        if not now[0] or now == before:
             break
-    # After 2**rounds steps a path still moving can only be in a cycle; the least node seen names it.
+        before = now
     in_cycle = at.join(at.select(F.col("node").alias("root")), "root", "left_semi").select("node", F.col("least").alias("root"))
     ends = at.join(at.select(F.col("node").alias("root")), "root", "left_anti").select("node", "root")
     tops = parents.select("node").distinct().join(at.select("node"), "node", "left_anti").select("node", F.col("node").alias("root"))
