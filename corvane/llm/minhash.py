@@ -102,3 +102,12 @@ def overlapping(batches: Iterator[pa.RecordBatch], k: int, part: int, whole: int
             keep.append((whole * common >= part * together) & (common > 0))
         if keep:
             yield batch.select(["a", "b"]).filter(pa.array(np.concatenate(keep)))
+
+
+def shingled(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """id, n, component and each distinct shingle of its text."""
+    for batch in batches:
+        for w in words(batch.column("text")):
+            row, h, _ = distinct(*shingles(w, k))
+            at = pa.array(row + w.first)
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("n").take(at), batch.column("component").take(at), pa.array(h.view(np.int64))], names=["id", "n", "component", "shingle"])

@@ -2,9 +2,11 @@
 
 Texts with the same set of shingles are one class, which its least id stands for; copies are
 never paired. Classes that agree in a band share a bucket. A bucket is not expanded into all
-pairs: first every class is held against the bucket's least one, and those that pass are
-joined. Only classes of a bucket that are then still in different components are compared with
-each other, since inside a component a further link changes nothing.
+pairs: first every class is held against the bucket's most central one (that shares most bands
+with others), and those that pass are joined. What is then still in different components of one
+bucket is compared by its rarest shingles: two sets that link must share one among the first
+few in a common order from rare to frequent, and what a copy has of its own comes first there.
+This finds every further link, and inside a component a further link changes nothing.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.components import components
-from corvane.llm.minhash import overlapping, signed
+from corvane.llm.minhash import overlapping, shingled, signed
 from corvane.llm.scratch import drop, small_batches, written
 
 #: 30 bands of 5 miss a pair of similarity 0.8 with probability 7e-6, one of 0.85 with 3e-8.
@@ -26,6 +28,27 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, part: int, whole: int)
     return held.select("a", "b", "text_a", "text_b").mapInArrow(lambda x: overlapping(x, k, part, whole), "a long, b long")
 
 
+def _rare_pairs(sets: DataFrame, k: int, part: int, whole: int) -> DataFrame:
+    """Pairs (a, b) of ``sets`` (id, n, component, text) of different components that can link: a prefix filter.
+
+    Sets of n and m shingles link only with a common part of ``need`` at least, so only if one of the first
+    n - need + 1 of the one, from rare to frequent, is among the first m - need + 1 of the other.
+    """
+    each = sets.select("id", "n", "component", "text").mapInArrow(lambda x: shingled(x, k), "id long, n long, component long, shingle long")
+    each = written(each, "shingles")
+    frequent = each.groupBy("shingle").agg(F.count("*").alias("df"), F.min("component").alias("low"), F.max("component").alias("high"))
+    ranked = each.join(frequent, "shingle").groupBy("id", "n", "component").agg(F.sort_array(F.collect_list(F.struct("df", "shingle", (F.col("low") != F.col("high")).alias("shared")))).alias("all"))
+    longest = F.col("n") - F.ceil(F.col("n") * part / whole) + 1
+    ranked = ranked.select("id", "n", "component", F.posexplode(F.slice("all", F.lit(1), longest.cast("int"))).alias("place", "x")).filter("x.shared")
+    ranked = written(ranked.select("id", "n", "component", "place", "x.shingle"), "prefixes")
+    drop(each)
+    a, b = ranked.alias("a"), ranked.alias("b")
+    need = F.ceil((F.col("a.n") + F.col("b.n")) * part / (whole + part))
+    fits = (F.col("a.place") <= F.col("a.n") - need) & (F.col("b.place") <= F.col("b.n") - need)
+    found = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.component") != F.col("b.component")) & fits)
+    return found.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, part: int = 80, whole: int = 100, bands: int = BANDS, width: int = WIDTH) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -43,32 +66,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, part: int = 80, whole: int = 10
     classes = sets.filter("n > 0 AND doc_id IS NOT NULL").groupBy("low", "high").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     classes = written(classes, "classes")
     members = classes.select("id", "n", F.explode("bands").alias("bucket")).distinct()
-    shared = members.groupBy("bucket").agg(F.count("*").alias("c"), F.min(F.struct("id", "n")).alias("first")).filter("c > 1").select("bucket", "first")
-    members = written(members.join(shared, "bucket").select("bucket", "id", "n", F.col("first.id").alias("first"), F.col("first.n").alias("first_n")), "members")
+    shared = members.groupBy("bucket").agg(F.count("*").alias("c")).filter("c > 1")
+    members = written(members.join(shared, "bucket"), "members")
+    central = members.groupBy("id").agg(F.sum("c").alias("weight"))
+    first = members.join(central, "id").groupBy("bucket").agg(F.min(F.struct((-F.col("weight")).alias("w"), "id", "n")).alias("first")).select("bucket", F.col("first.id").alias("first"), F.col("first.n").alias("first_n"))
     # A common part can't reach the threshold where one set is too large for the other.
     alike = F.least("n", "first_n") * whole >= F.greatest("n", "first_n") * part
-    wanted = members.select("id").distinct()
-    texts = written(base.withColumnRenamed("doc_id", "id").join(wanted, "id", "left_semi"), "texts")
-    pairs = members.filter("id <> first").filter(alike).select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
+    texts = written(base.withColumnRenamed("doc_id", "id").join(central.select("id"), "id", "left_semi"), "texts")
+    pairs = members.join(first, "bucket").filter("id <> first").filter(alike).select(F.least("first", "id").alias("a"), F.greatest("first", "id").alias("b")).distinct()
     links = written(_verified(pairs, texts, k, part, whole), "links")
-
-    # Buckets whose classes are still apart: each class of a smaller component there against the classes of other components.
     joined = components(links)
-    placed = members.join(joined, "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("component"))
-    placed = written(placed, "placed")
-    sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("c"))
-    mixed = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("c", "component")).alias("largest")).filter("parts > 1").select("bucket", F.col("largest.component").alias("largest"))
-    apart = written(placed.join(mixed, "bucket"), "apart")
-    drop(placed)
-    left = apart.filter("component <> largest").select("bucket", F.col("id").alias("a"), F.col("n").alias("first_n"), F.col("component").alias("part"), "largest")
-    pairs = (
-        left.join(apart.select("bucket", "id", "n", "component"), "bucket")
-        .filter("part <> component AND (component = largest OR a < id)")
-        .filter(alike)
-        .select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
-        .distinct()
-    )
-    more = written(_verified(pairs, texts, k, part, whole), "links")
+    placed = members.filter("c > 2").join(joined, "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("component"))
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("bucket")
+    apart = placed.join(mixed, "bucket").groupBy("id").agg(F.first("n").alias("n"), F.first("component").alias("component"))
+    more = written(_verified(_rare_pairs(texts.join(apart, "id"), k, part, whole), texts, k, part, whole), "links")
     joined = components(links.unionByName(more))
     of = classes.join(joined, "id", "left").select("low", "high", F.coalesce("component", "id").alias("component_id"))
     out = sets.drop("bands").join(of, ["low", "high"], "left")
