@@ -3,7 +3,7 @@
 Unit vectors of cosine c lie at squared distance 2 - 2c. After one rotation, the same for all
 vectors of a length, the coordinates are split into blocks and the allowed squared distance is
 dealt to the blocks in proportion to their size: two vectors within the whole distance are
-within its share in one block at least. Each block is a range join: a grid over its first two
+within its share in one block at least. Each block is a range join: a grid over its first
 coordinates, each vector at home in one cell and sent to every cell that its range reaches,
 and the block's exact distance as the join's condition. What passes in any block is verified by
 the cosine of the given components in double precision, so that no link is lost or added.
@@ -27,7 +27,12 @@ from corvane.llm.scratch import small_batches, written
 #: Coordinates of a block, and width of a grid cell in ranges.
 BLOCK, CELL = 8, 3.0
 
-_PLACED = "label long, size int, part int, x long, y long, id long, near array<double>, norm double, vector array<double>"
+#: Coordinates of a block that the grid is over.
+GRID = 3
+
+_NEAR = [f"n{i}" for i in range(BLOCK)]
+_KEY = ["label", "size", "part", *(f"c{i}" for i in range(GRID))]
+_PLACED = "label long, size int, part int, " + ", ".join(f"c{i} int" for i in range(GRID)) + ", id long, budget double, " + ", ".join(f"{n} double" for n in _NEAR) + ", norm double, vector array<double>"
 
 
 @lru_cache(maxsize=8)
@@ -50,23 +55,24 @@ def _placed(batches: Iterator[pa.RecordBatch], cosine: float, spread: bool) -> I
             turned = (v / norm[:, None]) @ rotation(int(size))
             for part, low in enumerate(range(0, size, BLOCK)):
                 near = turned[:, low : low + BLOCK]
-                reach = np.sqrt((2 - 2 * cosine) * near.shape[1] / size + 1e-9)
-                grid = near[:, :2] if near.shape[1] > 1 else np.column_stack([near, near])
-                which = np.arange(len(rows))
-                if spread:
-                    first, last = (np.floor((grid + s * reach) / (CELL * reach)).astype(np.int64) for s in (-1, 1))
-                    cells = [np.column_stack([x, y]) for x in (first[:, 0], last[:, 0]) for y in (first[:, 1], last[:, 1])]
-                    fresh = [np.ones(len(rows), bool), last[:, 1] > first[:, 1], last[:, 0] > first[:, 0], (last > first).all(axis=1)]
-                    which = np.concatenate([np.flatnonzero(f) for f in fresh])
-                    cell = np.concatenate([c[f] for c, f in zip(cells, fresh, strict=True)])
-                else:
-                    cell = np.floor(grid / (CELL * reach)).astype(np.int64)
+                budget = (2 - 2 * cosine) * near.shape[1] / size + 1e-9
+                # A shorter last block is filled up with zeros, which lie at no distance.
+                near = np.pad(near, ((0, 0), (0, BLOCK - near.shape[1])))
+                width = CELL * np.sqrt(budget)
+                first, last = (np.floor((near[:, :GRID] + s * np.sqrt(budget) * spread) / width).astype(np.int32) for s in (-1, 1))
+                which, cells = [], []
+                for corner in np.ndindex(*(2,) * GRID):
+                    far = np.array(corner, dtype=bool)
+                    fresh = np.flatnonzero((last > first)[:, far].all(axis=1))
+                    which.append(fresh)
+                    cells.append(np.where(far, last[fresh], first[fresh]))
+                which, cell = np.concatenate(which), np.concatenate(cells)
                 n = len(which)
-                lists_of = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, m.shape[1], dtype=np.int32)), pa.array(m.ravel()))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(labels[rows][which].astype(np.int64)), pa.array(np.full(n, size, np.int32)), pa.array(np.full(n, part, np.int32)), pa.array(cell[:, 0]), pa.array(cell[:, 1]), pa.array(ids[rows][which].astype(np.int64)), lists_of(near[which]), pa.array(norm[which]), lists_of(v[which])],
-                    names=["label", "size", "part", "x", "y", "id", "near", "norm", "vector"],
-                )
+                flat = v[which]
+                arrays = [pa.array(labels[rows][which].astype(np.int64)), pa.array(np.full(n, size, np.int32)), pa.array(np.full(n, part, np.int32)), *(pa.array(c) for c in cell.T)]
+                arrays += [pa.array(ids[rows][which].astype(np.int64)), pa.array(np.full(n, budget)), *(pa.array(c) for c in near[which].T), pa.array(norm[which])]
+                arrays.append(pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, size, dtype=np.int32)), pa.array(flat.ravel())))
+                yield pa.RecordBatch.from_arrays(arrays, names=[*_KEY, "id", "budget", *_NEAR, "norm", "vector"])
 
 
 def near_vectors(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
@@ -80,7 +86,6 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     with nothing. A null vec_id links with nothing, keeps a null component and is kept. Rows that repeat a
     vec_id count as so many vectors. An empty table gives an empty result; further columns are ignored.
     """
-    reach = F.lit(2 - 2 * cosine)
     base = small_batches(vectors).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("vector"))
     sound = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
     usable = F.coalesce(sound & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.lit(False))
@@ -89,11 +94,9 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     classes = written(base.filter(usable).groupBy("label", "vector").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "classes")
     home = classes.mapInArrow(lambda x: _placed(x, cosine, False), _PLACED).alias("a")
     sent = classes.mapInArrow(lambda x: _placed(x, cosine, True), _PLACED).alias("b")
-    key = ["label", "size", "part", "x", "y"]
-    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in key]
-    # The last block may be shorter: missing coordinates count as 0.
-    gap = sum((F.coalesce(F.get("a.near", F.lit(i)), F.lit(0.0)) - F.coalesce(F.get("b.near", F.lit(i)), F.lit(0.0))) ** 2 for i in range(BLOCK))
-    within = gap <= reach * F.size("a.near") / F.col("a.size") + 1e-9
+    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in _KEY]
+    gaps = [F.col(f"a.{n}") - F.col(f"b.{n}") for n in _NEAR]
+    within = sum((g * g for g in gaps[1:]), gaps[0] * gaps[0]) <= F.col("a.budget")
     dot = F.aggregate(F.zip_with("a.vector", "b.vector", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     links = home.join(sent, [*same, F.col("a.id") < F.col("b.id"), within]).filter(dot / (F.col("a.norm") * F.col("b.norm")) >= cosine)
     links = written(links.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct(), "links")

@@ -5,7 +5,7 @@ smallest encoding that holds it, and tests that its letters are drawn evenly and
 chi-squared over groups of the alphabet, the runs test about the alphabet's middle, and serial
 correlation. Fisher's sum of the three is small for random strings. How small it gets by
 chance depends on length; so for each class of lengths the corpus itself gives the null: the
-sums of runs of lower-case letters only, which are words. A class accepts the strings up to
+sums of runs of lower-case letters only, which are words, of that class and shorter ones. A class accepts the strings up to
 the largest sum at which the words expected among them stay below ``RATE`` of those accepted.
 """
 
@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -172,7 +173,7 @@ def find_secrets(docs: DataFrame, rate: float = RATE) -> DataFrame:
 
     Null or empty text: no spans, the digest of the empty string. Whole texts are read, however long. Repeated
     rows give equal rows and count each in the null; null ids stay null; an empty table gives an empty result;
-    further columns are ignored. A class of lengths without words accepts no random string.
+    further columns are ignored. A class of lengths with no words up to it accepts no random string.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -190,7 +191,7 @@ def find_secrets(docs: DataFrame, rate: float = RATE) -> DataFrame:
         .agg(F.count_if("r.word").alias("words"), F.count_if(~F.col("r.word")).alias("strings"))
         .collect()
     )
-    limits = {i: _limit([c for c in counts if c["length_class"] == i], rate) for i in range(len(LENGTHS))}
+    limits = {i: _limit(counts, i, rate) for i in range(len(LENGTHS))}
     random = F.filter("runs", lambda x: ~x["word"] & (x["step"] <= F.element_at(F.array(*(F.lit(limits[i]) for i in range(len(LENGTHS)))), x["length_class"] + 1)))
     added = F.transform(random, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(3).alias("kind")))
     name = F.array(*(F.lit(k) for k in KINDS))
@@ -199,13 +200,21 @@ def find_secrets(docs: DataFrame, rate: float = RATE) -> DataFrame:
     return scanned.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", spans.alias("spans"), F.size(random).cast("long").alias("n_random"))
 
 
-def _limit(counts: list, rate: float) -> int:
-    """The largest step at which the words expected among the strings accepted stay below ``rate`` of these; -1: none."""
-    words, strings = sum(c["words"] for c in counts), sum(c["strings"] for c in counts)
+def _limit(counts: list, kind: int, rate: float) -> int:
+    """The largest step at which the words expected among the strings of a class stay below ``rate`` of those accepted; -1: none.
+
+    Words of shorter classes join the null: shorter words look more random, so they never make it laxer.
+    """
+    words, strings = Counter(), Counter()
+    for c in counts:
+        if c["length_class"] <= kind:
+            words[c["step"]] += c["words"]
+        if c["length_class"] == kind:
+            strings[c["step"]] += c["strings"]
     best, low_words, low_strings = -1, 0, 0
-    for c in sorted(counts, key=lambda c: c["step"]):
-        low_words += c["words"]
-        low_strings += c["strings"]
-        if words and low_strings and (low_words + 1) / (words + 1) * strings <= rate * low_strings:
-            best = c["step"]
+    for step in sorted(words.keys() | strings.keys()):
+        low_words += words[step]
+        low_strings += strings[step]
+        if words.total() and low_strings and (low_words + 1) / (words.total() + 1) * strings.total() <= rate * low_strings:
+            best = step
     return best
