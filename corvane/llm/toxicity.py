@@ -28,6 +28,8 @@ SAMPLE = 4000
 BEGINNINGS = (4, 5, 7)
 #: A feature is kept if its G statistic against the label exceeds this and it occurs in so many texts.
 LEAST_G, LEAST_TEXTS = 12.0, 4
+#: Bytes of text that training works on at once.
+PART = 1 << 18
 
 _ENDS_SENTENCE = np.zeros(256, dtype=bool)
 _ENDS_SENTENCE[list(b".!?")] = True
@@ -69,17 +71,20 @@ def features(w: Words) -> list[np.ndarray]:
     return out
 
 
-def fit(texts: list[str | None], labels: list[int], share: float, turns: int = 200) -> Model:
-    """Train on labelled texts; ``share``: of toxic texts among all, which the sample may exaggerate."""
+def fit(texts: list[str | None] | pa.ChunkedArray, labels: list[int], share: float, turns: int = 200) -> Model:
+    """Train on labelled texts; ``share``: of toxic texts among all, which the sample may exaggerate.
+
+    Runs on the driver over a bounded sample, in parts of ``PART`` bytes so that it holds little at once.
+    """
     weights = np.zeros(1 << BITS, dtype=np.float32)
     y = np.asarray(labels, dtype=np.float64)
     if not len(y) or y.min() == y.max():
         return Model(weights, -20.0)
     # Twice over the texts, part by part: first to count texts with each feature, then to keep the few that tell.
-    column = pa.array(texts, pa.string())
+    column = texts if isinstance(texts, pa.ChunkedArray) else pa.array(texts, pa.string())
     n1, n0 = y.sum(), (1 - y).sum()
     pos, neg = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    for w in words(column):
+    for w in words(column, PART):
         row = w.row_of()
         seen = np.unique(np.concatenate([(row[numbers >= 0] << BITS) | numbers[numbers >= 0] for numbers in features(w)]))
         toxic = y[w.first + (seen >> BITS)]
@@ -87,7 +92,7 @@ def fit(texts: list[str | None], labels: list[int], share: float, turns: int = 2
         np.add.at(neg, seen & ((1 << BITS) - 1), 1 - toxic)
     kept = (_g(pos, neg, n1, n0) > LEAST_G) & (pos / n1 > neg / n0) & (pos + neg >= LEAST_TEXTS)
     parts, before = [], 0
-    for w in words(column):
+    for w in words(column, PART):
         row, sentence = w.row_of() + w.first, sentences(w)
         for numbers in features(w):
             use = np.flatnonzero((numbers >= 0) & kept[numbers])
@@ -176,7 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     # At most 2 * sample rows: a bounded table, so it may be broadcast.
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").orderBy("doc_id", "text").toArrow()
     total = sum(counts.values())
-    return fit(rows.column("text").to_pylist(), rows.column("toxic").to_pylist(), counts.get(1, 0) / total if total else 0.0)
+    return fit(rows.column("text"), rows.column("toxic").to_pylist(), counts.get(1, 0) / total if total else 0.0)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
