@@ -3,10 +3,12 @@
 The battery takes every run of at least ``SHORTEST`` letters of the usual encodings, infers the
 smallest encoding that holds it, and tests that its letters are drawn evenly and independently:
 chi-squared over groups of the alphabet, the runs test about the alphabet's middle, and serial
-correlation. Fisher's sum of the three is small for random strings. How small it gets by
-chance depends on length; so for each class of lengths the corpus itself gives the null: the
-sums of runs of lower-case letters only, which are words, of that class and shorter ones. A class accepts the strings up to
-the largest sum at which the words expected among them stay below ``RATE`` of those accepted.
+correlation. Fisher's sum of the three is small for random strings. How small it gets for
+text depends on length and encoding; ``secrets_null`` holds that null for both, fitted offline on
+strings made of words and numbers, so that it is the same for every corpus. It gives each string the
+probability that text looks as random, and Benjamini and Hochberg's rule accepts strings in each
+class of lengths so that at most ``RATE`` of them are expected to be text. Strings of lower-case
+letters alone are judged like all others.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.scratch import small_batches, written
+from corvane.llm.secrets_null import LEVELS, NULL
 from corvane.llm.words import chunks, utf8
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -38,10 +41,11 @@ LENGTHS = (20, 24, 28, 32, 40, 48, 64, 96)
 STEPS, TOP = 4, 60
 
 _RUN = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % SHORTEST)
-_WORD = re.compile(r"[a-z]+")
 _LETTERS = {
     "hex": "0123456789abcdef",
     "HEX": "0123456789ABCDEF",
+    "lower26": "abcdefghijklmnopqrstuvwxyz",
+    "upper26": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "lower36": "0123456789abcdefghijklmnopqrstuvwxyz",
     "upper36": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ",
@@ -49,6 +53,8 @@ _LETTERS = {
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
 }
+_ENCODINGS = tuple(_LETTERS)
+_HELD = tuple((k, frozenset(letters)) for k, letters in _LETTERS.items())
 _GROUPS = ("aeiou", "tnshrdlc", "bfgjkmpqvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "0123456789", "+/-_")
 _GROUP = np.full(128, len(_GROUPS), dtype=np.int64)
 for _i, _g in enumerate(_GROUPS):
@@ -94,13 +100,18 @@ def _normal(z: np.ndarray) -> np.ndarray:
     return _erfc(np.abs(z) / math.sqrt(2)).astype(float)
 
 
+def encoding(string: str) -> str:
+    """The smallest encoding that holds a string; base64url for a mixture that none holds."""
+    kinds = set(string)
+    return next((k for k, letters in _HELD if kinds <= letters), "base64url")
+
+
 def fisher(strings: list[str]) -> np.ndarray:
     """Fisher's sum of the three tests for each string (padding left out): small where the string looks random."""
     out = np.empty(len(strings))
     by: dict[str, list[int]] = {}
     for i, s in enumerate(strings):
-        kinds = set(s)
-        by.setdefault(next((k for k, letters in _LETTERS.items() if kinds <= set(letters)), "base64url"), []).append(i)
+        by.setdefault(encoding(s), []).append(i)
     for kind, which in by.items():
         letters = _LETTERS[kind]
         place = np.full(128, len(letters) // 2, dtype=np.int64)
@@ -157,7 +168,7 @@ def _scanned(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[p
             if waiting:
                 for (row, start, end, string), total in zip(waiting, fisher([w[3] for w in waiting]), strict=True):
                     kind = int(np.searchsorted(LENGTHS, len(string), side="right")) - 1
-                    runs[row].append({"start": start, "end": end, "length_class": kind, "step": int(min(total, TOP) * STEPS), "word": bool(_WORD.fullmatch(string))})
+                    runs[row].append({"start": start, "end": end, "length_class": kind, "step": int(min(total, TOP) * STEPS), "encoding": _ENCODINGS.index(encoding(string))})
         counts = [[sum(k == kind for *_, k in found) for found in base] for kind in KINDS[:3]]
         digests = [hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, e, k in found).encode()).hexdigest() for found in base]
         spans = [[{"start": s, "end": e, "kind": KINDS.index(k)} for s, e, k in found] for found in base]
@@ -172,27 +183,22 @@ def find_secrets(docs: DataFrame, rate: float = RATE) -> DataFrame:
     them, by start, then kind, comma-joined; code points, end exclusive. base_sha256 is of the fixed ones alone.
 
     Null or empty text: no spans, the digest of the empty string. Whole texts are read, however long. Repeated
-    rows give equal rows and count each in the null; null ids stay null; an empty table gives an empty result;
-    further columns are ignored. A class of lengths with no words up to it accepts no random string.
+    rows give equal rows and count each among the strings of their class; null ids stay null; an empty table gives
+    an empty result; further columns are ignored.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
     text = (
         f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_assign long, n_access long, n_hex long, base_sha256 string, "
-        "base array<struct<start: int, end: int, kind: int>>, runs array<struct<start: int, end: int, length_class: int, step: int, word: boolean>>"
+        "base array<struct<start: int, end: int, kind: int>>, runs array<struct<start: int, end: int, length_class: int, step: int, encoding: int>>"
     )
     schema = to_arrow_schema(_parse_datatype_string(text))
     scanned = written(small_batches(docs).select("doc_id", "text").mapInArrow(lambda x: _scanned(x, schema), text), "scanned")
-    # At most len(LENGTHS) * (TOP * STEPS + 1) rows of counts, whatever the corpus.
-    counts = (
-        scanned.select(F.explode("runs").alias("r"))
-        .groupBy("r.length_class", "r.step")
-        .agg(F.count_if("r.word").alias("words"), F.count_if(~F.col("r.word")).alias("strings"))
-        .collect()
-    )
-    limits = {i: _limit(counts, i, rate) for i in range(len(LENGTHS))}
-    random = F.filter("runs", lambda x: ~x["word"] & (x["step"] <= F.element_at(F.array(*(F.lit(limits[i]) for i in range(len(LENGTHS)))), x["length_class"] + 1)))
+    # At most len(LENGTHS) * len(_ENCODINGS) * (TOP * STEPS + 1) rows of counts, whatever the corpus.
+    counts = scanned.select(F.explode("runs").alias("r")).groupBy("r.length_class", "r.encoding", "r.step").agg(F.count("*").alias("strings")).collect()
+    limits = F.array(*(F.lit(limit) for kind in range(len(LENGTHS)) for limit in _limits(counts, kind, rate)))
+    random = F.filter("runs", lambda x: x["step"] <= F.element_at(limits, x["length_class"] * len(_ENCODINGS) + x["encoding"] + 1))
     added = F.transform(random, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(3).alias("kind")))
     name = F.array(*(F.lit(k) for k in KINDS))
     every = F.array_sort(F.transform(F.concat("base", added), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))))
@@ -200,21 +206,20 @@ def find_secrets(docs: DataFrame, rate: float = RATE) -> DataFrame:
     return scanned.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", spans.alias("spans"), F.size(random).cast("long").alias("n_random"))
 
 
-def _limit(counts: list, kind: int, rate: float) -> int:
-    """The largest step at which the words expected among the strings of a class stay below ``rate`` of those accepted; -1: none.
+def _limits(counts: list, kind: int, rate: float) -> list[int]:
+    """For each encoding the largest step that a class of lengths accepts (-1: none), by Benjamini and Hochberg's rule.
 
-    Words of shorter classes join the null: shorter words look more random, so they never make it laxer.
+    Each level of LEVELS takes the strings that text equals with that probability at most; the largest level counts
+    at which ``level`` times all strings of the class stays below ``rate`` of those taken.
     """
-    words, strings = Counter(), Counter()
+    at: dict[tuple[int, int], int] = defaultdict(int)
     for c in counts:
-        if c["length_class"] <= kind:
-            words[c["step"]] += c["words"]
         if c["length_class"] == kind:
-            strings[c["step"]] += c["strings"]
-    best, low_words, low_strings = -1, 0, 0
-    for step in sorted(words.keys() | strings.keys()):
-        low_words += words[step]
-        low_strings += strings[step]
-        if words.total() and low_strings and (low_words + 1) / (words.total() + 1) * strings.total() <= rate * low_strings:
-            best = step
+            at[c["encoding"], c["step"]] += c["strings"]
+    steps, total = [NULL[e][kind] for e in _ENCODINGS], sum(at.values())
+    best = [-1] * len(_ENCODINGS)
+    for i, level in enumerate(LEVELS):
+        taken = sum(n for (e, step), n in at.items() if step <= steps[e][i])
+        if taken and level * total <= rate * taken:
+            best = [s[i] for s in steps]
     return best

@@ -147,3 +147,16 @@ def test_pipeline(spark):
             assert docs.columns == before.columns and 0 < docs.count() <= before.count()
     assert docs.count() > 0
     assert not Path("/root/testdata/sf0.001/spark").exists()
+
+
+def test_random_strings_are_found_without_long_words(spark):
+    rng = random.Random(12)
+    prose = "the quick brown fox jumps over the lazy dog while nobody looks".split()
+    keys = ["".join(rng.choice(secrets._LETTERS[kind]) for _ in range(size)) for kind, size in (("base62", 40), ("lower26", 96), ("base64url", 64)) for _ in range(20)]
+    rows = [(i, " ".join(rng.choices(prose, k=30)) + (f" {keys[i]} end" if i < 60 else "")) for i in range(300)]
+    names = ["getUserNameFromTheDatabase", "internationalizationandlocalization", "usr/share/doc/python/library/html", "a_rather_long_name_of_a_function"]
+    rows += [(300 + i, f"see {name} for more") for i, name in enumerate(names)]
+    got = {r.doc_id: r.n_random for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(sum(got[i] for i in range(low, low + 20)) >= 17 for low in (0, 20, 40)) and sum(got[i] for i in range(60, 304)) == 0
+    few = spark.createDataFrame(rows[:1] + rows[60:90], "doc_id long, text string")
+    assert secrets.find_secrets(few).agg({"n_random": "sum"}).first()[0] == 1
