@@ -9,23 +9,42 @@ from corvane.operators import graph, transit
 from corvane.plans.registry import query, table
 
 
-def _trade(spark, sf_dir) -> DataFrame:
-    """Rare trades between a part and a supplier, as edges between numbers of one space."""
-    rows = table(spark, sf_dir, "lineitem").filter("l_quantity = 50 AND l_discount = 0.1").select("l_partkey", "l_suppkey").distinct()
+def _trade(spark, sf_dir, which: str = "true") -> DataFrame:
+    """Trades between a part and a supplier, as edges between numbers of one space: all, or those that a condition picks."""
+    rows = table(spark, sf_dir, "lineitem").filter(which).select("l_partkey", "l_suppkey").distinct()
     return rows.select((F.col("l_partkey") * 2).alias("src"), (F.col("l_suppkey") * 2 + 1).alias("dst"))
 
 
+#: The trades that the SQL of connected_components and node_degrees is about.
+_RARE = "l_quantity = 50 AND l_discount = 0.1"
 _EDGES = "e AS (SELECT DISTINCT l_partkey * 2 AS src, l_suppkey * 2 + 1 AS dst FROM lineitem WHERE l_quantity = 50 AND l_discount = 0.1), u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)"
 
 
 @query(f"""WITH RECURSIVE {_EDGES}, r(node, c) AS (SELECT src, src FROM u UNION SELECT u.dst, r.c FROM r JOIN u ON r.node = u.src) SELECT node, min(c) AS component FROM r GROUP BY 1""")
 def connected_components(spark, sf_dir):
-    return graph.components(_trade(spark, sf_dir))
+    return graph.components(_trade(spark, sf_dir, _RARE))
 
 
 @query(f"WITH {_EDGES} SELECT src AS node, count(*) AS degree FROM u GROUP BY 1")
 def node_degrees(spark, sf_dir):
-    return graph.undirected(_trade(spark, sf_dir)).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree"))
+    return _degrees(_trade(spark, sf_dir, _RARE))
+
+
+def _degrees(edges: DataFrame) -> DataFrame:
+    return graph.undirected(edges).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree"))
+
+
+@query()
+def trade_components(spark, sf_dir):
+    """Components of all trades."""
+    return graph.components(_trade(spark, sf_dir))
+
+
+@query("""WITH e AS (SELECT DISTINCT l_partkey * 2 AS src, l_suppkey * 2 + 1 AS dst FROM lineitem), u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)
+    SELECT src AS node, count(*) AS degree FROM u GROUP BY 1""")
+def trade_degrees(spark, sf_dir):
+    """Degrees in the graph of all trades."""
+    return _degrees(_trade(spark, sf_dir))
 
 
 _FOLLOW = """f AS (SELECT user_id, lead(user_id) OVER (ORDER BY ts, event_id) AS next FROM events WHERE hour(ts) = 8), e AS (SELECT DISTINCT user_id AS src, next AS dst FROM f WHERE next IS NOT NULL AND next <> user_id),
