@@ -51,28 +51,46 @@ _FOLLOW = """f AS (SELECT user_id, lead(user_id) OVER (ORDER BY ts, event_id) AS
     u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)"""
 
 
-def _follow(spark, sf_dir) -> DataFrame:
-    """Who comes after whom in the morning of each day, by day so that no one order holds all rows."""
+def _follow(spark, sf_dir, which: str = "true") -> DataFrame:
+    """Who comes after whom on each day, by day so that no one order holds all rows, over all events or those that a condition picks."""
     from pyspark.sql import Window
 
     w = Window.partitionBy(F.to_date("ts")).orderBy("ts", "event_id")
-    rows = table(spark, sf_dir, "events").filter(F.hour("ts") == 8).select(F.col("user_id").alias("src"), F.lead("user_id").over(w).alias("dst"))
+    rows = table(spark, sf_dir, "events").filter(which).select(F.col("user_id").alias("src"), F.lead("user_id").over(w).alias("dst"))
     return rows.filter("dst IS NOT NULL AND dst <> src").distinct()
 
 
+#: The events that the SQL of clustering, breadth_first_hops and peer_mode_share is about.
+_MORNING = "hour(ts) = 8"
 _FOLLOW = _FOLLOW.replace("OVER (ORDER BY ts, event_id)", "OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id)")
+_FOLLOW_ALL = _FOLLOW.replace(" WHERE hour(ts) = 8", "")
 
 
 @query(f"""WITH {_FOLLOW}, d AS (SELECT src AS node, count(*) AS degree FROM u GROUP BY 1), t AS (SELECT a.src AS node, count(*) / 2 AS n FROM u a JOIN u b ON a.dst = b.src JOIN u c ON b.dst = c.dst AND c.src = a.src GROUP BY 1)
     SELECT d.node, degree, CAST(coalesce(n, 0) AS BIGINT) AS triangles, round(CASE WHEN degree > 1 THEN 2.0 * coalesce(n, 0) / (degree * (degree - 1)) ELSE 0 END, 9) AS clustering FROM d LEFT JOIN t USING (node)""")
 def clustering(spark, sf_dir):
+    return graph.clustering(_follow(spark, sf_dir, _MORNING)).withColumn("clustering", F.round("clustering", 9))
+
+
+@query()
+def day_clustering(spark, sf_dir):
+    """Clustering over the events of all hours."""
     return graph.clustering(_follow(spark, sf_dir)).withColumn("clustering", F.round("clustering", 9))
 
 
 @query(f"""WITH RECURSIVE {_FOLLOW}, r(node, hops) AS (SELECT (SELECT min(src) FROM e), 0 UNION SELECT e.dst, hops + 1 FROM r JOIN e ON r.node = e.src WHERE hops < 12) SELECT node, min(hops) AS hops FROM r GROUP BY 1""")
 def breadth_first_hops(spark, sf_dir):
-    e = _follow(spark, sf_dir)
-    return graph.hops(e, e.agg(F.min("src").alias("node")))
+    return _hops(_follow(spark, sf_dir, _MORNING))
+
+
+def _hops(edges: DataFrame) -> DataFrame:
+    return graph.hops(edges, edges.agg(F.min("src").alias("node")))
+
+
+@query()
+def day_hops(spark, sf_dir):
+    """Hops over the events of all hours."""
+    return _hops(_follow(spark, sf_dir))
 
 
 @query()
@@ -92,8 +110,19 @@ def influence_roots(spark, sf_dir):
 @query(f"""WITH {_FOLLOW}, m AS (SELECT user_id, arg_max(event_type, ts) AS mode FROM events GROUP BY 1), n AS (SELECT u.src AS node, m.mode, count(*) AS n FROM u JOIN m ON u.dst = m.user_id GROUP BY 1, 2)
     SELECT node, mode, round(n / sum(n) OVER (PARTITION BY node), 9) AS share FROM n""")
 def peer_mode_share(spark, sf_dir):
+    return _peers(spark, sf_dir, _MORNING)
+
+
+def _peers(spark, sf_dir, which: str = "true") -> DataFrame:
     modes = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("node")).agg(F.max_by("event_type", "ts").alias("mode"))
-    return graph.peer_share(_follow(spark, sf_dir), modes).withColumn("share", F.round("share", 9))
+    return graph.peer_share(_follow(spark, sf_dir, which), modes).withColumn("share", F.round("share", 9))
+
+
+@query(f"""WITH {_FOLLOW_ALL}, m AS (SELECT user_id, arg_max(event_type, ts) AS mode FROM events GROUP BY 1), n AS (SELECT u.src AS node, m.mode, count(*) AS n FROM u JOIN m ON u.dst = m.user_id GROUP BY 1, 2)
+    SELECT node, mode, round(n / sum(n) OVER (PARTITION BY node), 9) AS share FROM n""")
+def day_peer_mode_share(spark, sf_dir):
+    """Shares of the neighbours' modes over the events of all hours."""
+    return _peers(spark, sf_dir)
 
 
 @query()

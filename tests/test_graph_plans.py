@@ -1,5 +1,8 @@
 """Graph queries on all rows of the tables against brute force."""
 
+import heapq
+from itertools import combinations
+
 import duckdb
 
 from corvane import catalog
@@ -20,3 +23,38 @@ def test_components_of_all_trades_equal_brute_force(spark):
         above[b] = a
     got = {r.node: r.component for r in catalog.QUERIES["trade_components"](spark, DATA).collect()}
     assert got == {x: top(x) for x in above}
+
+
+def follows():
+    rows = duckdb.sql(f"select cast(ts as date), user_id from '{DATA}/events.parquet' order by cast(ts as date), ts, event_id").fetchall()
+    return {(a, b) for (day, a), (next_day, b) in zip(rows, rows[1:]) if day == next_day and a != b}
+
+
+def least_costs(edges, cost):
+    start = min(a for a, _ in edges)
+    best, heap = {}, [(0, start)]
+    while heap:
+        d, x = heapq.heappop(heap)
+        if x not in best:
+            best[x] = d
+            for a, b in edges:
+                if a == x:
+                    heapq.heappush(heap, (d + cost(a, b), b))
+    return best
+
+
+def test_paths_over_all_hours_equal_brute_force(spark):
+    edges = follows()
+    assert {r.node: r.hops for r in catalog.QUERIES["day_hops"](spark, DATA).collect()} == least_costs(edges, lambda a, b: 1)
+    assert {r.node: r.cost for r in catalog.QUERIES["shortest_paths"](spark, DATA).collect()} == least_costs(edges, lambda a, b: 1 + (a * 31 + b * 17) % 23)
+
+
+def test_triangles_over_all_hours_equal_brute_force(spark):
+    near = {}
+    for a, b in follows():
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = {x: (len(n), sum(q in near[p] for p, q in combinations(n, 2))) for x, n in near.items()}
+    got = {r.node: (r.degree, r.triangles) for r in catalog.QUERIES["day_clustering"](spark, DATA).collect()}
+    assert got == want
+    assert {r.node for r in catalog.QUERIES["eigenvector_centrality"](spark, DATA).select("node").collect()} == set(near)
