@@ -68,11 +68,11 @@ def roots(parents: DataFrame) -> DataFrame:
     return ends.unionByName(in_cycle).unionByName(tops)
 
 
-def hops(edges: DataFrame, sources: DataFrame, most: int = 1000) -> DataFrame:
-    """node, hops from the nearest of ``sources`` (node), along directed edges (src, dst): breadth first."""
+def hops(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """node, hops from the nearest of ``sources`` (node), along directed edges (src, dst): breadth first, until no node is new."""
     seen = kept(sources.select("node").distinct().withColumn("hops", F.lit(0)))
     frontier, depth = seen, 0
-    while depth < most:
+    while True:
         depth += 1
         new = edges.join(frontier.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")
         frontier = kept(new.withColumn("hops", F.lit(depth)))
@@ -82,11 +82,11 @@ def hops(edges: DataFrame, sources: DataFrame, most: int = 1000) -> DataFrame:
     return seen
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, most: int = 1000) -> DataFrame:
-    """node, cost, via (the node before it; of equal paths the least): relaxation from ``sources`` over edges (src, dst, cost >= 0)."""
+def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """node, cost, via (the node before it; of equal paths the least): relaxation from ``sources`` over edges (src, dst, cost >= 0), until no cost falls."""
     best = kept(sources.select("node").distinct().select("node", F.lit(0.0).alias("cost"), F.lit(None).cast(edges.schema["src"].dataType).alias("via")))
     frontier = best
-    for _ in range(most):
+    while True:
         reached = edges.join(frontier.select(F.col("node").alias("src"), F.col("cost").alias("sofar")), "src")
         offers = reached.groupBy(F.col("dst").alias("node")).agg(F.min(F.struct((F.col("sofar") + F.col("cost")).alias("cost"), F.col("src").alias("via"))).alias("offer"))
         old = best.select("node", F.col("cost").alias("old"))
@@ -112,17 +112,24 @@ def clustering(edges: DataFrame) -> DataFrame:
     return out.withColumn("clustering", F.coalesce(F.try_divide(2.0 * F.col("triangles"), F.col("degree") * (F.col("degree") - 1)), F.lit(0.0)))
 
 
-def eigenvector_centrality(edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """node, score: power iteration on the undirected graph, scores scaled to a greatest of 1."""
+def eigenvector_centrality(edges: DataFrame, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
+    """node, score: power iteration on the undirected graph, scores scaled to a greatest of 1.
+
+    Ends when a round changes the scores by less than ``tolerance`` in the mean; raises if ``rounds`` don't reach that.
+    """
     both = kept(undirected(edges))
     score = both.select(F.col("src").alias("node")).distinct().withColumn("score", F.lit(1.0))
     for _ in range(rounds):
         spread = both.join(score.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.sum("score").alias("raw"))
         # Adding the own score keeps bipartite graphs from swinging.
-        spread = spread.join(score, "node").select("node", (F.col("raw") + F.col("score")).alias("raw"))
+        spread = spread.join(score, "node").select("node", (F.col("raw") + F.col("score")).alias("raw"), F.col("score").alias("before"))
         top = spread.agg(F.max("raw").alias("top"))
-        score = kept(spread.crossJoin(top).select("node", (F.col("raw") / F.col("top")).alias("score")))
-    return score
+        now = kept(spread.crossJoin(top).select("node", (F.col("raw") / F.col("top")).alias("score"), "before"))
+        change = now.agg(F.avg(F.abs(F.col("score") - F.col("before")))).first()[0]
+        score = now.select("node", "score")
+        if change is None or change < tolerance:
+            return score
+    raise RuntimeError(f"eigenvector centrality has not converged to {tolerance} in {rounds} rounds")
 
 
 def peer_share(edges: DataFrame, modes: DataFrame) -> DataFrame:

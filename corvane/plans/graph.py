@@ -132,8 +132,14 @@ def eigenvector_centrality(spark, sf_dir):
 
 @query()
 def transit_journeys(spark, sf_dir):
-    """Suppliers as stops, customers' nations as routes: a timetable made of the trade tables."""
-    s = table(spark, sf_dir, "supplier").select(F.concat(F.lit("r"), (F.col("s_nationkey") % 5).cast("string")).alias("route"), F.lit(0).alias("pattern"), F.col("s_suppkey").cast("int").alias("seq"), (F.col("s_suppkey") % 40).alias("stop"), F.lit(600).alias("headway"))
-    pairs = spark.createDataFrame([], "route string, u long, v long, seconds int")
-    walk = spark.range(39).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"), F.lit(300).alias("seconds"))
-    return transit.journeys(s, pairs, walk, spark.range(3).select(F.col("id").alias("origin"), F.col("id").alias("stop")))
+    """Suppliers as stops, their nations as routes: a timetable made of the trade tables, asked from every stop.
+
+    A leg takes a minute and a second for each unit that the balances of its two suppliers differ by.
+    """
+    from pyspark.sql import Window
+
+    s = table(spark, sf_dir, "supplier").select(F.concat(F.lit("r"), (F.col("s_nationkey") % 5).cast("string")).alias("route"), F.lit(0).alias("pattern"), F.col("s_suppkey").cast("int").alias("seq"), F.col("s_suppkey").alias("stop"), F.lit(600).alias("headway"), F.col("s_acctbal").alias("balance"))
+    w = Window.partitionBy("route").orderBy("seq")
+    legs = s.select("route", F.lag("stop").over(w).alias("u"), F.col("stop").alias("v"), (60 + F.abs(F.col("balance") - F.lag("balance").over(w))).cast("int").alias("seconds"))
+    walk = s.select(F.col("stop").alias("u"), (F.col("stop") + 1).alias("v"), F.lit(300).alias("seconds")).join(s.select(F.col("stop").alias("v")), "v", "left_semi")
+    return transit.journeys(s.drop("balance"), legs.filter("u IS NOT NULL"), walk.select("u", "v", "seconds"), s.select(F.col("stop").alias("origin"), "stop"))

@@ -1,11 +1,15 @@
 """Graph queries on all rows of the tables against brute force."""
 
 import heapq
+import inspect
 from itertools import combinations
 
 import duckdb
+import numpy as np
+import pytest
 
 from corvane import catalog
+from corvane.operators import graph
 from oracle import DATA
 
 
@@ -58,3 +62,44 @@ def test_triangles_over_all_hours_equal_brute_force(spark):
     got = {r.node: (r.degree, r.triangles) for r in catalog.QUERIES["day_clustering"](spark, DATA).collect()}
     assert got == want
     assert {r.node for r in catalog.QUERIES["eigenvector_centrality"](spark, DATA).select("node").collect()} == set(near)
+
+
+def test_paths_have_no_bound_of_rounds():
+    # A path of more than 1,000 edges takes minutes to walk here.
+    for f in (graph.hops, graph.shortest_paths):
+        assert list(inspect.signature(f).parameters) == ["edges", "sources"]
+
+
+def test_eigenvector_converges_or_raises(spark):
+    path = np.diag(np.ones(7), 1) + np.diag(np.ones(7), -1)
+    want = np.abs(np.linalg.eigh(path)[1][:, -1])
+    edges = spark.createDataFrame([(i, i + 1) for i in range(7)], "src long, dst long")
+    got = {r.node: r.score for r in graph.eigenvector_centrality(edges).collect()}
+    assert [got[i] for i in range(8)] == pytest.approx(want / want.max(), abs=1e-5)
+    with pytest.raises(RuntimeError):
+        graph.eigenvector_centrality(edges, rounds=2)
+
+
+def test_journeys_from_every_stop_equal_brute_force(spark):
+    stops = duckdb.sql(f"select s_suppkey, s_nationkey % 5, s_acctbal from '{DATA}/supplier.parquet' order by 1").fetchall()
+    routes = {}
+    for key, route, balance in stops:
+        at = routes.setdefault(route, [])
+        at.append((key, at[-1][1] + int(60 + abs(balance - at[-1][2])) if at else 0, balance))
+    keys, want = {k for k, *_ in stops}, {}
+    for origin in keys:
+        best = marked = {origin: 0.0}
+        for turn in range(3):
+            offers = {}
+            for at in routes.values():
+                for i, (u, t, _) in enumerate(at):
+                    for v, later, _ in at[i + 1 :] if u in marked else ():
+                        there = marked[u] + 300 + 600 * (turn > 0) + later - t
+                        for stop, seconds in ((v, there), (v + 1, there + 300)):
+                            if stop in keys:
+                                offers[stop] = min(seconds, offers.get(stop, seconds))
+            marked = {k: s for k, s in offers.items() if s < best.get(k, float("inf"))}
+            best = best | marked
+        want |= {(origin, k): s for k, s in best.items()}
+    got = {(r.origin, r.stop): r.seconds for r in catalog.QUERIES["transit_journeys"](spark, DATA).collect()}
+    assert got == pytest.approx(want)
