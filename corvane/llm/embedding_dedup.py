@@ -91,7 +91,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     usable = F.coalesce(sound & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.lit(False))
     # -0.0 and 0.0 are one value here.
     base = base.withColumn("vector", F.transform("vector", lambda x: x + F.lit(0.0)))
-    classes = written(base.filter(usable).groupBy("label", "vector").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "classes")
+    # Classes have numbers of their own, as two may share their least vec_id; they are fixed once written.
+    classes = written(base.filter(usable).groupBy("label", "vector").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies")).withColumn("id", F.monotonically_increasing_id()), "classes")
     home = classes.mapInArrow(lambda x: _placed(x, cosine, False), _PLACED).alias("a")
     sent = classes.mapInArrow(lambda x: _placed(x, cosine, True), _PLACED).alias("b")
     same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in _KEY]
@@ -103,10 +104,13 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     copies = classes.select("id", "copies")
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     others = both.join(copies.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("copies").alias("others"))
+    joined = written(components(links).join(classes.select("id", "least"), "id"), "joined")
+    lowest = joined.groupBy("component").agg(F.min("least").alias("lowest"))
+    joined = joined.join(lowest, "component").select("id", "lowest")
     of = (
         classes.join(others, "id", "left")
-        .join(components(links), "id", "left")
-        .select("label", "vector", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+        .join(joined, "id", "left")
+        .select("label", "vector", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("lowest", "least").alias("component_id"))
     )
     linked = base.filter(usable).join(of, ["label", "vector"]).select("vec_id", "n_links", "component_id")
     alone = base.filter(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

@@ -28,6 +28,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, part: int, whole: int)
     return held.select("a", "b", "text_a", "text_b").mapInArrow(lambda x: overlapping(x, k, part, whole), "a long, b long")
 
 
+def _shared_ids(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of the texts that one doc_id carries."""
+    each = sets.filter("n > 0 AND doc_id IS NOT NULL").select("doc_id", "low", "high")
+    several = each.groupBy("doc_id").agg(F.min(F.struct("low", "high")).alias("x"), F.max(F.struct("low", "high")).alias("y")).filter("x <> y")
+    of = each.join(several.select("doc_id"), "doc_id").join(classes.select("low", "high", "id"), ["low", "high"])
+    return of.select(F.col("id").alias("a"), F.col("doc_id").alias("b")).filter("a <> b").distinct()
+
+
 def _rare_pairs(sets: DataFrame, k: int, part: int, whole: int) -> DataFrame:
     """Pairs (a, b) of ``sets`` (id, n, component, text) of different components that can link: a prefix filter.
 
@@ -75,6 +83,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, part: int = 80, whole: int = 10
     texts = written(base.withColumnRenamed("doc_id", "id").join(central.select("id"), "id", "left_semi"), "texts")
     pairs = members.join(first, "bucket").filter("id <> first").filter(alike).select(F.least("first", "id").alias("a"), F.greatest("first", "id").alias("b")).distinct()
     links = written(_verified(pairs, texts, k, part, whole), "links")
+    links = links.unionByName(written(_shared_ids(sets, classes), "links"))
     joined = components(links)
     placed = members.filter("c > 2").join(joined, "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("component"))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("bucket")

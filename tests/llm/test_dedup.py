@@ -145,3 +145,16 @@ def test_vectors(spark, size):
     rows += [(900 + i, v, rows[1][2]) for i, v in enumerate(odd)] + [(None, rows[1][1], 1)]
     got = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
     assert ordered(got.collect()) == brute_vectors(rows, 0.98)
+
+
+def test_texts_of_one_id_link_their_classes(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(3, a), (7, a), (7, b), (9, b), (11, c)]
+    got = {(r.doc_id, r.component_id, r.kept) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(3, 3, True), (7, 3, False), (9, 3, False), (11, 11, True)}
+
+
+def test_near_vectors_of_one_id_link(spark):
+    rows = [(5, [1.0, 0.0], 0), (5, [1.0, 0.01], 0), (8, [0.0, 1.0], 0), (4, [1.0, 0.02], 0), (4, [-1.0, 0.0], 0)]
+    got = sorted(tuple(r) for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect())
+    assert got == [(4, 0, 4, True), (4, 2, 4, True), (5, 2, 4, False), (5, 2, 4, False), (8, 0, 8, True)]
