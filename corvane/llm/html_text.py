@@ -25,7 +25,7 @@ from corvane.llm.scratch import small_batches
 TRAINING_PAGES = 800
 
 _MARKUP = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|title|iframe|svg|math)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>|"""
+    r"""<!--.*?(?:-->|\Z)|<svg\b[^>]*/>|<(?P<raw>script|style|noscript|template|textarea|title|iframe|svg)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>|"""
     r"""<(?P<end>/?)(?P<name>[a-z][^\s/>]*)(?P<rest>(?:[^>"']++|"[^"<]*+"|'[^'<]*+'|["'])*+)>""",
     re.IGNORECASE | re.DOTALL,
 )

@@ -160,3 +160,8 @@ def test_random_strings_are_found_without_long_words(spark):
     assert all(sum(got[i] for i in range(low, low + 20)) >= 17 for low in (0, 20, 40)) and sum(got[i] for i in range(60, 304)) == 0
     few = spark.createDataFrame(rows[:1] + rows[60:90], "doc_id long, text string")
     assert secrets.find_secrets(few).agg({"n_random": "sum"}).first()[0] == 1
+
+
+def test_closed_svg_and_math_keep_the_text_beside_and_in_them():
+    page = '<p>One <svg viewBox="0 0 1 1"/> two.</p><p>If <math><mi>x</mi><mo>=</mo><mn>2</mn></math> then <math/> so.</p><p>Three <svg><title>no</title><path/></svg> four.</p><svg/>'
+    assert [b.text for b in html_text.blocks(page)] == ["One two.", "If x=2 then so.", "Three four."]
