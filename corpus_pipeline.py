@@ -53,7 +53,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: No SQL expresses the trained classifier or the tokenizer; the tests hold each stage against brute force.
+#: No SQL expresses the trained classifier or the tokenizer; the tests hold no stage's kept rows against brute force yet.
 ORACLE_SQL = None
 
 
