@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from corvane.llm.scratch import small_batches
-from corvane.llm.tokens import encoder, slices
+from corvane.llm.tokens import encoder
 
 TIERS = (256, 512, 1024, 2048)
 #: Tokens that wait before a round of packing.
@@ -37,16 +37,22 @@ _SCHEMA = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long
 
 @dataclass(order=True, slots=True)
 class Piece:
-    """ids[4 * low : 4 * high] of a document; orders by length, then arrival."""
+    """``length`` ids of a document from its id ``low`` on, in ``ids`` after ``skip`` of them; orders by length, then arrival."""
 
     length: int
     number: int
     doc: object = field(compare=False)
+    total: int = field(compare=False)
     low: int = field(compare=False)
+    skip: int = field(compare=False)
     ids: bytes = field(compare=False)
 
     def cut(self, n: int) -> tuple[Piece, Piece]:
-        return Piece(n, self.number, self.doc, self.low, self.ids), Piece(self.length - n, self.number, self.doc, self.low + n, self.ids)
+        first = Piece(n, self.number, self.doc, self.total, self.low, self.skip, self.ids)
+        return first, Piece(self.length - n, self.number, self.doc, self.total, self.low + n, self.skip + n, self.ids)
+
+    def crc32(self) -> int:
+        return zlib.crc32(memoryview(self.ids)[4 * self.skip : 4 * (self.skip + self.length)])
 
 
 class Packer:
@@ -63,10 +69,11 @@ class Packer:
         n, longest, low = len(ids) // 4, self.tiers[-1], 0
         self.number += 1
         while n - low >= longest:
-            yield longest, [Piece(longest, self.number, doc, low, ids)]
+            yield longest, [Piece(longest, self.number, doc, n, low, low, ids)]
             low += longest
         if n > low:
-            self._wait(Piece(n - low, self.number, doc, low, ids))
+            # What waits holds its own ids alone, not those of a long document's whole windows.
+            self._wait(Piece(n - low, self.number, doc, n, low, 0, ids[4 * low :]))
         if sum(self.amounts) >= self.held:
             yield from self.pack()
 
@@ -138,7 +145,7 @@ class Steps:
 
 
 def _packed(batches: Iterator[pa.RecordBatch], path: str | None, tiers: tuple[int, ...], end: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    encode, packer, steps = encoder(path).encode, Packer(tiers), Steps(STEP)
+    encoded, packer, steps = encoder(path).encoded, Packer(tiers), Steps(STEP)
     partition = TaskContext.get().partitionId()
     last, serial = end.to_bytes(4, "little"), 0
     rows: list[tuple] = []
@@ -148,8 +155,7 @@ def _packed(batches: Iterator[pa.RecordBatch], path: str | None, tiers: tuple[in
         for tier, pieces in sequences:
             group, offset = (partition << 32) + steps.of(tier), 0
             for p in pieces:
-                crc = zlib.crc32(memoryview(p.ids)[4 * p.low : 4 * (p.low + p.length)])
-                rows.append((p.doc, p.low, p.length, crc, len(p.ids) // 4, (partition << 32) + serial, offset, tier, group))
+                rows.append((p.doc, p.low, p.length, p.crc32(), p.total, (partition << 32) + serial, offset, tier, group))
                 offset += p.length
             serial += 1
 
@@ -160,10 +166,11 @@ def _packed(batches: Iterator[pa.RecordBatch], path: str | None, tiers: tuple[in
 
     for batch in batches:
         docs = iter(batch.column("doc_id").to_pylist())
-        for ids in (ids for texts in slices(batch.column("text")) for ids in encode(texts)):
-            emit(packer.add(next(docs), ids + last))
-            if len(rows) >= 10_000:
-                yield flushed()
+        for part in encoded(batch.column("text")):
+            for ids in part:
+                emit(packer.add(next(docs), ids + last))
+                if len(rows) >= 10_000:
+                    yield flushed()
     emit(packer.finish())
     if rows:
         yield flushed()

@@ -23,6 +23,8 @@ _BASE = _U(0x9E3779B97F4A7C15 | 1)
 _INVERSE = _U(pow(int(_BASE), -1, 2**64))
 #: Bytes of text handled at once; a longer single text is handled alone.
 CHUNK_BYTES = 2 << 20
+#: Bytes hashed at once, and powers of the base that are kept.
+STRETCH, KEPT_POWERS = 1 << 18, 1 << 20
 
 _powers = np.ones(1, dtype=np.uint64)
 _inverses = np.ones(1, dtype=np.uint64)
@@ -39,17 +41,22 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first ``n`` powers of the base and of its inverse, modulo 2**64."""
+    """The first ``n`` powers of the base and of its inverse, modulo 2**64; up to ``KEPT_POWERS`` stay in memory."""
     global _powers, _inverses
+    if n > KEPT_POWERS:
+        return _table(_BASE, n), _table(_INVERSE, n)
     if len(_powers) < n:
-        size = max(n, 2 * len(_powers), 1 << 16)
-        for name, base in (("_powers", _BASE), ("_inverses", _INVERSE)):
-            table = np.full(size, base, dtype=np.uint64)
-            table[0] = 1
-            globals()[name] = np.multiply.accumulate(table)
+        size = min(KEPT_POWERS, max(n, 2 * len(_powers), 1 << 16))
+        _powers, _inverses = _table(_BASE, size), _table(_INVERSE, size)
     return _powers[:n], _inverses[:n]
 
 
+def _table(base: np.uint64, n: int) -> np.ndarray:
+    table = np.full(n, base, dtype=np.uint64)
+    table[0] = 1
+    return np.multiply.accumulate(table)
+
+
 def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A hash of each slice ``values[start:end]`` of 64-bit values, order and length included."""
     power, inverse = powers(len(values) + 1)
@@ -72,9 +79,18 @@ class Words:
     starts: np.ndarray  #: byte offset of each word in buffer
     ends: np.ndarray
     rows: np.ndarray  #: first word of each row, and the number of words at the end
+    bounds: np.ndarray  #: first byte of each row, and the number of bytes at the end
 
     def hashes(self, lower: bool = False) -> np.ndarray:
-        return spans_hash((_LOWER_CODES if lower else _CODES)[self.buffer], self.starts, self.ends)
+        """A hash of each word, in stretches of about ``STRETCH`` bytes so that long texts take little memory."""
+        codes, out, first = _LOWER_CODES if lower else _CODES, np.empty(len(self.starts), dtype=np.uint64), 0
+        while first < len(out):
+            low = int(self.starts[first])
+            last = max(first + 1, int(np.searchsorted(self.ends, low + STRETCH, side="right")))
+            starts, ends = self.starts[first:last] - low, self.ends[first:last] - low
+            out[first:last] = spans_hash(codes[self.buffer[low : low + int(ends[-1])]], starts, ends)
+            first = last
+        return out
 
     def row_of(self) -> np.ndarray:
         """The row (from ``first``) of each word."""
@@ -114,4 +130,4 @@ def words(column: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES) -> Itera
         starting[cuts] |= inside[cuts]
         ending[cuts - 1] |= inside[cuts - 1]
         starts, ends = np.flatnonzero(starting), np.flatnonzero(ending) + 1
-        yield Words(first, last, buffer, starts, ends, np.searchsorted(starts, bounds))
+        yield Words(first, last, buffer, starts, ends, np.searchsorted(starts, bounds), bounds)
