@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.scratch import small_batches
+from corvane.llm.scratch import small_batches, written
 from corvane.llm.words import _LOWER_CODES, Words, spans_hash, words
 
 #: Features are numbered by this many bits of their hash.
@@ -71,40 +71,57 @@ def features(w: Words) -> list[np.ndarray]:
     return out
 
 
-def fit(texts: list[str | None] | pa.ChunkedArray, labels: list[int], share: float, turns: int = 200) -> Model:
-    """Train on labelled texts; ``share``: of toxic texts among all, which the sample may exaggerate.
-
-    Runs on the driver over a bounded sample, in parts of ``PART`` bytes so that it holds little at once.
-    """
-    weights = np.zeros(1 << BITS, dtype=np.float32)
-    y = np.asarray(labels, dtype=np.float64)
-    if not len(y) or y.min() == y.max():
-        return Model(weights, -20.0)
-    # Twice over the texts, part by part: first to count texts with each feature, then to keep the few that tell.
-    column = texts if isinstance(texts, pa.ChunkedArray) else pa.array(texts, pa.string())
-    n1, n0 = y.sum(), (1 - y).sum()
-    pos, neg = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    for w in words(column, PART):
-        row = w.row_of()
-        seen = np.unique(np.concatenate([(row[numbers >= 0] << BITS) | numbers[numbers >= 0] for numbers in features(w)]))
-        toxic = y[w.first + (seen >> BITS)]
-        np.add.at(pos, seen & ((1 << BITS) - 1), toxic)
-        np.add.at(neg, seen & ((1 << BITS) - 1), 1 - toxic)
-    kept = (_g(pos, neg, n1, n0) > LEAST_G) & (pos / n1 > neg / n0) & (pos + neg >= LEAST_TEXTS)
-    parts, before = [], 0
+def features_of(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Row, sentence (in its row) and number of each feature of the texts, in parts of ``PART`` bytes."""
     for w in words(column, PART):
         row, sentence = w.row_of() + w.first, sentences(w)
         for numbers in features(w):
-            use = np.flatnonzero((numbers >= 0) & kept[numbers])
-            parts.append(np.stack([sentence[use] + before, numbers[use], row[use]]))
-        before += int(sentence[-1]) + 1 if len(sentence) else 0
-    pairs = np.unique(np.concatenate(parts, axis=1), axis=1) if parts else np.zeros((3, 0), np.int64)
+            use = np.flatnonzero(numbers >= 0)
+            yield row[use], sentence[use] - (sentence[w.rows[row[use] - w.first]] if len(use) else 0), numbers[use]
+
+
+def in_texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Row and number of each feature, once for each text that has it."""
+    found = [np.unique((row << BITS) | number) for row, _, number in features_of(column)]
+    seen = np.unique(np.concatenate([np.zeros(0, np.int64), *found]))
+    return seen >> BITS, seen & ((1 << BITS) - 1)
+
+
+def in_sentences(column: pa.Array, kept: np.ndarray) -> np.ndarray:
+    """Row, sentence and number of each feature among ``kept`` (true by number), once for each sentence that has it."""
+    found = [np.stack([x[kept[number]] for x in (row, sentence, number)]) for row, sentence, number in features_of(column)]
+    return np.unique(np.concatenate([np.zeros((3, 0), np.int64), *found], axis=1), axis=1)
+
+
+def telling(pos: np.ndarray, neg: np.ndarray, n1: float, n0: float) -> np.ndarray:
+    """Whether features in ``pos`` of n1 toxic and ``neg`` of n0 other texts tell the toxic ones."""
+    return (_g(pos, neg, n1, n0) > LEAST_G) & (pos / n1 > neg / n0) & (pos + neg >= LEAST_TEXTS)
+
+
+def fit(texts: list[str | None], labels: list[int], share: float, turns: int = 200) -> Model:
+    """Train on labelled texts at hand; ``share``: of toxic texts among all, which the sample may exaggerate."""
+    y, column = np.asarray(labels, dtype=np.float64), pa.array(texts, pa.string())
+    if not len(y) or y.min() == y.max():
+        return untrained()
+    row, number = in_texts(column)
+    pos, neg = (np.bincount(number, weights=w[row], minlength=1 << BITS) for w in (y, 1 - y))
+    kept = telling(pos, neg, y.sum(), (1 - y).sum())
+    return fitted(in_sentences(column, kept), y, pos, neg, share, turns)
+
+
+def untrained() -> Model:
+    return Model(np.zeros(1 << BITS, dtype=np.float32), -20.0)
+
+
+def fitted(pairs: np.ndarray, y: np.ndarray, pos: np.ndarray, neg: np.ndarray, share: float, turns: int = 200) -> Model:
+    """Weights for ``pairs`` (row, sentence, feature: distinct, in order) and the labels ``y`` of the rows."""
     if not pairs.size:
-        return Model(weights, -20.0)
-    _, instance = np.unique(pairs[0], return_inverse=True)
-    names, column = np.unique(pairs[1], return_inverse=True)
-    of = np.zeros(instance.max() + 1, dtype=np.int64)
-    of[instance] = pairs[2]
+        return untrained()
+    weights, n1, n0 = np.zeros(1 << BITS, dtype=np.float32), y.sum(), (1 - y).sum()
+    fresh = np.ones(pairs.shape[1], dtype=bool)
+    fresh[1:] = (pairs[0, 1:] != pairs[0, :-1]) | (pairs[1, 1:] != pairs[1, :-1])
+    instance, of = np.cumsum(fresh) - 1, pairs[0, fresh]
+    names, column = np.unique(pairs[2], return_inverse=True)
     # Rows weigh as in the whole table; AdaGrad with a little shrinkage.
     row_weight = np.where(y > 0, share / n1, (1 - share) / n0)
     log_odds = np.log((pos[names] + 0.5) / (n1 + 1)) - np.log((neg[names] + 0.5) / (n0 + 1))
@@ -173,15 +190,45 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
 
 
+def _texts_with(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        row, number = in_texts(batch.column("text"))
+        yield pa.RecordBatch.from_arrays([pa.array(number.astype(np.int32)), batch.column("toxic").take(pa.array(row))], names=["number", "toxic"])
+
+
+def _sentences_with(batches: Iterator[pa.RecordBatch], kept: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        row, sentence, number = in_sentences(batch.column("text"), kept)
+        yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(row)), pa.array(sentence), pa.array(number)], names=["row", "sentence", "number"])
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` labelled rows of either label whose crc32 of the id, modulo 5, is not 0."""
-    usable = labels.filter("toxic IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", "toxic").distinct().filter(~held_out())
+    """Fit on at most ``sample`` labelled documents of either label whose crc32 of the id, modulo 5, is not 0.
+
+    The texts stay on the executors: the driver gets the counts of at most 2**BITS features and then, of the few that
+    tell, where they occur. Of several texts of one doc_id the least is read.
+    """
+    usable = labels.filter("toxic IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct().filter(~held_out())
     counts = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
+    if len(counts) < 2:
+        return untrained()
     chosen = [usable.filter(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for t in (0, 1)]
     # At most 2 * sample rows: a bounded table, so it may be broadcast.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").orderBy("doc_id", "text").toArrow()
-    total = sum(counts.values())
-    return fit(rows.column("text"), rows.column("toxic").to_pylist(), counts.get(1, 0) / total if total else 0.0)
+    rows = small_batches(docs).select("doc_id", "text").join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "sample")
+    of = rows.select("row", "toxic").orderBy("row").toArrow()
+    ids, y = of.column("row").to_numpy(), of.column("toxic").to_numpy().astype(float)
+    if not len(y) or y.min() == y.max():
+        return untrained()
+    seen = rows.select("toxic", "text").mapInArrow(_texts_with, "number int, toxic int").groupBy("number").agg(F.sum("toxic").alias("pos"), F.count("*").alias("all"))
+    seen = seen.filter(F.col("all") >= LEAST_TEXTS).toArrow()
+    number, pos, neg = seen.column("number").to_numpy(), np.zeros(1 << BITS), np.zeros(1 << BITS)
+    pos[number] = seen.column("pos").to_numpy()
+    neg[number] = seen.column("all").to_numpy() - pos[number]
+    kept = telling(pos, neg, y.sum(), (1 - y).sum())
+    pairs = rows.select("row", "text").mapInArrow(lambda x: _sentences_with(x, kept), "row long, sentence long, number long").toArrow()
+    pairs = np.stack([np.searchsorted(ids, pairs.column("row").to_numpy()), *(pairs.column(c).to_numpy() for c in ("sentence", "number"))])
+    return fitted(np.unique(pairs, axis=1), y, pos, neg, counts[1] / (counts[0] + counts[1]))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
