@@ -7,9 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from corvane.llm.words import Words, mix, spans_hash, words
+from corvane.llm.words import Words, chunks, mix, spans_hash, utf8, words
 
 _U = np.uint64
+#: Bytes of the texts of pairs that are verified at once.
+PAIR_BYTES = 2 << 20
 _LOW48 = _U((1 << 48) - 1)
 _FREE = _U(2**64 - 1)
 
@@ -86,13 +88,14 @@ def signed(batches: Iterator[pa.RecordBatch], k: int, bands: int, width: int) ->
 
 
 def overlapping(batches: Iterator[pa.RecordBatch], k: int, part: int, whole: int) -> Iterator[pa.RecordBatch]:
-    """The rows (a, b) of which the sets of ``text_a`` and ``text_b`` have whole * common >= part * together."""
+    """The rows (a, b) of which the sets of ``text_a`` and ``text_b`` have whole * common >= part * together.
+
+    Taken in slices of about ``PAIR_BYTES`` of both texts.
+    """
     for batch in batches:
         a, b, keep = batch.column("text_a"), batch.column("text_b"), []
-        step = 256
-        for first in range(0, batch.num_rows, step):
-            size = min(step, batch.num_rows - first)
-            sides = []
+        for first, last in chunks(utf8(a)[1] + utf8(b)[1], PAIR_BYTES):
+            size, sides = last - first, []
             for column in (a, b):
                 found = [(w.first + row, h) for w in words(column.slice(first, size)) for row, h in [shingles(w, k)]]
                 sides.append(distinct(np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])))
