@@ -1,11 +1,15 @@
 """Benchmark passages in texts, found by greedy string tiling.
 
-Seeds are runs of ``SEED`` words that a text shares with a benchmark item, found by Karp-Rabin
-hashes that roll over all texts and are looked up in the item table. Seeds in a row make a
-match. The longest match is marked first, what is left of the others is cut to its unmarked
-words, and so on while a match of ``SEED`` words remains. The tiles never overlap, on either
-side, and may lie in any order: a passage with its sentences reordered is covered all the same.
-An item is in a text if its tiles cover ``COVERED`` of its words.
+Seeds are runs of ``SEED`` words. A text is held against an item if it has one of the item's
+rarer seeds: tiles that cover ``COVERED`` of an item have at least a fifth of that many of its
+seeds, so the most frequent ones, fewer than that, need no look-up. Then running Karp-Rabin
+hashes find the longest common run of unmarked words, all runs of that length are marked in
+the order of the text, and so on with the next shorter length while ``SEED`` words remain. The tiles never
+overlap, on either side, and may lie in any order: a passage with its sentences reordered is
+covered all the same. An item is in a text if its tiles cover ``COVERED`` of its words. Places are
+kept by hash on either side and never paired, so memory grows with the text plus the item.
+
+An item shorter than a seed is in a text that has all its words in a row.
 
 The items are a stated query set: they are taken in blocks of bounded size, each sent to all
 tasks, and every text is held against every block.
@@ -13,7 +17,6 @@ tasks, and every text is held against every block.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,118 +38,154 @@ _BITS = 22
 
 @dataclass
 class Items:
-    """A block of items: their words, and the places of their seeds in the order of the seeds' hashes."""
+    """A block of items: words and seeds of each in order, and which items to try for a seed, in the order of the seeds' hashes."""
 
     ids: list
     words: list[np.ndarray]
-    seeds: np.ndarray
+    seeds: list[np.ndarray]
+    tried: np.ndarray
     item: np.ndarray
-    place: np.ndarray
     filter: np.ndarray
+    #: By length the hashes, in order, and numbers of the items that are shorter than a seed.
+    short: dict[int, tuple[np.ndarray, np.ndarray]]
+
+
+def _seeds(h: np.ndarray, size: int = SEED) -> np.ndarray:
+    at = np.arange(max(0, len(h) - size + 1))
+    return spans_hash(h, at, at + size)
+
+
+def index(ids: list, texts: list[str | None], covered: float = COVERED) -> Items:
+    found = [w.hashes(lower=True)[w.rows[i] : w.rows[i + 1]] for w in words(pa.array(texts, pa.string())) for i in range(w.last - w.first)]
+    seeds = [_seeds(own) for own in found]
+    every = np.unique(np.concatenate([np.zeros(0, np.uint64), *seeds]))
+    count = np.zeros(len(every), dtype=np.int64)
+    for own in seeds:
+        count[np.searchsorted(every, np.unique(own))] += 1
+    tried, item = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for i, (own, all_words) in enumerate(zip(seeds, found, strict=True)):
+        if len(own):
+            needed = max(1, int(np.ceil(covered * len(all_words) / SEED - 1e-9)))
+            rare = own[np.lexsort((own, count[np.searchsorted(every, own)]))][: max(1, len(own) - needed + 1)]
+            tried.append(np.unique(rare))
+            item.append(np.full(len(tried[-1]), i))
+    tried, item = np.concatenate(tried), np.concatenate(item)
+    order = np.argsort(tried, kind="stable")
+    seen = np.zeros(1 << _BITS, dtype=bool)
+    seen[every >> np.uint64(64 - _BITS)] = True
+    short = {}
+    for size in range(1, SEED):
+        which = np.array([i for i, own in enumerate(found) if len(own) == size], dtype=np.int64)
+        if len(which):
+            hashes = np.array([_seeds(found[i], size)[0] for i in which], dtype=np.uint64)
+            by = np.argsort(hashes, kind="stable")
+            short[size] = hashes[by], which[by]
+    return Items(ids, found, seeds, tried[order], item[order], seen, short)
 
 
-def index(ids: list, texts: list[str | None]) -> Items:
-    found, hashes, item, place = [], [], [], []
-    for w in words(pa.array(texts, pa.string())):
-        h = w.hashes(lower=True)
-        for i in range(len(w.rows) - 1):
-            own = h[w.rows[i] : w.rows[i + 1]]
-            found.append(own)
-            at = np.arange(max(0, len(own) - SEED + 1))
-            hashes.append(spans_hash(own, at, at + SEED))
-            item.append(np.full(len(at), w.first + i))
-            place.append(at)
-    hashes, item, place = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((hashes, np.uint64), (item, np.int64), (place, np.int64)))
-    order = np.argsort(hashes, kind="stable")
-    seen = np.zeros(1 << _BITS, dtype=bool)
-    seen[hashes >> np.uint64(64 - _BITS)] = True
-    return Items(ids, found, hashes[order], item[order], place[order], seen)
+def _free_runs(h: np.ndarray, free: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of all runs of ``size`` free words."""
+    marked = np.concatenate([[0], np.cumsum(~free)])
+    at = np.flatnonzero(marked[size:] == marked[:-size])
+    return at, spans_hash(h, at, at + size)
 
 
-def tiles(text: np.ndarray, item: np.ndarray, seeds: list[tuple[int, int]], shortest: int = SEED) -> list[tuple[int, int, int]]:
-    """Greedy tiling: (place in text, place in item, length) of each tile. ``seeds``: all (text, item) places of shared seeds.
+def tiles(text: np.ndarray, item: np.ndarray, free: np.ndarray | None = None, shortest: int = SEED) -> list[tuple[int, int, int]]:
+    """Greedy tiling: (place in text, place in item, length) of each tile; words that are not ``free`` take no part.
 
     Of equally long matches the first in the text, then in the item, is marked first.
     """
-    runs: list[tuple[int, int, int]] = []
-    last: dict[int, list[int]] = {}
-    for t, p in sorted(seeds):
-        run = last.get(t - p)
-        if run and run[0] + run[2] == t:
-            run[2] += 1
-        else:
-            if run:
-                runs.append(tuple(run))
-            last[t - p] = [t, p, 1]
-    runs += [tuple(run) for run in last.values()]
-    heap = [(-(n + shortest - 1), t, p) for t, p, n in runs]
-    heapq.heapify(heap)
-    in_text: set[int] = set()
-    in_item = np.zeros(len(item), dtype=bool)
-    out = []
-    while heap:
-        n, t, p = heapq.heappop(heap)
-        n = -n
-        free = [not in_item[p + i] and t + i not in in_text for i in range(n)]
-        if all(free):
-            out.append((t, p, n))
-            in_item[p : p + n] = True
-            in_text.update(range(t, t + n))
-            continue
-        start = None
-        for i in range(n + 1):
-            if i < n and free[i]:
-                start = i if start is None else start
-            elif start is not None:
-                if i - start >= shortest:
-                    heapq.heappush(heap, (-(i - start), t + start, p + start))
-                start = None
+    in_text = np.ones(len(text), dtype=bool) if free is None else free.copy()
+    in_item = np.ones(len(item), dtype=bool)
+    out: list[tuple[int, int, int]] = []
+
+    def common(size: int) -> bool:
+        return bool(np.isin(_free_runs(item, in_item, size)[1], _free_runs(text, in_text, size)[1]).any())
+
+    most = min(len(text), len(item))
+    while most >= shortest and common(shortest):
+        low, high = (most, most) if common(most) else (shortest, most - 1)
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if common(middle) else (low, middle - 1)
+        where, hashes = _free_runs(item, in_item, low)
+        places: dict[int, list[int]] = {}
+        for p, h in zip(where[::-1].tolist(), hashes[::-1].tolist(), strict=True):
+            places.setdefault(h, []).append(p)
+        where, hashes = _free_runs(text, in_text, low)
+        shared = np.isin(hashes, np.fromiter(places, np.uint64, len(places)))
+        end = 0
+        for t, h in zip(where[shared].tolist(), hashes[shared].tolist(), strict=True):
+            if t < end:
+                continue
+            # What is marked stays marked: a place of the item that is not free is done with.
+            while places[h] and not in_item[places[h][-1] : places[h][-1] + low].all():
+                places[h].pop()
+            if places[h]:
+                p, end = places[h].pop(), t + low
+                out.append((t, p, low))
+                in_item[p : p + low] = in_text[t:end] = False
+        most = low - 1
     return out
 
 
+def _tiled(h: np.ndarray, places: np.ndarray, item: np.ndarray) -> list[tuple[int, int, int]]:
+    """Tiles of an item in a text whose words that belong to its seeds begin at ``places``; all other words are left out."""
+    inside = np.zeros(len(h) + 1, dtype=bool)
+    inside[np.unique(places[:, None] + np.arange(SEED))] = True
+    held = inside.copy()
+    held[1:] |= inside[:-1]  # one word that takes no part keeps stretches apart
+    at = np.flatnonzero(held[:-1])
+    return tiles(h[at], item, inside[at])
+
+
 def _matches(column: pa.Array, items: Items, covered: float) -> Iterator[tuple[int, int, float, int, int]]:
     """(row, item, coverage, tiles, words of the item) of each item that a text of the column covers."""
-    if not len(items.seeds):
-        return
     for w in words(column):
-        n = len(w.starts)
-        if n < SEED:
-            continue
         h, row = w.hashes(lower=True), w.row_of()
-        at = np.arange(n - SEED + 1)
-        rolled = spans_hash(h, at, at + SEED)
+        for size, (hashes, which) in items.short.items():
+            at = np.arange(max(0, len(h) - size + 1))
+            at = at[row[at] == row[at + size - 1]] if len(at) else at
+            rolled = spans_hash(h, at, at + size)
+            low, high = (np.searchsorted(hashes, rolled, side=s) for s in ("left", "right"))
+            hit = np.flatnonzero(high > low)
+            for r, a, b in dict.fromkeys(zip(row[at[hit]].tolist(), low[hit].tolist(), high[hit].tolist(), strict=True)):
+                yield from ((w.first + r, int(i), 1.0, 1, size) for i in which[a:b])
+        if len(h) < SEED or not len(items.tried):
+            continue
+        rolled = _seeds(h)
         at = np.flatnonzero(items.filter[rolled >> np.uint64(64 - _BITS)])
         at = at[row[at] == row[at + SEED - 1]]
-        low, high = (np.searchsorted(items.seeds, rolled[at], side=s) for s in ("left", "right"))
+        # Seeds by row and hash, so that a row's are a sorted stretch.
+        at = at[np.lexsort((rolled[at], row[at]))]
+        seeds, of = rolled[at], row[at]
+        fresh = np.ones(len(at), dtype=bool)
+        fresh[1:] = (seeds[1:] != seeds[:-1]) | (of[1:] != of[:-1])
+        low, high = (np.searchsorted(items.tried, seeds[fresh], side=s) for s in ("left", "right"))
         count = high - low
-        if not count.any():
-            continue
-        text_at = np.repeat(at, count)
         which = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
-        item, place, of = items.item[which], items.place[which], row[text_at]
-        order = np.lexsort((item, of))
-        bounds = np.flatnonzero(np.diff(of[order], prepend=-1) | np.diff(item[order], prepend=-1))
-        for a, b in zip(bounds, np.append(bounds[1:], len(order)), strict=True):
-            mine = order[a:b]
-            r, i = int(of[mine[0]]), int(item[mine[0]])
-            words_of = items.words[i]
-            reached = np.unique(np.unique(place[mine])[:, None] + np.arange(SEED))
-            if len(reached) < covered * len(words_of):
+        pairs = np.unique(np.stack([np.repeat(of[fresh], count), items.item[which]]), axis=1)
+        for r, i in pairs.T.tolist():
+            a, b = np.searchsorted(of, [r, r + 1])
+            own, all_words = items.seeds[i], items.words[i]
+            hit = np.minimum(np.searchsorted(seeds[a:b], own), b - a - 1)
+            present = np.flatnonzero(seeds[a:b][hit] == own)
+            if len(np.unique(present[:, None] + np.arange(SEED))) < covered * len(all_words):
                 continue  # no tiling can cover more than all seeds together
             first, last = w.rows[r], w.rows[r + 1]
-            found = tiles(h[first:last], words_of, list(zip((text_at[mine] - first).tolist(), place[mine].tolist(), strict=True)))
-            coverage = sum(t[2] for t in found) / len(words_of)
+            found = _tiled(h[first:last], at[a:b][np.isin(seeds[a:b], own)] - first, all_words)
+            coverage = sum(t[2] for t in found) / len(all_words)
             if coverage >= covered:
-                yield w.first + r, i, coverage, len(found), len(words_of)
+                yield w.first + r, i, coverage, len(found), len(all_words)
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[Items]:
+def _blocks(benchmark: DataFrame, covered: float) -> Iterator[Items]:
     items = benchmark.select("item_id", "text").filter(F.col("text").isNotNull()).distinct()
     size = items.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
     parts = max(1, -(-size["n"] // BLOCK_ITEMS), -(-(size["bytes"] or 0) // BLOCK_BYTES))
     for i in range(parts):
         block = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == i).orderBy("item_id", "text").toArrow()
-        yield index(block.column("item_id").to_pylist(), block.column("text").to_pylist())
+        yield index(block.column("item_id").to_pylist(), block.column("text").to_pylist(), covered)
 
 
 def _paired(batches: Iterator[pa.RecordBatch], items: Items, covered: float, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -160,8 +199,8 @@ def _paired(batches: Iterator[pa.RecordBatch], items: Items, covered: float, sch
 def contaminated(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED) -> DataFrame:
     """doc_id, item_id, coverage, n_tiles, item_words for each row of ``docs`` and item that it covers.
 
-    Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case. Items of fewer than ``SEED`` words are too
-    short to tell and match nothing; equal items are one. Null or empty texts match nothing, null ids stay
+    Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case. Items of fewer than ``SEED`` words must
+    occur whole; items without words match nothing; equal items are one. Null or empty texts match nothing, null ids stay
     null, repeated rows give a row each, an empty table on either side gives no rows, further columns are
     ignored.
     """
@@ -172,7 +211,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED
     text = "doc_id {}, item_id {}, coverage double, n_tiles long, item_words long".format(*kinds)
     schema = to_arrow_schema(_parse_datatype_string(text))
     texts, out = small_batches(docs).select("doc_id", "text"), None
-    for items in _blocks(benchmark):
+    for items in _blocks(benchmark, covered):
         part = texts.mapInArrow(lambda x, items=items: _paired(x, items, covered, schema), text)
         out = part if out is None else out.unionByName(part)
     return out
@@ -181,7 +220,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED) -> DataFrame:
     """The rows of ``docs``, all columns as they are, that cover no item; see :func:`contaminated`."""
     small_batches(docs)
-    for items in _blocks(benchmark):
+    for items in _blocks(benchmark, covered):
 
         def clean(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             for batch in batches:
