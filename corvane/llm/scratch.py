@@ -7,6 +7,7 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
@@ -41,6 +42,20 @@ def small_batches(df: DataFrame, rows: int = 1000, size: int = 4 << 20) -> DataF
     return df
 
 
+#: Keys with more than one in so many of all rows are joined apart; there are fewer of them than this.
+HOT = 1000
+
+
+def hot_join(left: DataFrame, right: DataFrame, keys: list[str], rows: str, total: int) -> DataFrame:
+    """``left`` joined with ``right``, which has a row for each key and in ``rows`` how many of the ``total`` rows of left have it.
+
+    Rows of a hot key stay in the tasks that read them: the fewer than ``HOT`` hot rows of right are sent to all. The others meet by a shuffle.
+    """
+    hot = F.broadcast(right.filter(F.col(rows) * HOT > total))
+    rest = left.join(hot.select(*keys), keys, "left_anti").join(right.filter(F.col(rows) * HOT <= total), keys)
+    return left.join(hot, keys).unionByName(rest)
+
+
 def drop(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`written` that no later step reads."""
     spark = df.sparkSession

@@ -15,7 +15,7 @@ all blocks of a name are equal, their windows repeat. Only for the other names a
 windows compared, one block of each distinct text standing for its copies, so that a passage
 in a third of all texts costs a row for each place and never pairs of places.
 
-Names and block hashes are compared together (128 bits).
+A name and the hash of its block are compared together; both come from 64-bit hashes of the words.
 """
 
 from __future__ import annotations
@@ -28,16 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.scratch import drop, small_batches, written
-from corvane.llm.words import mix, spans_hash, words
+from corvane.llm.scratch import drop, hot_join, small_batches, written
+from corvane.llm.words import Words, mix, spans_hash, words
 
 _U = np.uint64
 #: Rounds of recompression; a window keeps the last round that leaves it LEAST symbols.
 ROUNDS, LEAST = 3, 4
-#: Stands for a null doc_id.
-NO_ID = -(2**63)
 
-_BLOCKS = "key int, doc_id long, start int, n int, name long, block long"
+_BLOCKS = "h1 long, h2 long, start int, n int, name long, block long"
 
 
 def _round(names: np.ndarray, row: np.ndarray, turn: int) -> np.ndarray:
@@ -107,7 +105,7 @@ def _least(key: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
 
 def _blocks(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys, ids = batch.column("key").to_numpy(zero_copy_only=False), batch.column("doc_id").to_numpy(zero_copy_only=False)
+        h1, h2 = (batch.column(c).to_numpy() for c in ("h1", "h2"))
         for w in words(batch.column("text")):
             if len(w.starts) < window:
                 continue
@@ -122,8 +120,8 @@ def _blocks(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
             first, n = at[begin], np.diff(np.append(begin, len(at)))
             block = spans_hash(h, first, first + n + window - 1)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[w.first + row[first]].astype(np.int32)), pa.array(ids[w.first + row[first]].astype(np.int64)), pa.array((first - w.rows[row[first]]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(name[first].view(np.int64)), pa.array(block.view(np.int64))],
-                names=["key", "doc_id", "start", "n", "name", "block"],
+                [pa.array(h1[w.first + row[first]]), pa.array(h2[w.first + row[first]]), pa.array((first - w.rows[row[first]]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(name[first].view(np.int64)), pa.array(block.view(np.int64))],
+                names=["h1", "h2", "start", "n", "name", "block"],
             )
 
 
@@ -147,32 +145,38 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part["name"][mine], n)), pa.array(np.repeat(part["block"][mine], n)), pa.array(offset.astype(np.int32)), pa.array(hashed.view(np.int64))], names=["name", "block", "offset", "hash"])
 
 
-def _removed(places: list[dict] | None, n: int, window: int) -> np.ndarray:
-    change = np.zeros(n + 1, dtype=np.int64)
-    for place in places or ():
-        bits = place["mask"] & (2**64 - 1)
-        starts = place["start"] + np.flatnonzero([bits >> i & 1 for i in range(bits.bit_length())])
-        np.add.at(change, starts, 1)
-        np.add.at(change, starts + window, -1)
-    return np.cumsum(change[:n]) > 0
+def _removed(w: Words, places: pa.Array, window: int) -> np.ndarray:
+    """Whether each word of these rows lies in a window that ``places`` (start, mask of the windows from there on) of its row name."""
+    change = np.zeros(len(w.starts) + 1, dtype=np.int64)
+    held = places.fill_null([])
+    flat = held.flatten()
+    row = np.repeat(np.arange(len(held)), held.value_lengths().to_numpy())
+    place, bit = np.nonzero(np.unpackbits(flat.field("mask").to_numpy().astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+    at = w.rows[row[place]] + flat.field("start").to_numpy()[place] + bit
+    np.add.at(change, at, 1)
+    np.add.at(change, at + window, -1)
+    return np.cumsum(change[:-1]) > 0
 
 
 def _kept(batches: Iterator[pa.RecordBatch], window: int, with_text: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n_words, n_removed, digests, texts = [], [], [], []
-        for text, places in zip(batch.column("text"), batch.column("places").to_pylist(), strict=True):
-            found = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
-            if places:
-                gone = _removed(places, len(found), window)
-                kept = b" ".join(w for w, g in zip(found, gone.tolist(), strict=True) if not g)
-                n_removed.append(int(gone.sum()))
-            else:
-                kept = b" ".join(found)
-                n_removed.append(0)
-            n_words.append(len(found))
-            digests.append(hashlib.sha256(kept).hexdigest())
-            if with_text:
-                texts.append(kept.decode())
+        for w in words(batch.column("text")):
+            gone, held = _removed(w, batch.column("places").slice(w.first, w.last - w.first), window), w.buffer.tobytes()
+            for i in range(w.last - w.first):
+                a, b = int(w.rows[i]), int(w.rows[i + 1])
+                removed = int(gone[a:b].sum())
+                text = held[w.bounds[i] : w.bounds[i + 1]]
+                if removed:
+                    # Stretches of kept words, each with whatever separates them.
+                    edges = np.flatnonzero(np.diff(np.concatenate([[True], gone[a:b], [True]]))) + a
+                    text = b" ".join([held[w.starts[x] : w.ends[y - 1]] for x, y in zip(edges[::2], edges[1::2], strict=True)])
+                kept = b" ".join(text.split())
+                n_words.append(b - a)
+                n_removed.append(removed)
+                digests.append(hashlib.sha256(kept).hexdigest())
+                if with_text:
+                    texts.append(kept.decode())
         arrays = [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string())]
         yield pa.RecordBatch.from_arrays(arrays + [pa.array(texts, pa.string())] * with_text, names=["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * with_text)
 
@@ -186,31 +190,33 @@ def remove_repeats(docs: DataFrame, window: int = 35, with_text: bool = False) -
 
     Null text counts as no words; a text under ``window`` words loses nothing; an empty table
     gives an empty result; repeated rows repeat each other; further columns are ignored. Rows
-    are told apart by doc_id and a hash of both columns, so null or repeated ids do no harm.
+    are told apart by 128 bits of a hash of both columns, so null or repeated ids do no harm.
     """
     if not 3 <= window <= 64:
         raise ValueError("window must be between 3 and 64 words")
     small_batches(docs)
-    base = docs.select(F.hash("doc_id", "text").alias("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
-    blocks = written(base.mapInArrow(lambda x: _blocks(x, window), _BLOCKS), "blocks")
+    base = docs.select(F.xxhash64("doc_id", "text").alias("h1"), F.xxhash64(F.lit(1), "text", "doc_id").alias("h2"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    blocks = written(base.select("h1", "h2", "text").mapInArrow(lambda x: _blocks(x, window), _BLOCKS), "blocks")
     names = (
         blocks.groupBy("name")
         .agg(F.count("*").alias("c"), F.min("block").alias("low"), F.max("block").alias("high"))
         .filter("c > 1")
-        .select("name", (F.col("low") == F.col("high")).alias("equal"))
+        .select("name", "c", (F.col("low") == F.col("high")).alias("equal"))
     )
-    shared = written(blocks.join(names, "name"), "shared")
+    names = written(names, "names")
+    shared = written(hot_join(blocks, names, ["name"], "c", blocks.count()).drop("c"), "shared")
+    drop(names)
     drop(blocks)
     whole = F.when(F.col("n") >= 64, F.lit(-1).cast("long")).otherwise(F.expr("shiftleft(1L, n) - 1L"))
     # Keys are structs: a hot name is then dealt anew by its blocks instead of staying in the task of its name.
     kinds = (
         shared.filter("NOT equal")
         .groupBy(F.struct("name", "block").alias("id"))
-        .agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "key", "start", "n")).alias("at"))
+        .agg(F.count("*").alias("c"), F.min(F.struct("h1", "h2", "start", "n")).alias("at"))
     )
     kinds = written(kinds.select("id.name", "id.block", "c", "at.*"), "kinds")
-    wanted = kinds.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "n", "name", "block")).alias("wanted"))
-    windows = base.join(wanted, ["doc_id", "key"]).select("text", "wanted").mapInArrow(lambda x: _windows(x, window), "name long, block long, offset int, hash long")
+    wanted = kinds.groupBy("h1", "h2").agg(F.collect_list(F.struct("start", "n", "name", "block")).alias("wanted"))
+    windows = base.join(wanted, ["h1", "h2"]).select("text", "wanted").mapInArrow(lambda x: _windows(x, window), "name long, block long, offset int, hash long")
     again = windows.groupBy("name", "hash").agg(F.min("block").alias("low"), F.max("block").alias("high")).filter("low <> high").select("name", "hash")
     masks = (
         windows.join(again, ["name", "hash"])
@@ -220,11 +226,11 @@ def remove_repeats(docs: DataFrame, window: int = 35, with_text: bool = False) -
     )
     copied = kinds.filter("c > 1").select("name", "block", whole.alias("all"))
     masks = copied.join(masks, ["name", "block"], "full").select("name", "block", F.coalesce("all", "mask").alias("mask"))
-    places = shared.filter("equal").select("doc_id", "key", "start", whole.alias("mask")).unionByName(
-        shared.filter("NOT equal").join(masks, ["name", "block"]).select("doc_id", "key", "start", "mask")
+    places = shared.filter("equal").select("h1", "h2", "start", whole.alias("mask")).unionByName(
+        shared.filter("NOT equal").join(masks, ["name", "block"]).select("h1", "h2", "start", "mask")
     )
     # Repeated rows find each place once for each of them.
-    places = places.groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "mask")).alias("places"))
-    out = base.join(places, ["doc_id", "key"], "left").select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "text", "places")
+    places = places.groupBy("h1", "h2").agg(F.collect_set(F.struct("start", "mask")).alias("places"))
+    out = base.join(places, ["h1", "h2"], "left").select("doc_id", "text", "places")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     return out.mapInArrow(lambda x: _kept(x, window, with_text), schema)
