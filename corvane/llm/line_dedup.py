@@ -13,8 +13,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.llm.scratch import hot_join, written
+
 #: Sites from which on a line is boilerplate; estimates within this factor of it are counted exactly.
 SITES, NEAR = 10, 2.0
+#: Boilerplate lines (24 bytes each) that are sent to all tasks; more of them meet the lines by a shuffle.
+BROADCAST = 200_000
 #: Logarithm of the registers of a sketch: a standard error of 1.04 / sqrt(2**10), 3 %.
 REGISTERS = 10
 
@@ -41,21 +45,25 @@ def remove_boilerplate(docs: DataFrame, sites: int = SITES, site: str = "source"
         lines.groupBy("high", "low")
         .agg(F.hll_sketch_agg("site", REGISTERS).alias("sketch"), F.count("*").alias("n"), F.min("doc_id").alias("first"))
         .filter(F.col("n") >= sites)
-        .select("high", "low", "first", F.hll_sketch_estimate("sketch").alias("estimate"))
+        .select("high", "low", "first", "n", F.hll_sketch_estimate("sketch").alias("estimate"))
         .filter(F.col("estimate") * NEAR >= sites)
     )
-    sure = spread.filter(F.col("estimate") > sites * NEAR).select("high", "low", "first")
-    near = spread.filter(F.col("estimate") <= sites * NEAR).select("high", "low", "first")
+    sure = spread.filter(F.col("estimate") > sites * NEAR).select("high", "low", "first", "n")
+    near = spread.filter(F.col("estimate") <= sites * NEAR).select("high", "low", "first", "n")
     exact = (
         lines.select("high", "low", "site")
         .join(near, ["high", "low"])
         .groupBy("high", "low")
-        .agg(F.countDistinct("site").alias("sites"), F.first("first").alias("first"))
+        .agg(F.countDistinct("site").alias("sites"), F.first("first").alias("first"), F.first("n").alias("n"))
         .filter(F.col("sites") >= sites)
-        .select("high", "low", "first")
+        .select("high", "low", "first", "n")
     )
-    boilerplate = sure.unionByName(exact)
-    gone = lines.join(boilerplate, ["high", "low"]).filter(~F.col("doc_id").eqNullSafe(F.col("first")))
+    boilerplate = written(sure.unionByName(exact), "boilerplate")
+    if boilerplate.count() <= BROADCAST:
+        marked = lines.join(F.broadcast(boilerplate), ["high", "low"])
+    else:
+        marked = hot_join(lines, boilerplate, ["high", "low"], "n", lines.count())
+    gone = marked.filter(~F.col("doc_id").eqNullSafe(F.col("first")))
     gone = gone.groupBy("key", "key2").agg(F.sort_array(F.collect_set("place")).alias("gone"))
     # What lies between two lines that go stays as a slice; lines and gone are columns here, not expressions to repeat.
     bounds = F.arrays_zip(F.concat(F.array(F.lit(-1)), "gone").alias("after"), F.concat("gone", F.array(F.size("lines"))).alias("before"))
