@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.scratch import small_batches, written
@@ -93,20 +93,12 @@ def in_sentences(column: pa.Array, kept: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate([np.zeros((3, 0), np.int64), *found], axis=1), axis=1)
 
 
-def telling(pos: np.ndarray, neg: np.ndarray, n1: float, n0: float) -> np.ndarray:
-    """Whether features in ``pos`` of n1 toxic and ``neg`` of n0 other texts tell the toxic ones."""
-    return (_g(pos, neg, n1, n0) > LEAST_G) & (pos / n1 > neg / n0) & (pos + neg >= LEAST_TEXTS)
-
-
-def fit(texts: list[str | None], labels: list[int], share: float, turns: int = 200) -> Model:
-    """Train on labelled texts at hand; ``share``: of toxic texts among all, which the sample may exaggerate."""
-    y, column = np.asarray(labels, dtype=np.float64), pa.array(texts, pa.string())
-    if not len(y) or y.min() == y.max():
-        return untrained()
-    row, number = in_texts(column)
-    pos, neg = (np.bincount(number, weights=w[row], minlength=1 << BITS) for w in (y, 1 - y))
-    kept = telling(pos, neg, y.sum(), (1 - y).sum())
-    return fitted(in_sentences(column, kept), y, pos, neg, share, turns)
+def telling(pos: Column, neg: Column, n1: float, n0: float) -> Column:
+    """Whether a feature in ``pos`` of n1 toxic and ``neg`` of n0 other texts tells the toxic ones: its G statistic and which way it leans."""
+    total, n = pos + neg, n1 + n0
+    cells = [(pos, total * n1 / n), (neg, total * n0 / n), (n1 - pos, (n - total) * n1 / n), (n0 - neg, (n - total) * n0 / n)]
+    g = sum((F.when(seen > 0, 2 * seen * F.log(seen / expected)).otherwise(0.0) for seen, expected in cells[1:]), F.when(pos > 0, 2 * pos * F.log(pos / cells[0][1])).otherwise(0.0))
+    return (g > LEAST_G) & (pos / n1 > neg / n0) & (total >= LEAST_TEXTS)
 
 
 def untrained() -> Model:
@@ -144,17 +136,6 @@ def fitted(pairs: np.ndarray, y: np.ndarray, pos: np.ndarray, neg: np.ndarray, s
     return Model(weights, float(b))
 
 
-def _g(pos: np.ndarray, neg: np.ndarray, n1: float, n0: float) -> np.ndarray:
-    total, n = pos + neg, n1 + n0
-    out = np.zeros(len(pos))
-    for seen, whole in ((pos, n1), (neg, n0)):
-        for observed, margin in ((seen, total), (whole - seen, n - total)):
-            expected = margin * whole / n
-            with np.errstate(divide="ignore", invalid="ignore"):
-                out += 2 * np.where(observed > 0, observed * np.log(observed / expected), 0)
-    return out
-
-
 def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for w in words(batch.column("text")):
@@ -186,7 +167,7 @@ def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(worst, pa.string())], names=["doc_id", "held_out", "score", "predicted", "worst_sentence"])
 
 
-def held_out() -> F.Column:
+def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
 
 
@@ -205,8 +186,7 @@ def _sentences_with(batches: Iterator[pa.RecordBatch], kept: np.ndarray) -> Iter
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on at most ``sample`` labelled documents of either label whose crc32 of the id, modulo 5, is not 0.
 
-    The texts stay on the executors: the driver gets the counts of at most 2**BITS features and then, of the few that
-    tell, where they occur. Of several texts of one doc_id the least is read.
+    The texts stay on the executors: the driver gets the few features that tell and where they occur. Of several texts of one doc_id the least is read.
     """
     usable = labels.filter("toxic IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct().filter(~held_out())
     counts = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
@@ -220,12 +200,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     ids, y = of.column("row").to_numpy(), of.column("toxic").to_numpy().astype(float)
     if not len(y) or y.min() == y.max():
         return untrained()
-    seen = rows.select("toxic", "text").mapInArrow(_texts_with, "number int, toxic int").groupBy("number").agg(F.sum("toxic").alias("pos"), F.count("*").alias("all"))
-    seen = seen.filter(F.col("all") >= LEAST_TEXTS).toArrow()
-    number, pos, neg = seen.column("number").to_numpy(), np.zeros(1 << BITS), np.zeros(1 << BITS)
-    pos[number] = seen.column("pos").to_numpy()
-    neg[number] = seen.column("all").to_numpy() - pos[number]
-    kept = telling(pos, neg, y.sum(), (1 - y).sum())
+    seen = rows.select("toxic", "text").mapInArrow(_texts_with, "number int, toxic int").groupBy("number").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg"))
+    seen = seen.filter(telling(F.col("pos"), F.col("neg"), float(y.sum()), float((1 - y).sum()))).toArrow()
+    number, pos, neg, kept = seen.column("number").to_numpy(), np.zeros(1 << BITS), np.zeros(1 << BITS), np.zeros(1 << BITS, dtype=bool)
+    pos[number], neg[number], kept[number] = seen.column("pos").to_numpy(), seen.column("neg").to_numpy(), True
     pairs = rows.select("row", "text").mapInArrow(lambda x: _sentences_with(x, kept), "row long, sentence long, number long").toArrow()
     pairs = np.stack([np.searchsorted(ids, pairs.column("row").to_numpy()), *(pairs.column(c).to_numpy() for c in ("sentence", "number"))])
     return fitted(np.unique(pairs, axis=1), y, pos, neg, counts[1] / (counts[0] + counts[1]))
