@@ -164,7 +164,7 @@ def _scanned(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[p
                 base.append(found)
                 runs.append([])
                 if i in with_run:
-                    waiting += [(len(runs) - 1, *m.span(), m[0].rstrip("=")) for m in _RUN.finditer(text) if not any(s < m.end() and m.start() < e for s, e, _ in found)]
+                    waiting += [(len(runs) - 1, *m.span(), m[0].rstrip("=")) for m in _RUN.finditer(text)]
             if waiting:
                 for (row, start, end, string), total in zip(waiting, fisher([w[3] for w in waiting]), strict=True):
                     kind = int(np.searchsorted(LENGTHS, len(string), side="right")) - 1
@@ -179,8 +179,9 @@ def _scanned(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[p
 def find_secrets(docs: DataFrame, rate: float = RATE) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random.
 
-    ``spans``: kind:start:end of the fixed patterns and of random strings (kind ``random``) that meet none of
-    them, by start, then kind, comma-joined; code points, end exclusive. base_sha256 is of the fixed ones alone.
+    ``spans``: kind:start:end of the fixed patterns and of random strings (kind ``random``), by start, then kind,
+    comma-joined; code points, end exclusive. A random string may lie in the span of a fixed pattern: a value or key
+    that the battery bears out. base_sha256 is of the fixed ones alone.
 
     Null or empty text: no spans, the digest of the empty string. Whole texts are read, however long. Repeated
     rows give equal rows and count each among the strings of their class; null ids stay null; an empty table gives
