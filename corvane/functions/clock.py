@@ -22,7 +22,7 @@ def season(month: Column) -> Column:
 
 
 #: First hour of each tariff tier and its factor on the base price.
-TARIFF = ((0, 0.5), (6, 1.75), (9, 1.0), (16, 1.75), (20, 0.75))
+TARIFF = ((0, 0.5), (6, 1.75), (9, 1.0), (17, 1.75), (20, 0.75))
 
 
 def tariff_factor(hour: Column) -> Column:

@@ -68,6 +68,21 @@ def roots(parents: DataFrame) -> DataFrame:
     return ends.unionByName(in_cycle).unionByName(tops)
 
 
+def cascades(adoptions: DataFrame, least: int = 3) -> DataFrame:
+    """Adoptions (node, step, parent: who it was taken from) that lead back to one origin, for origins with ``least`` followers.
+
+    origin, adopters (without the origin), first_step, duration, velocity (adopters a step, 0 within one step), farthest, mean_hops.
+    A parent that is no node ends a chain; its node is then an origin.
+    """
+    known = kept(adoptions.join(adoptions.select(F.col("node").alias("parent")).distinct(), "parent", "left_semi").select("node", "parent").filter("node <> parent"))
+    of = kept(roots(known.unionByName(adoptions.select("node", F.lit(None).cast(adoptions.schema["parent"].dataType).alias("parent")).join(known.select("node"), "node", "left_anti"))))
+    reverse = known.select(F.col("parent").alias("src"), F.col("node").alias("dst"))
+    away = hops(reverse, of.filter("node = root").select("node"))
+    each = adoptions.select("node", "step").join(of, "node").join(away, "node").filter("hops > 0")
+    out = each.groupBy(F.col("root").alias("origin")).agg(F.count("*").alias("adopters"), F.min("step").alias("first_step"), (F.max("step") - F.min("step")).alias("duration"), F.max("hops").alias("farthest"), F.avg("hops").alias("mean_hops"))
+    return out.filter(F.col("adopters") >= least).withColumn("velocity", F.coalesce(F.try_divide("adopters", F.nullif("duration", F.lit(0))), F.lit(0.0)))
+
+
 def hops(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """node, hops from the nearest of ``sources`` (node), along directed edges (src, dst): breadth first, until no node is new."""
     seen = kept(sources.select("node").distinct().withColumn("hops", F.lit(0)))

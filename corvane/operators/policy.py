@@ -81,14 +81,27 @@ def transition_probabilities(moves: DataFrame, source: str, target: str) -> Data
     return n.select(source, target, (F.col("n") / F.sum("n").over(Window.partitionBy(source))).alias("p"))
 
 
-def stationary(probabilities: DataFrame, source: str, target: str, rounds: int = 30) -> DataFrame:
-    """mode, p after ``rounds`` steps from an even start; the table has a row for each pair of modes, few by nature."""
-    modes = probabilities.select(F.col(source).alias("mode")).distinct()
-    at = modes.crossJoin(modes.agg(F.count("*").alias("n"))).select("mode", (1.0 / F.col("n")).alias("p"))
+def stationary(probabilities: DataFrame, source: str, target: str, tolerance: float = 1e-9, rounds: int = 40) -> DataFrame:
+    """mode, p in the long run from an even start: the matrix of moves is squared until that changes no p by ``tolerance``; raises if ``rounds`` don't reach it.
+
+    Half of each step stays where it is, so that modes which follow each other in turn settle too; a mode without
+    moves keeps what it has. The table has a row for each pair of modes, few by nature.
+    """
     from corvane.operators.graph import kept
 
-    for i in range(rounds):
-        at = at.withColumnRenamed("p", "q").join(probabilities, F.col("mode") == F.col(source)).groupBy(F.col(target).alias("mode")).agg(F.sum(F.col("p") * F.col("q")).alias("p"))
-        if i % 5 == 4:
-            at = kept(at)
-    return at
+    moves = probabilities.select(F.col(source).alias("a"), F.col(target).alias("b"), "p")
+    modes = kept(moves.select(F.col("a").alias("mode")).union(moves.select("b")).distinct())
+    still = modes.join(moves.select(F.col("a").alias("mode")).distinct(), "mode", "left_anti").withColumn("p", F.lit(0.5))
+    stay = modes.withColumn("p", F.lit(0.5)).unionByName(still).select(F.col("mode").alias("a"), F.col("mode").alias("b"), "p")
+    matrix = kept(moves.withColumn("p", F.col("p") / 2).unionByName(stay).groupBy("a", "b").agg(F.sum("p").alias("p")))
+    before = modes.withColumn("before", F.lit(0.0))
+    for _ in range(rounds):
+        right = matrix.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("p").alias("q"))
+        matrix = kept(matrix.join(right, "b").groupBy("a", F.col("c").alias("b")).agg(F.sum(F.col("p") * F.col("q")).alias("p")))
+        shares = matrix.groupBy(F.col("b").alias("mode")).agg((F.sum("p") / F.countDistinct("a")).alias("p"), F.countDistinct("a").alias("n"))
+        # Every mode counts as a start, also those that never lead here.
+        now = kept(shares.crossJoin(modes.agg(F.count("*").alias("all"))).select("mode", (F.col("p") * F.col("n") / F.col("all")).alias("p")))
+        if now.join(before, "mode").agg(F.max(F.abs(F.col("p") - F.col("before")))).first()[0] < tolerance:
+            return now
+        before = now.withColumnRenamed("p", "before")
+    raise RuntimeError(f"no long-run shares to {tolerance} after {rounds} squarings")

@@ -9,88 +9,55 @@ from corvane.operators import graph, transit
 from corvane.plans.registry import query, table
 
 
-def _trade(spark, sf_dir, which: str = "true") -> DataFrame:
-    """Trades between a part and a supplier, as edges between numbers of one space: all, or those that a condition picks."""
-    rows = table(spark, sf_dir, "lineitem").filter(which).select("l_partkey", "l_suppkey").distinct()
+def _trade(spark, sf_dir) -> DataFrame:
+    """Trades between a part and a supplier, as edges between numbers of one space."""
+    rows = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
     return rows.select((F.col("l_partkey") * 2).alias("src"), (F.col("l_suppkey") * 2 + 1).alias("dst"))
 
 
-#: The trades that the SQL of connected_components and node_degrees is about.
-_RARE = "l_quantity = 50 AND l_discount = 0.1"
-_EDGES = "e AS (SELECT DISTINCT l_partkey * 2 AS src, l_suppkey * 2 + 1 AS dst FROM lineitem WHERE l_quantity = 50 AND l_discount = 0.1), u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)"
-
-
-@query(f"""WITH RECURSIVE {_EDGES}, r(node, c) AS (SELECT src, src FROM u UNION SELECT u.dst, r.c FROM r JOIN u ON r.node = u.src) SELECT node, min(c) AS component FROM r GROUP BY 1""")
-def connected_components(spark, sf_dir):
-    return graph.components(_trade(spark, sf_dir, _RARE))
-
-
-@query(f"WITH {_EDGES} SELECT src AS node, count(*) AS degree FROM u GROUP BY 1")
-def node_degrees(spark, sf_dir):
-    return _degrees(_trade(spark, sf_dir, _RARE))
-
-
-def _degrees(edges: DataFrame) -> DataFrame:
-    return graph.undirected(edges).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree"))
-
-
 @query()
-def trade_components(spark, sf_dir):
-    """Components of all trades."""
+def connected_components(spark, sf_dir):
     return graph.components(_trade(spark, sf_dir))
 
 
 @query("""WITH e AS (SELECT DISTINCT l_partkey * 2 AS src, l_suppkey * 2 + 1 AS dst FROM lineitem), u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)
     SELECT src AS node, count(*) AS degree FROM u GROUP BY 1""")
-def trade_degrees(spark, sf_dir):
-    """Degrees in the graph of all trades."""
-    return _degrees(_trade(spark, sf_dir))
+def node_degrees(spark, sf_dir):
+    return graph.undirected(_trade(spark, sf_dir)).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree"))
 
 
-_FOLLOW = """f AS (SELECT user_id, lead(user_id) OVER (ORDER BY ts, event_id) AS next FROM events WHERE hour(ts) = 8), e AS (SELECT DISTINCT user_id AS src, next AS dst FROM f WHERE next IS NOT NULL AND next <> user_id),
+_FOLLOW = """f AS (SELECT user_id, lead(user_id) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) AS next FROM events), e AS (SELECT DISTINCT user_id AS src, next AS dst FROM f WHERE next IS NOT NULL AND next <> user_id),
     u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)"""
 
 
-def _follow(spark, sf_dir, which: str = "true") -> DataFrame:
-    """Who comes after whom on each day, by day so that no one order holds all rows, over all events or those that a condition picks."""
+def _follow(spark, sf_dir) -> DataFrame:
+    """Who comes after whom on each day, by day so that no one order holds all rows."""
     from pyspark.sql import Window
 
     w = Window.partitionBy(F.to_date("ts")).orderBy("ts", "event_id")
-    rows = table(spark, sf_dir, "events").filter(which).select(F.col("user_id").alias("src"), F.lead("user_id").over(w).alias("dst"))
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("src"), F.lead("user_id").over(w).alias("dst"))
     return rows.filter("dst IS NOT NULL AND dst <> src").distinct()
 
 
-#: The events that the SQL of clustering, breadth_first_hops and peer_mode_share is about.
-_MORNING = "hour(ts) = 8"
-_FOLLOW = _FOLLOW.replace("OVER (ORDER BY ts, event_id)", "OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id)")
-_FOLLOW_ALL = _FOLLOW.replace(" WHERE hour(ts) = 8", "")
-
-
 @query(f"""WITH {_FOLLOW}, d AS (SELECT src AS node, count(*) AS degree FROM u GROUP BY 1), t AS (SELECT a.src AS node, count(*) / 2 AS n FROM u a JOIN u b ON a.dst = b.src JOIN u c ON b.dst = c.dst AND c.src = a.src GROUP BY 1)
     SELECT d.node, degree, CAST(coalesce(n, 0) AS BIGINT) AS triangles, round(CASE WHEN degree > 1 THEN 2.0 * coalesce(n, 0) / (degree * (degree - 1)) ELSE 0 END, 9) AS clustering FROM d LEFT JOIN t USING (node)""")
 def clustering(spark, sf_dir):
-    return graph.clustering(_follow(spark, sf_dir, _MORNING)).withColumn("clustering", F.round("clustering", 9))
-
-
-@query()
-def day_clustering(spark, sf_dir):
-    """Clustering over the events of all hours."""
     return graph.clustering(_follow(spark, sf_dir)).withColumn("clustering", F.round("clustering", 9))
 
 
-@query(f"""WITH RECURSIVE {_FOLLOW}, r(node, hops) AS (SELECT (SELECT min(src) FROM e), 0 UNION SELECT e.dst, hops + 1 FROM r JOIN e ON r.node = e.src WHERE hops < 12) SELECT node, min(hops) AS hops FROM r GROUP BY 1""")
-def breadth_first_hops(spark, sf_dir):
-    return _hops(_follow(spark, sf_dir, _MORNING))
-
-
-def _hops(edges: DataFrame) -> DataFrame:
-    return graph.hops(edges, edges.agg(F.min("src").alias("node")))
+@query(f"""WITH {_FOLLOW}, d AS (SELECT src AS node, count(*) AS degree FROM u GROUP BY 1), t AS (SELECT a.src AS node, count(*) / 2 AS n FROM u a JOIN u b ON a.dst = b.src JOIN u c ON b.dst = c.dst AND c.src = a.src GROUP BY 1)
+    SELECT count(*) AS agents, CAST(sum(degree) // 2 AS BIGINT) AS ties, round(avg(degree), 6) AS mean_degree, round(avg(CASE WHEN degree > 1 THEN 2.0 * coalesce(n, 0) / (degree * (degree - 1)) ELSE 0 END), 6) AS clustering, round(sum(degree) / (count(*) * (count(*) - 1.0)), 9) AS density FROM d LEFT JOIN t USING (node)""")
+def network_metrics(spark, sf_dir):
+    """Size, mean degree, mean clustering and density of the whole network."""
+    nodes = graph.clustering(_follow(spark, sf_dir))
+    n, degrees = F.count("*"), F.sum("degree")
+    return nodes.agg(n.alias("agents"), F.floor(degrees / 2).cast("long").alias("ties"), F.round(F.avg("degree"), 6).alias("mean_degree"), F.round(F.avg("clustering"), 6).alias("clustering"), F.round(degrees / (n * (n - 1.0)), 9).alias("density"))
 
 
 @query()
-def day_hops(spark, sf_dir):
-    """Hops over the events of all hours."""
-    return _hops(_follow(spark, sf_dir))
+def breadth_first_hops(spark, sf_dir):
+    edges = _follow(spark, sf_dir)
+    return graph.hops(edges, edges.agg(F.min("src").alias("node")))
 
 
 @query()
@@ -110,19 +77,19 @@ def influence_roots(spark, sf_dir):
 @query(f"""WITH {_FOLLOW}, m AS (SELECT user_id, arg_max(event_type, ts) AS mode FROM events GROUP BY 1), n AS (SELECT u.src AS node, m.mode, count(*) AS n FROM u JOIN m ON u.dst = m.user_id GROUP BY 1, 2)
     SELECT node, mode, round(n / sum(n) OVER (PARTITION BY node), 9) AS share FROM n""")
 def peer_mode_share(spark, sf_dir):
-    return _peers(spark, sf_dir, _MORNING)
-
-
-def _peers(spark, sf_dir, which: str = "true") -> DataFrame:
     modes = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("node")).agg(F.max_by("event_type", "ts").alias("mode"))
-    return graph.peer_share(_follow(spark, sf_dir, which), modes).withColumn("share", F.round("share", 9))
+    return graph.peer_share(_follow(spark, sf_dir), modes).withColumn("share", F.round("share", 9))
 
 
-@query(f"""WITH {_FOLLOW_ALL}, m AS (SELECT user_id, arg_max(event_type, ts) AS mode FROM events GROUP BY 1), n AS (SELECT u.src AS node, m.mode, count(*) AS n FROM u JOIN m ON u.dst = m.user_id GROUP BY 1, 2)
-    SELECT node, mode, round(n / sum(n) OVER (PARTITION BY node), 9) AS share FROM n""")
-def day_peer_mode_share(spark, sf_dir):
-    """Shares of the neighbours' modes over the events of all hours."""
-    return _peers(spark, sf_dir)
+@query("""WITH RECURSIVE p AS (SELECT o_orderkey AS node, CAST(o_orderdate AS DATE) AS day, CASE WHEN o_orderkey % 10 <> 0 THEN o_orderkey - o_orderkey % 10 WHEN o_orderkey % 100 <> 0 THEN o_orderkey - o_orderkey % 100 END AS parent FROM orders),
+    r(node, top, hops) AS (SELECT node, node, 0 FROM p UNION ALL SELECT r.node, p.parent, hops + 1 FROM r JOIN p ON r.top = p.node WHERE p.parent IS NOT NULL AND p.parent IN (SELECT node FROM p)),
+    o AS (SELECT node, arg_max(top, hops) AS origin, max(hops) AS hops FROM r GROUP BY 1), c AS (SELECT origin, count(*) AS adopters, min(day) AS first, max(day) AS last, max(hops) AS farthest, avg(hops) AS mean_hops FROM o JOIN p USING (node) WHERE parent IS NOT NULL AND hops > 0 GROUP BY 1)
+    SELECT origin, adopters, CAST(first - DATE '1970-01-01' AS INT) AS first_step, CAST(last - first AS INT) AS duration, round(CASE WHEN last > first THEN adopters / (last - first) ELSE 0 END, 9) AS velocity, farthest, round(mean_hops, 9) AS mean_hops FROM c WHERE adopters >= 3""")
+def cascade_metrics(spark, sf_dir):
+    """Adoptions that one origin set off: how many, from when, for how long, how fast and over how many hops of influence."""
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(k.alias("node"), F.datediff("o_orderdate", F.lit("1970-01-01").cast("date")).alias("step"), F.when(k % 10 != 0, k - k % 10).when(k % 100 != 0, k - k % 100).alias("parent"))
+    return graph.cascades(rows, 3).withColumns({"velocity": F.round("velocity", 9), "mean_hops": F.round("mean_hops", 9)})
 
 
 @query()

@@ -106,9 +106,9 @@ def share_gradient(spark, sf_dir):
       FROM a WINDOW w AS (PARTITION BY event_type ORDER BY day)),
     d AS (SELECT *, avg(v) OVER (w ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS mv, coalesce(lag(m, 5) OVER w, first_value(m) OVER w) AS before, 
       coalesce(lead(m, 5) OVER w, last_value(m) OVER (PARTITION BY event_type ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS after FROM b WINDOW w AS (PARTITION BY event_type ORDER BY day))
-    SELECT event_type, day, round(mv, 6) AS mean_velocity, round(before, 6) AS before, round(after, 6) AS after FROM d WHERE c >= 20 AND i < c - 5 AND round(mv, 6) >= 0.5""")
+    SELECT event_type, day, round(mv, 6) AS mean_velocity, round(before, 6) AS before, round(after, 6) AS after FROM d WHERE c >= 20 AND i < c - 5 AND mv >= 0.5""")
 def tipping_points(spark, sf_dir):
-    out = series.tipping_points(_daily(spark, sf_dir), "event_type", "day", "n", velocity=0.4999995)
+    out = series.tipping_points(_daily(spark, sf_dir), "event_type", "day", "n", velocity=0.5)
     return out.select("event_type", "day", *(F.round(c, 6).alias(c) for c in ("mean_velocity", "before", "after")))
 
 
@@ -238,8 +238,8 @@ def charging_load_profile(spark, sf_dir):
     return out.select(F.col("hour").cast("int").alias("hour"), F.round("load", 4).alias("load"), "sessions")
 
 
-@query("""SELECT CASE WHEN hour(ts) >= 20 THEN 0.75 WHEN hour(ts) >= 16 THEN 1.75 WHEN hour(ts) >= 9 THEN 1.0 WHEN hour(ts) >= 6 THEN 1.75 ELSE 0.5 END AS factor, count(*) AS n,
-    round(sum(value * 0.16 * CASE WHEN hour(ts) >= 20 THEN 0.75 WHEN hour(ts) >= 16 THEN 1.75 WHEN hour(ts) >= 9 THEN 1.0 WHEN hour(ts) >= 6 THEN 1.75 ELSE 0.5 END), 4) AS cost FROM events GROUP BY 1""")
+@query("""SELECT CASE WHEN hour(ts) >= 20 THEN 0.75 WHEN hour(ts) >= 17 THEN 1.75 WHEN hour(ts) >= 9 THEN 1.0 WHEN hour(ts) >= 6 THEN 1.75 ELSE 0.5 END AS factor, count(*) AS n,
+    round(sum(value * 0.16 * CASE WHEN hour(ts) >= 20 THEN 0.75 WHEN hour(ts) >= 17 THEN 1.75 WHEN hour(ts) >= 9 THEN 1.0 WHEN hour(ts) >= 6 THEN 1.75 ELSE 0.5 END), 4) AS cost FROM events GROUP BY 1""")
 def tariff_cost(spark, sf_dir):
     from corvane.functions.clock import tariff_factor
 

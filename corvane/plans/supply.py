@@ -220,10 +220,30 @@ def keyword_counts(spark, sf_dir):
     return text.keyword_counts(table(spark, sf_dir, "conversations"), "role", "text", ["the", "and"])
 
 
-@query("""SELECT p_partkey, CASE WHEN p_size = 1 THEN 'metro' WHEN p_size = 0 THEN 'tram' WHEN p_size = 2 THEN 'train' WHEN p_size = 4 THEN 'ferry' WHEN p_size = 5 THEN 'cable_tram' WHEN p_size = 6 THEN 'gondola' WHEN p_size = 7 THEN 'funicular'
-    WHEN p_size = 11 THEN 'trolleybus' WHEN p_size = 12 THEN 'monorail' ELSE 'bus' END AS mode FROM part""")
+_TYPE = "CASE WHEN p_size < 15 THEN p_size WHEN p_size < 30 THEN 85 + p_size WHEN p_size < 40 THEN 370 + p_size ELSE 100 * (p_size - 35) END"
+_MODE_CASE = f"CASE {_TYPE} " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in text.ROUTE_MODES.items()) + " ELSE 'bus' END"
+
+
+def _route_type():
+    size = F.col("p_size")
+    return F.when(size < 15, size).when(size < 30, 85 + size).when(size < 40, 370 + size).otherwise(100 * (size - 35)).cast("int")
+
+
+@query(f"SELECT p_partkey, {_TYPE} AS route_type, {_MODE_CASE} AS mode FROM part")
 def route_modes(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", text.route_mode(F.col("p_size")).alias("mode"))
+    return table(spark, sf_dir, "part").select("p_partkey", _route_type().cast("long").alias("route_type"), text.route_mode(_route_type()).alias("mode"))
+
+
+_WORDS = ["Battery bus", "Zero-Emission fleet", "Trolley line", "fuel cell pilot", "FCEV", "diesel hybrid", "Petrol", "hybrid", "plain", "ZEV"]
+
+
+@query(f"""WITH r AS (SELECT p_partkey, {_TYPE} AS t, lower(list_extract({_WORDS}, CAST(p_partkey % 10 + 1 AS BIGINT))) AS w FROM part), f AS (SELECT p_partkey, t, CASE WHEN t IN {text.ELECTRIC_TYPES} THEN 'electric' {' '.join(f"WHEN regexp_matches(w, '{k}') THEN '{v}'" for k, v in text.FUELS)} WHEN t IN {text.RAIL_TYPES} THEN 'electric' ELSE 'diesel' END AS fuel FROM r)
+    SELECT CASE WHEN t = 4 OR t BETWEEN 1000 AND 1012 THEN CASE WHEN fuel = 'electric' THEN 'ferry_electric' ELSE 'ferry_diesel' END ELSE 'other' END AS ferry, fuel, count(*) AS n FROM f GROUP BY 1, 2""")
+def route_fuels(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select(_route_type().alias("t"), F.element_at(F.array(*(F.lit(w) for w in _WORDS)), (F.col("p_partkey") % 10 + 1).cast("int")).alias("w"))
+    rows = rows.withColumn("fuel", text.route_fuel(F.col("w"), F.col("t")))
+    mode = text.route_mode(F.col("t"), F.col("fuel"))
+    return rows.groupBy(F.when(mode.startswith("ferry"), mode).otherwise("other").alias("ferry"), "fuel").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT o_orderkey % 50 AS day, count(*) AS n, CASE WHEN count(*) >= 320 THEN 'violation' WHEN count(*) >= 256 THEN 'warning' ELSE 'ok' END AS state FROM orders GROUP BY 1""")
@@ -240,11 +260,14 @@ def seasonal_demand(spark, sf_dir):
     return o.groupBy(season(F.month("o_orderdate")).alias("season"), F.weekday("o_orderdate").isin(5, 6).alias("weekend")).agg(F.count("*").alias("trips"), F.round(F.sum("o_totalprice"), 2).alias("value"))
 
 
-@query("""SELECT label, count(*) AS n, round(avg(list_cosine_similarity(a, b)), 6) AS similarity FROM (SELECT label, CAST(embedding AS DOUBLE[]) AS a, CAST(lead(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS DOUBLE[]) AS b FROM embeddings) WHERE b IS NOT NULL GROUP BY 1""")
+@query("""WITH p AS (SELECT a.label, 1 - list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / sqrt(len(a.embedding)) AS s FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)
+    SELECT label, count(*) AS n, round(avg(s), 6) AS similarity, count(*) FILTER (s > 0.8) AS family, count(*) FILTER (s > 0.6 AND s <= 0.8) AS friend FROM p GROUP BY 1""")
 def tie_similarity(spark, sf_dir):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("label").orderBy("vec_id")
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    s = table(spark, sf_dir, "embeddings").select("label", F.col("embedding").alias("a"), F.lead("embedding").over(w).alias("b")).filter("b IS NOT NULL")
-    return s.select("label", (dot("a", "b") / F.sqrt(dot("a", "a") * dot("b", "b"))).alias("c")).groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("c"), 6).alias("similarity"))
+    """Strength of the ties of each vector with the next: 1 less their distance over the greatest, and the kinds of ties."""
+    from corvane.functions.minds import tie
+
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    after = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next"))
+    square = F.aggregate(F.zip_with("embedding", "next", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, v: s + v)
+    s = e.join(after, "vec_id").select("label", (1 - F.sqrt(square) / F.sqrt(F.size("embedding"))).alias("s")).withColumn("kind", tie(F.col("s")))
+    return s.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("s"), 6).alias("similarity"), F.count_if(F.col("kind") == "family").alias("family"), F.count_if(F.col("kind") == "friend").alias("friend"))

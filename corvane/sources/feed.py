@@ -50,6 +50,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
         return empty
     found = spark.read.csv(f"{folder}/{name}.txt", header=True, inferSchema=False, encoding="UTF-8", mode="PERMISSIVE")
     found = found.toDF(*(c.lstrip("﻿").strip() for c in found.columns))
+    if name == "calendar_dates":
+        place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+        return empty.withColumn("place", F.lit(None).cast("struct<block: bigint, row: bigint>")).unionByName(found.select(*(c for c in found.columns if c in wanted), place.alias("place")), allowMissingColumns=True)
     return empty.unionByName(found.select(*(c for c in found.columns if c in wanted)), allowMissingColumns=True)
 
 
@@ -61,9 +64,11 @@ def active_services(calendar: DataFrame, exceptions: DataFrame, day: date | None
     on = F.lit(day)
     period = on.between(F.try_to_date("start_date", "yyyyMMdd"), F.try_to_date("end_date", "yyyyMMdd"))
     regular = calendar.filter(period & (F.col(weekday) == "1")).select("service_id")
-    that_day = exceptions.filter(F.try_to_date("date", "yyyyMMdd") == on)
-    added, removed = (that_day.filter(F.col("exception_type") == t).select("service_id") for t in ("1", "2"))
-    return regular.join(removed, "service_id", "left_anti").unionByName(added).distinct()
+    that_day = exceptions.filter((F.try_to_date("date", "yyyyMMdd") == on) & F.col("exception_type").isin("1", "2"))
+    # Of several exceptions of one service the last in the file counts.
+    last = F.max_by("exception_type", "place") if "place" in that_day.columns else F.min("exception_type")
+    changed = that_day.groupBy("service_id").agg(last.alias("exception_type"))
+    return regular.join(changed, "service_id", "left_anti").unionByName(changed.filter("exception_type = '1'").select("service_id")).distinct()
 
 
 def stops(raw: DataFrame, box: tuple[float, float, float, float] | None = None) -> DataFrame:
@@ -78,8 +83,11 @@ def stops(raw: DataFrame, box: tuple[float, float, float, float] | None = None)
     return out.filter(in_box(F.col("lon"), F.col("lat"), *box)) if box else out
 
 
-def load(spark: SparkSession, path: str, day: date | None = None, box: tuple[float, float, float, float] | None = None) -> dict[str, DataFrame]:
-    """The tables of a feed, each cut down to what the others leave: stops, stop_times, trips, routes, shapes."""
+def load(spark: SparkSession, path: str, day: date | None = None, box: tuple[float, float, float, float] | None = None, fuels: dict[str, str] | None = None) -> dict[str, DataFrame]:
+    """The tables of a feed, each cut down to what the others leave: stops, stop_times, trips, routes, shapes.
+
+    ``fuels``: the fuel of routes by their id, where it is known better than their names tell.
+    """
     folder = unpacked(path)
     raw = {name: table(spark, folder, name) for name in COLUMNS}
     at_stops = stops(raw["stops"], box)
@@ -94,9 +102,10 @@ def load(spark: SparkSession, path: str, day: date | None = None, box: tuple[flo
     if services is not None:
         trips = trips.join(services, "service_id", "left_semi")
     routes = raw["routes"].join(trips.select("route_id"), "route_id", "left_semi")
-    mode = route_mode(F.coalesce(F.col("route_type").try_cast("int"), F.lit(3)))
-    named = F.concat_ws(" ", "route_short_name", "route_long_name", "route_desc")
-    routes = routes.withColumn("mode", mode).withColumn("fuel", route_fuel(named, F.col("mode"))).withColumn("color", F.coalesce(F.concat(F.lit("#"), F.nullif("route_color", F.lit(""))), F.lit("#888888")))
+    kind = F.coalesce(F.col("route_type").try_cast("int"), F.lit(3))
+    known = F.try_element_at(F.create_map(*(F.lit(x) for pair in fuels.items() for x in pair)), F.col("route_id")) if fuels else None
+    fuel = route_fuel(F.concat_ws(" ", "route_desc", "route_long_name", "route_color"), kind, known)
+    routes = routes.withColumn("fuel", fuel).withColumn("mode", route_mode(kind, F.col("fuel"))).withColumn("color", F.coalesce(F.concat(F.lit("#"), F.nullif("route_color", F.lit(""))), F.lit("#888888")))
     shapes = raw["shapes"].join(trips.select("shape_id"), "shape_id", "left_semi").select("shape_id", F.col("shape_pt_sequence").try_cast("int").alias("seq"), F.col("shape_pt_lon").try_cast("double").alias("lon"), F.col("shape_pt_lat").try_cast("double").alias("lat"))
     return {"stops": at_stops, "stop_times": times, "trips": trips, "routes": routes, "shapes": shapes}
 
@@ -109,6 +118,27 @@ def headways(feed: dict[str, DataFrame], window: tuple[int, int] = (25_200, 34_2
     return gaps(rows, ["route_id", "stop_id"], "departure", default)
 
 
+def summary(feed: dict[str, DataFrame]) -> DataFrame:
+    """kind, name, n: rows of each table, routes of each mode and of each fuel."""
+    parts = [feed[k].agg(F.lit("rows").alias("kind"), F.lit(k).alias("name"), F.count("*").alias("n")) for k in ("stops", "routes", "trips")]
+    parts.append(feed["shapes"].agg(F.lit("rows").alias("kind"), F.lit("shapes").alias("name"), F.countDistinct("shape_id").alias("n")))
+    parts += [feed["routes"].groupBy(F.lit(k).alias("kind"), F.col(k).alias("name")).agg(F.count("*").alias("n")) for k in ("mode", "fuel")]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def pair_times(feed: dict[str, DataFrame]) -> DataFrame:
+    """route_id, u, v of consecutive stops and the mean seconds between them (60 where negative) over a route's trips."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("trip_id").orderBy("seq")
+    hop = feed["stop_times"].join(feed["trips"].select("trip_id", "route_id"), "trip_id")
+    hop = hop.select("route_id", F.col("stop_id").alias("u"), F.lead("stop_id").over(w).alias("v"), (F.lead("arrival").over(w) - F.col("departure")).alias("s")).filter("v IS NOT NULL")
+    return hop.groupBy("route_id", "u", "v").agg(F.avg(F.when(F.col("s") < 0, 60).otherwise(F.col("s"))).alias("seconds"), F.count("*").alias("trips"))
+
+
 def edges(feed: dict[str, DataFrame], headway: DataFrame | None = None) -> DataFrame:
     """u, v of consecutive stops of active trips: mean seconds (60 where negative), trips, route_ids, mode and fuel of the first trip, headway."""
     from pyspark.sql import Window

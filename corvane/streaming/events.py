@@ -41,10 +41,18 @@ def perceived(events: DataFrame, agents: DataFrame, fallback: bool = True) -> Da
     """
     placed = F.col("spatial").isNotNull()
     km = haversine_km(F.col("spatial.lon"), F.col("spatial.lat"), F.col("lon"), F.col("lat"))
-    near = km <= F.greatest(F.coalesce("spatial.radius_km", F.lit(0.0)), F.coalesce("radius_km", F.lit(0.0)))
-    # A degree of latitude apart at most for any radius up to 110 km: an equality join on rows of latitude.
-    a = agents.withColumn("row", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: F.floor("lat") + i)))
-    with_place = events.filter(placed).withColumn("row", F.floor("spatial.lat")).join(a, "row").filter(near).select("event_id", "event_type", "agent")
+    reach, own = F.coalesce("spatial.radius_km", F.lit(0.0)), F.coalesce("radius_km", F.lit(0.0))
+
+    def rows(lat, radius):
+        """The rows of one degree of latitude (111 km and more) that a circle of any radius meets."""
+        degrees = radius / 111.0
+        return F.explode(F.sequence(F.floor(F.greatest(lat - degrees, F.lit(-90.0))), F.floor(F.least(lat + degrees, F.lit(90.0)))))
+
+    # Equality joins on rows of latitude: what an event reaches, and beyond that what an agent's own radius does.
+    e, wanted = events.filter(placed), ("event_id", "event_type", "agent")
+    reached = e.withColumn("row", rows(F.col("spatial.lat"), reach)).join(agents.withColumn("row", F.floor("lat")), "row").filter(km <= reach).select(*wanted)
+    seen = e.withColumn("row", F.floor("spatial.lat")).join(agents.withColumn("row", rows(F.col("lat"), own)), "row").filter((km <= own) & (km > reach)).select(*wanted)
+    with_place = reached.unionByName(seen)
     if not fallback:
         return with_place
     return with_place.unionByName(events.filter(~placed).crossJoin(agents.select("agent")).select("event_id", "event_type", "agent"))

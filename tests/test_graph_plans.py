@@ -25,7 +25,7 @@ def test_components_of_all_trades_equal_brute_force(spark):
     for a, b in pairs:
         a, b = sorted((top(a), top(b)))
         above[b] = a
-    got = {r.node: r.component for r in catalog.QUERIES["trade_components"](spark, DATA).collect()}
+    got = {r.node: r.component for r in catalog.QUERIES["connected_components"](spark, DATA).collect()}
     assert got == {x: top(x) for x in above}
 
 
@@ -49,7 +49,7 @@ def least_costs(edges, cost):
 
 def test_paths_over_all_hours_equal_brute_force(spark):
     edges = follows()
-    assert {r.node: r.hops for r in catalog.QUERIES["day_hops"](spark, DATA).collect()} == least_costs(edges, lambda a, b: 1)
+    assert {r.node: r.hops for r in catalog.QUERIES["breadth_first_hops"](spark, DATA).collect()} == least_costs(edges, lambda a, b: 1)
     assert {r.node: r.cost for r in catalog.QUERIES["shortest_paths"](spark, DATA).collect()} == least_costs(edges, lambda a, b: 1 + (a * 31 + b * 17) % 23)
 
 
@@ -59,7 +59,7 @@ def test_triangles_over_all_hours_equal_brute_force(spark):
         near.setdefault(a, set()).add(b)
         near.setdefault(b, set()).add(a)
     want = {x: (len(n), sum(q in near[p] for p, q in combinations(n, 2))) for x, n in near.items()}
-    got = {r.node: (r.degree, r.triangles) for r in catalog.QUERIES["day_clustering"](spark, DATA).collect()}
+    got = {r.node: (r.degree, r.triangles) for r in catalog.QUERIES["clustering"](spark, DATA).collect()}
     assert got == want
     assert {r.node for r in catalog.QUERIES["eigenvector_centrality"](spark, DATA).select("node").collect()} == set(near)
 

@@ -163,9 +163,81 @@ def test_desert_score(spark):
 
 def test_text_rules(spark):
     rows = spark.createDataFrame([("Electric tram",), ("plain",), (None,)], "t string")
-    assert [r[0] for r in rows.select(text.route_fuel(F.col("t"), F.lit("bus"))).collect()] == ["electric", "diesel", "diesel"]
+    assert [r[0] for r in rows.select(text.route_fuel(F.col("t"), F.lit(3))).collect()] == ["electric", "diesel", "diesel"]
     kinds = {"a": ["bus", "tram"], "b": ["plain"]}
     assert [r[0] for r in rows.select(text.archetype(F.col("t"), kinds, "none")).collect()] == ["a", "b", "none"]
     payload = spark.createDataFrame([('{"a": 1}', "x"), ('{"a": null, "b": 2}', "x"), ("{}", "y")], "p string, k string")
     assert [r[0] for r in payload.select(text.missing_keys(F.col("p"), F.col("k"), {"x": ["a", "b"]})).collect()] == [["b"], ["a"], []]
     assert date(2024, 1, 1).strftime("%A").lower() == "monday"
+
+
+def test_long_run_shares_equal_brute_force(spark):
+    import numpy as np
+
+    from corvane.operators.policy import stationary
+
+    matrix = np.array([[0.9, 0.1, 0.0], [0.2, 0.5, 0.3], [0.0, 0.4, 0.6]])
+    rows = [(f"m{i}", f"m{j}", float(matrix[i, j])) for i in range(3) for j in range(3) if matrix[i, j]]
+    got = {r.mode: r.p for r in stationary(spark.createDataFrame(rows, "a string, b string, p double"), "a", "b").collect()}
+    want = np.linalg.matrix_power(matrix, 4000)[0]
+    assert [got[f"m{i}"] for i in range(3)] == pytest.approx(want, abs=1e-8)
+    swing = spark.createDataFrame([("x", "y", 1.0), ("y", "x", 1.0)], "a string, b string, p double")
+    assert {r.mode: r.p for r in stationary(swing, "a", "b").collect()} == pytest.approx({"x": 0.5, "y": 0.5})
+
+
+def test_rules_fire_as_a_plain_loop_says(spark):
+    import random
+
+    from corvane.operators.policy import fired
+
+    rng = random.Random(6)
+    states = [(r, s, rng.random() * 100) for r in range(5) for s in range(60)]
+    rules = [{"name": "high", "condition": "grid_load > 60", "cooldown": 4}, {"name": "low", "condition": "grid_load < 20", "cooldown": 0}, {"name": "unknown", "condition": "temperature < 5"}]
+    want = []
+    for rule, holds in (("high", lambda x: x > 60), ("low", lambda x: x < 20)):
+        wait, last = {"high": 4, "low": 1}[rule], {}
+        for r, s, x in states:
+            if holds(x) and s - last.get(r, -99) >= wait:
+                last[r] = s
+                want.append((r, s, rule))
+    got = fired(spark.createDataFrame(states, "run int, step int, grid_load double"), rules)
+    assert sorted((r.run, r.step, r.rule) for r in got.collect()) == sorted(want)
+
+
+def test_two_sided_probability(spark):
+    import math
+
+    from corvane.operators.stats import two_sided
+
+    z = [0.0, 0.3, -1.0, 1.96, 3.5, -6.0]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in z], "z double").select(two_sided(F.col("z"))).collect()]
+    assert got == pytest.approx([math.erfc(abs(x) / math.sqrt(2)) for x in z], rel=2e-7)
+
+
+def test_ranks_over_many_partitions(spark):
+    import random
+
+    from corvane.operators.stats import before, exposure_summary
+
+    rng = random.Random(3)
+    rows = [(k, rng.randint(0, 500) / 10) for k in ("a", "b") for _ in range(400)] + [("c", 1.0)]
+    frame = spark.createDataFrame(rows, "k string, v double").repartition(7)
+    sizes = frame.groupBy("k", "v").agg(F.count("*").alias("t"))
+    assert all(r.before == sum(v < r.v for k, v in rows if k == r.k) for r in before(sizes, "k", "v", "t").collect())
+    for r in exposure_summary(frame, "k", "v").collect():
+        own = sorted(v for k, v in rows if k == r.k)
+        assert (r.n, r.least, r.greatest, r.median, r.p95) == (len(own), own[0], own[-1], own[len(own) // 2], own[int(len(own) * 0.95)] if len(own) > 20 else own[-1])
+
+
+def test_lifecycle_of_a_car(spark):
+    from corvane.functions.trips import lifecycle
+
+    row = spark.range(1).select(*(c.alias(k) for k, c in lifecycle(F.lit(100.0), F.lit("car")).items())).first()
+    assert (row.manufacturing_co2e_kg, row.energy_co2e_kg, row.upstream_co2e_kg, row.co2e_kg) == pytest.approx((4.0, 18.76, 3.5, 26.26))
+
+
+def test_words_of_beliefs_jobs_and_times(spark):
+    rows = spark.createDataFrame([("Every bus is late", "ambulance_run", "6:30", 90), ("Traffic jams", "van_delivery", "6", 4320), (None, "scenic_tour", "x", 600_000)], "belief string, job string, at string, minutes long")
+    job = F.col("job")
+    got = rows.select(text.belief_key(F.col("belief")), text.job_kind(job), text.ev_threshold(F.lit(0.5), job, text.job_kind(job)), text.clock_minutes(F.col("at")), text.duration(F.col("minutes"))).collect()
+    assert [tuple(r) for r in got] == [("ev_is_viable", "nhs_operations", 0.65, 390, "1.5 hours"), ("congestion_likely", "freight", 0.6, 360, "3.0 days"), (None, "passenger_errand", 0.4, None, "1.1 years")]

@@ -64,3 +64,18 @@ def test_log_and_report(spark, tmp_path):
     got = tables.profiles(spark, str(tmp_path / "log"))
     assert got.columns == ["step", "km", "mode"] and got.count() == 2
     assert tables.tall_report(b, {"km": "km", "step": ""}).count() == 2
+
+
+def test_feed_values(spark, tmp_path):
+    for name, body in FILES.items():
+        (tmp_path / name).write_text(body)
+    (tmp_path / "routes.txt").write_text("route_id,route_desc,route_long_name,route_type\nr1,battery bus,Line,3\nr2,,Electric boat,4\n")
+    (tmp_path / "calendar_dates.txt").write_text("service_id,date,exception_type\nwe,20240103,2\nwe,20240103,1\nwk,20240103,1\nwk,20240103,2\n")
+    every = feed.load(spark, str(tmp_path))
+    assert {r.route_id: (r.mode, r.fuel) for r in every["routes"].collect()} == {"r1": ("bus", "electric"), "r2": ("ferry_electric", "electric")}
+    known = feed.load(spark, str(tmp_path), fuels={"r2": "hydrogen"})["routes"].collect()
+    assert {r.route_id: (r.mode, r.fuel) for r in known} == {"r1": ("bus", "electric"), "r2": ("ferry_diesel", "hydrogen")}
+    # The last exception of a service counts: the weekend runs, the week does not.
+    assert {r.trip_id for r in feed.load(spark, str(tmp_path), day=date(2024, 1, 3))["trips"].collect()} == {"t3"}
+    assert {(r.kind, r.name): r.n for r in feed.summary(every).collect()}["rows", "trips"] == every["trips"].count()
+    assert {(r.route_id, r.u, r.v): (r.seconds, r.trips) for r in feed.pair_times(every).collect()}["r1", "p", "c"] == (300.0, 1)
