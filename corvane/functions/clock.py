@@ -30,3 +30,20 @@ def tariff_factor(hour: Column) -> Column:
     for start, factor in TARIFF[1:]:
         out = F.when(hour >= start, factor).otherwise(out)
     return out
+
+
+def step_of(at: Column, start: Column, minutes: float, end: Column | None = None) -> Column:
+    """The step of ``minutes`` each that a time falls in; null before the start and after the end."""
+    step = F.floor((F.unix_seconds(at.cast("timestamp")) - F.unix_seconds(start.cast("timestamp"))) / 60 / minutes)
+    inside = at >= start if end is None else at.between(start, end)
+    return F.when(inside, step)
+
+
+def triggers(at: Column, frequency: str) -> Column:
+    """Whether a time begins an hour, day, week (Monday), month or year."""
+    midnight = (F.hour(at) == 0) & (F.minute(at) == 0)
+    exact = F.second(at) == 0
+    return {
+        "hourly": (F.minute(at) == 0) & exact, "daily": midnight & exact, "weekly": midnight & (F.weekday(at) == 0), "monthly": midnight & (F.day(at) == 1),
+        "yearly": midnight & (F.day(at) == 1) & (F.month(at) == 1),
+    }[frequency]

@@ -45,3 +45,12 @@ def decayed(strength: Column, rate: float, steps: Column) -> Column:
 
 def habit(uses: Column) -> Column:
     return 1 - 1 / (1 + uses / 5)
+
+
+def charging_cost(kwh: Column, hour: Column, hours: Column, base: float) -> Column:
+    """Price of energy drawn evenly over ``hours`` from ``hour`` on, hour by hour of the tariff."""
+    from corvane.functions.clock import tariff_factor
+
+    each = F.sequence(F.lit(0), (F.ceil(hours) - 1).cast("int"))
+    part = lambda k: F.least(F.lit(1.0), hours - k) * tariff_factor((hour + k) % 24)
+    return F.aggregate(F.transform(each, part), F.lit(0.0), lambda s, x: s + x) * kwh / hours * base

@@ -241,3 +241,16 @@ def test_words_of_beliefs_jobs_and_times(spark):
     job = F.col("job")
     got = rows.select(text.belief_key(F.col("belief")), text.job_kind(job), text.ev_threshold(F.lit(0.5), job, text.job_kind(job)), text.clock_minutes(F.col("at")), text.duration(F.col("minutes"))).collect()
     assert [tuple(r) for r in got] == [("ev_is_viable", "nhs_operations", 0.65, 390, "1.5 hours"), ("congestion_likely", "freight", 0.6, 360, "3.0 days"), (None, "passenger_errand", 0.4, None, "1.1 years")]
+
+
+def test_arcs_and_slices(spark):
+    from corvane.functions.geo import arc, bounds_of, sliced
+
+    p = lambda lon, lat: F.struct(F.lit(float(lon)).alias("lon"), F.lit(float(lat)).alias("lat"))
+    one = spark.range(1)
+    shape = F.array(*(p(x, 0) for x in range(6)))
+    row = one.select(arc(p(0, 0), p(90, 0), 4).alias("a"), arc(p(5, 5), p(5, 5), 3).alias("same"), sliced(shape, p(1.1, 0.2), p(3.9, 0)).alias("s"), sliced(shape, p(4, 0), p(2, 0)).alias("back")).first()
+    assert [x.lon for x in row.a] == pytest.approx([0, 30, 60, 90]) and [x.lat for x in row.a] == pytest.approx([0] * 4)
+    assert [(x.lon, x.lat) for x in row.same] == [(5, 5)] * 3
+    assert [x.lon for x in row.s] == [1, 2, 3, 4] and [x.lon for x in row.back] == [4, 3, 2]
+    assert tuple(bounds_of(one.select(F.lit(1.0).alias("lon"), F.lit(2.0).alias("lat")).limit(0)).first()) == (0, 0, 0, 0)
