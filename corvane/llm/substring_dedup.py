@@ -35,7 +35,7 @@ _U = np.uint64
 #: Rounds of recompression; a window keeps the last round that leaves it LEAST symbols.
 ROUNDS, LEAST = 3, 4
 
-_BLOCKS = "h1 long, h2 long, start int, n int, name long, block long"
+_BLOCKS = "h1 long, h2 int, start int, n int, name long, block long"
 
 
 def _round(names: np.ndarray, row: np.ndarray, turn: int) -> np.ndarray:
@@ -190,12 +190,12 @@ def remove_repeats(docs: DataFrame, window: int = 35, with_text: bool = False) -
 
     Null text counts as no words; a text under ``window`` words loses nothing; an empty table
     gives an empty result; repeated rows repeat each other; further columns are ignored. Rows
-    are told apart by 128 bits of a hash of both columns, so null or repeated ids do no harm.
+    are told apart by 96 bits of hashes of both columns, so null or repeated ids do no harm.
     """
     if not 3 <= window <= 64:
         raise ValueError("window must be between 3 and 64 words")
     small_batches(docs)
-    base = docs.select(F.xxhash64("doc_id", "text").alias("h1"), F.xxhash64(F.lit(1), "text", "doc_id").alias("h2"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    base = docs.select(F.xxhash64("doc_id", "text").alias("h1"), F.hash("text", "doc_id").alias("h2"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     blocks = written(base.select("h1", "h2", "text").mapInArrow(lambda x: _blocks(x, window), _BLOCKS), "blocks")
     names = (
         blocks.groupBy("name")
@@ -204,7 +204,9 @@ def remove_repeats(docs: DataFrame, window: int = 35, with_text: bool = False) -
         .select("name", "c", (F.col("low") == F.col("high")).alias("equal"))
     )
     names = written(names, "names")
-    shared = written(hot_join(blocks, names, ["name"], "c", blocks.count()).drop("c"), "shared")
+    joined = hot_join(blocks, names, ["name"], "c", blocks.count())
+    # Blocks that repeat whole need no name any more.
+    shared = written(joined.select("h1", "h2", "start", "n", "equal", *(F.when(~F.col("equal"), F.col(c)).alias(c) for c in ("name", "block"))), "shared")
     drop(names)
     drop(blocks)
     whole = F.when(F.col("n") >= 64, F.lit(-1).cast("long")).otherwise(F.expr("shiftleft(1L, n) - 1L"))
