@@ -46,18 +46,6 @@ def small_batches(df: DataFrame, rows: int = 1000, size: int = 4 << 20) -> DataF
 HOT = 1000
 
 
-#: Rows of a sample that shows which keys are hot. It decides how rows are dealt, never which rows there are.
-LOOKED_AT = 200_000
-
-
-def hot_keys(df: DataFrame, key: str) -> DataFrame:
-    """The keys with more than one in ``HOT`` of a sample of a written table: fewer than ``HOT`` rows, fit to be sent to all."""
-    total = df.count()
-    looked = df.select(key).sample(min(1.0, LOOKED_AT / total), seed=1) if total > LOOKED_AT else df.select(key)
-    counts = looked.groupBy(key).agg(F.count("*").alias("c"))
-    return written(counts.filter(F.col("c") * HOT > min(total, LOOKED_AT)).select(key), "hot")
-
-
 def hot_join(left: DataFrame, right: DataFrame, keys: list[str], rows: str, total: int) -> DataFrame:
     """``left`` joined with ``right``, which has a row for each key and in ``rows`` how many of the ``total`` rows of left have it.
 

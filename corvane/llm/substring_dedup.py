@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.scratch import drop, hot_keys, small_batches, written
+from corvane.llm.scratch import drop, hot_join, small_batches, written
 from corvane.llm.words import Words, mix, spans_hash, words
 
 _U = np.uint64
@@ -197,18 +197,17 @@ def remove_repeats(docs: DataFrame, window: int = 35, with_text: bool = False) -
     small_batches(docs)
     base = docs.select(F.xxhash64("doc_id", "text").alias("h1"), F.hash("text", "doc_id").alias("h2"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     blocks = written(base.select("h1", "h2", "text").mapInArrow(lambda x: _blocks(x, window), _BLOCKS), "blocks")
-    hot = F.broadcast(hot_keys(blocks, "name"))
-
-    def with_names(part: DataFrame, small: bool) -> DataFrame:
-        """Blocks of names that occur again, and whether all blocks of their name are equal."""
-        names = part.groupBy("name").agg(F.count("*").alias("c"), F.min("block").alias("low"), F.max("block").alias("high")).filter("c > 1")
-        names = names.select("name", (F.col("low") == F.col("high")).alias("equal"))
-        return part.join(F.broadcast(names) if small else names, "name")
-
-    # A hot name's blocks stay where they are read; a row for each of the few hot names goes to them.
-    joined = with_names(blocks.join(hot, "name", "left_anti"), False).unionByName(with_names(blocks.join(hot, "name", "left_semi"), True))
+    names = (
+        blocks.groupBy("name")
+        .agg(F.count("*").alias("c"), F.min("block").alias("low"), F.max("block").alias("high"))
+        .filter("c > 1")
+        .select("name", "c", (F.col("low") == F.col("high")).alias("equal"))
+    )
+    names = written(names, "names")
+    joined = hot_join(blocks, names, ["name"], "c", blocks.count())
     # Blocks that repeat whole need no name any more.
     shared = written(joined.select("h1", "h2", "start", "n", "equal", *(F.when(~F.col("equal"), F.col(c)).alias(c) for c in ("name", "block"))), "shared")
+    drop(names)
     drop(blocks)
     whole = F.when(F.col("n") >= 64, F.lit(-1).cast("long")).otherwise(F.expr("shiftleft(1L, n) - 1L"))
     # Keys are structs: a hot name is then dealt anew by its blocks instead of staying in the task of its name.
@@ -219,7 +218,8 @@ def remove_repeats(docs: DataFrame, window: int = 35, with_text: bool = False) -
     )
     kinds = written(kinds.select("id.name", "id.block", "c", "at.*"), "kinds")
     wanted = kinds.groupBy("h1", "h2").agg(F.collect_list(F.struct("start", "n", "name", "block")).alias("wanted"))
-    windows = base.join(wanted, ["h1", "h2"]).select("text", "wanted").mapInArrow(lambda x: _windows(x, window), "name long, block long, offset int, hash long")
+    # With doc_id, which it does not need, this exchange of the texts is the same as the last one below and is made once.
+    windows = base.join(wanted, ["h1", "h2"]).select("doc_id", "text", "wanted").mapInArrow(lambda x: _windows(x, window), "name long, block long, offset int, hash long")
     again = windows.groupBy("name", "hash").agg(F.min("block").alias("low"), F.max("block").alias("high")).filter("low <> high").select("name", "hash")
     masks = (
         windows.join(again, ["name", "hash"])
