@@ -177,10 +177,12 @@ def _texts_with(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(number.astype(np.int32)), batch.column("toxic").take(pa.array(row))], names=["number", "toxic"])
 
 
-def _sentences_with(batches: Iterator[pa.RecordBatch], kept: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _sentences_with(batches: Iterator[pa.RecordBatch], kept: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The place of the row among ``ids``, sentence and number of each kept feature."""
     for batch in batches:
         row, sentence, number = in_sentences(batch.column("text"), kept)
-        yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(row)), pa.array(sentence), pa.array(number)], names=["row", "sentence", "number"])
+        place = np.searchsorted(ids, batch.column("row").to_numpy())[row]
+        yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32)) for x in (place, sentence, number)], names=["row", "sentence", "number"])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -204,9 +206,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     seen = seen.filter(telling(F.col("pos"), F.col("neg"), float(y.sum()), float((1 - y).sum()))).toArrow()
     number, pos, neg, kept = seen.column("number").to_numpy(), np.zeros(1 << BITS), np.zeros(1 << BITS), np.zeros(1 << BITS, dtype=bool)
     pos[number], neg[number], kept[number] = seen.column("pos").to_numpy(), seen.column("neg").to_numpy(), True
-    pairs = rows.select("row", "text").mapInArrow(lambda x: _sentences_with(x, kept), "row long, sentence long, number long").toArrow()
-    pairs = np.stack([np.searchsorted(ids, pairs.column("row").to_numpy()), *(pairs.column(c).to_numpy() for c in ("sentence", "number"))])
-    return fitted(np.unique(pairs, axis=1), y, pos, neg, counts[1] / (counts[0] + counts[1]))
+    pairs = rows.select("row", "text").mapInArrow(lambda x: _sentences_with(x, kept, ids), "row int, sentence int, number int").toArrow()
+    pairs = np.stack([pairs.column(c).to_numpy() for c in ("row", "sentence", "number")])
+    return fitted(pairs[:, np.lexsort(pairs[::-1])], y, pos, neg, counts[1] / (counts[0] + counts[1]))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
