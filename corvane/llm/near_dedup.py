@@ -50,11 +50,15 @@ def _rare_pairs(sets: DataFrame, k: int, part: int, whole: int) -> DataFrame:
     ranked = ranked.select("id", "n", "component", F.posexplode(F.slice("all", F.lit(1), longest.cast("int"))).alias("place", "x")).filter("x.shared")
     ranked = written(ranked.select("id", "n", "component", "place", "x.shingle"), "prefixes")
     drop(each)
-    a, b = ranked.alias("a"), ranked.alias("b")
+    # The smaller set of a pair, of equal ones that of the lesser id, needs a shorter prefix, as its partner has as many
+    # shingles at least: texts of one template below the threshold have only rare ones there, which nothing meets.
+    smaller = ranked.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * 2 * part / (whole + part)))
+    a, b = smaller.alias("a"), ranked.alias("b")
     need = F.ceil((F.col("a.n") + F.col("b.n")) * part / (whole + part))
     fits = (F.col("a.place") <= F.col("a.n") - need) & (F.col("b.place") <= F.col("b.n") - need)
-    found = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.component") != F.col("b.component")) & fits)
-    return found.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    ordered = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.id") < F.col("b.id")))
+    found = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & ordered & (F.col("a.component") != F.col("b.component")) & fits)
+    return found.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, part: int = 80, whole: int = 100, bands: int = BANDS, width: int = WIDTH) -> DataFrame:
