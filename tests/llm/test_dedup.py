@@ -73,6 +73,20 @@ def test_lines_with_gaps_and_clashing_columns(spark):
     assert by[50] == [(None, 0, 0)] and by[51] == [("", 0, 0)] and by[None] == [("", 1, 1)]
 
 
+def test_lines_told_by_the_sketch_alone_and_by_exact_counts(spark):
+    """Lines on 100 sites are sure, on 9 to 11 counted exactly, on 2 left out; a line of one site many times never goes."""
+    spread = {"wide": 100, "eleven": 11, "ten": 10, "nine": 9, "two": 2}
+    rows = [(i, "\n".join([*(w for w, n in spread.items() if i < n), f"own {i}"]), f"site {i}", i) for i in range(100)]
+    rows += [(1000 + i, "often", "site 0", i) for i in range(50)] + [(2000, "often\n" * 20_000 + "wide", "site 1", 0)]
+    got = remove_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string, high int"), sites=10)
+    assert got.columns == ["doc_id", "text", "source", "high", "n_lines", "n_removed"]
+    by = {r.doc_id: r for r in got.collect()}
+    assert len(by) == len(rows) and by[0].n_removed == 0 and by[0].text.startswith("wide\neleven")
+    assert by[5].text == "nine\nown 5" and by[10].text == "own 10" and by[1].text == "nine\ntwo\nown 1" and by[99].n_removed == 1
+    assert by[1049].text == "often" and by[2000].n_removed == 1 and by[2000].n_lines == 20_001
+    assert remove_boilerplate(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
 _LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
 
@@ -113,6 +127,23 @@ def test_near_duplicates_with_a_large_group(spark):
     assert got == brute_near(rows, 3, 85)
 
 
+def test_near_duplicates_where_buckets_mix_texts_of_all_lengths(spark):
+    """One-row bands put texts of little in common into one bucket, so that the prefix filter has to find the links."""
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(300)]
+    rows = []
+    for family in range(6):
+        base = [rng.choice(vocabulary) for _ in range(60)]
+        for i in range(25):
+            w = list(base)
+            for _ in range(rng.choice((0, 1, 2, 3, 8, 15))):
+                w[rng.randrange(len(w))] = rng.choice(vocabulary)
+            at = rng.randint(0, 6)
+            rows.append((family * 100 + i, " ".join(w[at : len(w) - rng.randint(0, 6)] + [rng.choice(vocabulary) for _ in range(rng.randint(0, 8))])))
+    got = sorted(map(tuple, near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80, 100, bands=60, width=1).collect()))
+    assert got == brute_near(rows, 2, 80)
+
+
 def brute_vectors(rows, least):
     parent, degree, by = {r[0]: r[0] for r in rows}, [0] * len(rows), collections.defaultdict(list)
 
