@@ -17,12 +17,20 @@ from corvane.llm.toxicity import without_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier predicts toxic go."""
+    """Documents that the classifier predicts toxic go.
+
+    Null and empty texts are scored like any other, rows without doc_id too; repeated rows go or stay together; without
+    labels nothing goes; no rows give no rows.
+    """
     return without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that many sources share stay once; documents that were nothing else go."""
+    """Lines that many sources share stay once; documents that were nothing else go.
+
+    Null and empty texts stay as they are, a null source counts as none, rows without doc_id are never the first to hold a
+    line; n_chars follows the text where lines went.
+    """
     out = remove_boilerplate(docs)
     emptied = (F.col("n_removed") > 0) & (F.col("n_removed") == F.col("n_lines"))
     out = out.filter(~emptied).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
@@ -30,18 +38,28 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of least id stays."""
+    """Of each group of near duplicates the document of least id stays.
+
+    Null, empty and blank texts and rows without doc_id link with nothing and stay; rows that share a doc_id are one
+    document, so repeated rows stay or go together.
+    """
     gone = near_duplicates(docs.select("doc_id", "text")).filter("NOT kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that cover a benchmark item go."""
+    """Documents that cover a benchmark item go.
+
+    Null and empty texts cover nothing and stay, null and blank items are covered by nothing.
+    """
     return without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, packed into training sequences: a row for each piece."""
+    """What is left, packed into training sequences: a row for each piece.
+
+    Null and empty texts are their end token alone; repeated rows and rows without doc_id are packed each on its own.
+    """
     return pack(docs.select("doc_id", "text"))
 
 
@@ -53,7 +71,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: No SQL expresses the trained classifier or the tokenizer; the tests hold no stage's kept rows against brute force yet.
+#: No SQL expresses the trained classifier or the tokenizer; the tests hold what each stage keeps against plain Python.
 ORACLE_SQL = None
 
 
