@@ -27,7 +27,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(df: DataFrame, rows: int = 1000, size: int = 4 << 20) -> DataFrame:
+def small_batches(df: DataFrame, rows: int = 1000, size: int = 1 << 20) -> DataFrame:
     """Bound what a Python worker holds at once: batches of ``rows`` rows and about ``size`` bytes at most.
 
     Spark has these bounds as settings of the session alone; they are lowered, never raised.
