@@ -34,6 +34,8 @@ SEED, COVERED = 5, 0.8
 BLOCK_ITEMS, BLOCK_BYTES = 20_000, 16 << 20
 
 _BITS = 22
+_U = np.uint64
+_PRIME, _BASE, _LOW31, _LOW30 = _U(2**61 - 1), 1_390_672_895_218_362_741, _U(2**31 - 1), _U(2**30 - 1)
 
 
 @dataclass
@@ -83,11 +85,48 @@ def index(ids: list, texts: list[str | None], covered: float = COVERED) -> Items
     return Items(ids, found, seeds, tried[order], item[order], seen, short)
 
 
-def _free_runs(h: np.ndarray, free: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of all runs of ``size`` free words."""
-    marked = np.concatenate([[0], np.cumsum(~free)])
-    at = np.flatnonzero(marked[size:] == marked[:-size])
-    return at, spans_hash(h, at, at + size)
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo 2**61 - 1, from products of 31 bits."""
+    a_high, a_low, b_high, b_low = a >> _U(31), a & _LOW31, b >> _U(31), b & _LOW31
+    middle = a_low * b_high + a_high * b_low
+    return _reduced((a_high * b_high << _U(1)) + (middle >> _U(30)) + ((middle & _LOW30) << _U(31)) + a_low * b_low)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & _PRIME) + (x >> _U(61))
+    return np.where(x >= _PRIME, x - _PRIME, x)
+
+
+def _powers(n: int) -> np.ndarray:
+    out, step = np.ones(1, dtype=np.uint64), np.array([_BASE], dtype=np.uint64)
+    while len(out) < n:
+        out = np.concatenate([out, _times(out, step)])
+        step = _times(step, step)
+    return out[:n]
+
+
+class Rolled:
+    """Running Karp-Rabin hashes of a sequence of 64-bit words: polynomials over the field of 2**61 - 1 elements.
+
+    Two different runs of n words agree for at most n of its 2**61 bases.
+    """
+
+    def __init__(self, h: np.ndarray, power: np.ndarray):
+        """``power``: as many powers of the base as the longest sequence that runs are compared with has words, and one more."""
+        term = _times(_reduced(h), power[: len(h)])
+        self.power, self.sums = power, np.zeros(len(h) + 1, dtype=np.uint64)
+        # Sums of both halves of the terms stay below 2**64 for up to 2**32 words.
+        high, low = _reduced(np.cumsum(term >> _U(32))), _reduced(np.cumsum(term & _U(0xFFFFFFFF)))
+        self.sums[1:] = _reduced(_times(high, np.full(1, 1 << 32, dtype=np.uint64)) + low)
+
+    def runs(self, at: np.ndarray, size: int) -> np.ndarray:
+        return _times(_reduced(self.sums[at + size] + (_PRIME - self.sums[at])), self.power[len(self.power) - 1 - at])
+
+    def free(self, free: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and hashes of all runs of ``size`` free words."""
+        marked = np.concatenate([[0], np.cumsum(~free)])
+        at = np.flatnonzero(marked[size:] == marked[:-size])
+        return at, self.runs(at, size)
 
 
 def tiles(text: np.ndarray, item: np.ndarray, free: np.ndarray | None = None, shortest: int = SEED) -> list[tuple[int, int, int]]:
@@ -97,10 +136,12 @@ def tiles(text: np.ndarray, item: np.ndarray, free: np.ndarray | None = None, sh
     """
     in_text = np.ones(len(text), dtype=bool) if free is None else free.copy()
     in_item = np.ones(len(item), dtype=bool)
+    power = _powers(max(len(text), len(item)) + 1)
+    rolled_text, rolled_item = Rolled(text, power), Rolled(item, power)
     out: list[tuple[int, int, int]] = []
 
     def common(size: int) -> bool:
-        return bool(np.isin(_free_runs(item, in_item, size)[1], _free_runs(text, in_text, size)[1]).any())
+        return bool(np.isin(rolled_item.free(in_item, size)[1], rolled_text.free(in_text, size)[1]).any())
 
     most = min(len(text), len(item))
     while most >= shortest and common(shortest):
@@ -108,11 +149,11 @@ def tiles(text: np.ndarray, item: np.ndarray, free: np.ndarray | None = None, sh
         while low < high:
             middle = (low + high + 1) // 2
             low, high = (middle, high) if common(middle) else (low, middle - 1)
-        where, hashes = _free_runs(item, in_item, low)
+        where, hashes = rolled_item.free(in_item, low)
         places: dict[int, list[int]] = {}
         for p, h in zip(where[::-1].tolist(), hashes[::-1].tolist(), strict=True):
             places.setdefault(h, []).append(p)
-        where, hashes = _free_runs(text, in_text, low)
+        where, hashes = rolled_text.free(in_text, low)
         shared = np.isin(hashes, np.fromiter(places, np.uint64, len(places)))
         end = 0
         for t, h in zip(where[shared].tolist(), hashes[shared].tolist(), strict=True):

@@ -10,8 +10,8 @@ because on characters below U+0180 its normalizer only lower-cases and folds whi
 with other characters or with control characters that count as white space are encoded, each
 alone, by the library; so are whole texts with strings of special tokens.
 
-A worker knows pieces by a 64-bit hash of their bytes: of 10**10 distinct pieces held against
-``REMEMBERED`` known ones a false match has a chance of 6e-4 in all.
+A worker knows pieces by a 64-bit hash of their bytes, which no pattern of letters cancels: of 10**10 distinct
+pieces held against ``REMEMBERED`` known ones a false match has a chance of 1e-3 in all.
 """
 
 from __future__ import annotations

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.scratch import small_batches, written
-from corvane.llm.words import _LOWER_CODES, Words, spans_hash, words
+from corvane.llm.words import Words, bytes_hash, words
 
 #: Features are numbered by this many bits of their hash.
 BITS = 20
@@ -61,12 +61,12 @@ def features(w: Words) -> list[np.ndarray]:
     for _ in range(3):
         starts += (ends - starts > 1) & _PUNCTUATION[w.buffer[starts]]
         ends -= (ends - starts > 1) & _PUNCTUATION[w.buffer[ends - 1]]
-    coded = _LOWER_CODES[w.buffer]
-    out = [(spans_hash(coded, starts, ends) >> np.uint64(64 - BITS)).astype(np.int64)]
+    lowered = w.padded(lower=True)
+    out = [(bytes_hash(lowered, starts, ends) >> np.uint64(64 - BITS)).astype(np.int64)]
     for size in BEGINNINGS:
         long = np.flatnonzero(ends - starts > size)
         numbers = np.full(len(starts), -1, dtype=np.int64)
-        numbers[long] = (spans_hash(coded, starts[long], starts[long] + size) ^ np.uint64(size << (64 - BITS)) ) >> np.uint64(64 - BITS)
+        numbers[long] = (bytes_hash(lowered, starts[long], starts[long] + size) ^ np.uint64(size << (64 - BITS))) >> np.uint64(64 - BITS)
         out.append(numbers)
     return out
 

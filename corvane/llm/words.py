@@ -16,18 +16,15 @@ import pyarrow as pa
 _U = np.uint64
 _SEPARATOR = np.zeros(256, dtype=bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
-_CODES = np.random.Generator(np.random.PCG64(20_240_607)).integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
-_LOWER_CODES = _CODES.copy()
-_LOWER_CODES[65:91] = _CODES[97:123]
-_BASE = _U(0x9E3779B97F4A7C15 | 1)
-_INVERSE = _U(pow(int(_BASE), -1, 2**64))
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Keeps the first 0 to 8 bytes of a little-endian block.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+_PLACE, _SIZE, _RIGHT = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93), _U(0xC2B2AE3D27D4EB4F)
 #: Bytes of text handled at once; a longer single text is handled alone.
 CHUNK_BYTES = 2 << 20
-#: Bytes hashed at once, and powers of the base that are kept.
-STRETCH, KEPT_POWERS = 1 << 18, 1 << 20
-
-_powers = np.ones(1, dtype=np.uint64)
-_inverses = np.ones(1, dtype=np.uint64)
+#: Words hashed at once.
+STRETCH = 1 << 16
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -40,33 +37,56 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first ``n`` powers of the base and of its inverse, modulo 2**64; up to ``KEPT_POWERS`` stay in memory."""
-    global _powers, _inverses
-    if n > KEPT_POWERS:
-        return _table(_BASE, n), _table(_INVERSE, n)
-    if len(_powers) < n:
-        size = min(KEPT_POWERS, max(n, 2 * len(_powers), 1 << 16))
-        _powers, _inverses = _table(_BASE, size), _table(_INVERSE, size)
-    return _powers[:n], _inverses[:n]
-
-
-def _table(base: np.uint64, n: int) -> np.ndarray:
-    table = np.full(n, base, dtype=np.uint64)
-    table[0] = 1
-    return np.multiply.accumulate(table)
-
-
 def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each slice ``values[start:end]`` of 64-bit values, order and length included."""
-    power, inverse = powers(len(values) + 1)
-    sums = np.empty(len(values) + 1, dtype=np.uint64)
-    sums[0] = 0
-    np.cumsum(values * power[:-1], out=sums[1:])
-    h = sums[ends] - sums[starts]
-    h *= inverse[starts]
-    h += (ends - starts).astype(np.uint64) * _U(0xD6E8FEB86659FD93)
-    return mix(h)
+    """A hash of each slice ``values[start:end]`` of 64-bit values, order and length included.
+
+    Runs of 1, 2, 4 ... values are named by scrambling the names of their halves; a slice is named by the longest of these runs
+    at either end of it. No step is linear, so that no pattern of values cancels: two different slices agree with a chance of about 2**-63.
+    """
+    size = ends - starts
+    out, most = np.zeros(len(starts), dtype=np.uint64), int(size.max(initial=0))
+    level, width = values, 1
+    while width <= most:
+        mine = np.flatnonzero((size >= width) & (size < 2 * width))
+        if len(mine) == len(out):
+            out = _joined(level[starts], level[ends - width])
+        elif len(mine):
+            out[mine] = _joined(level[starts[mine]], level[ends[mine] - width])
+        if 2 * width <= most:
+            level = _joined(level[:-width], level[width:])
+        width *= 2
+    out += size.astype(np.uint64) * _SIZE
+    return mix(out)
+
+
+def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    turned = right << _U(31)
+    turned |= right >> _U(33)
+    turned *= _RIGHT
+    turned += left
+    return mix(turned)
+
+
+def bytes_hash(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each span of a buffer that has 8 more bytes at its end.
+
+    Blocks of 8 bytes are scrambled with their place in the span before they are added up. Spans of up to 8 bytes and of one
+    length never share a hash, others with a chance of about 2**-63, whatever their letters.
+    """
+    size = ends - starts
+    at_any_byte = np.ndarray(len(buffer) - 7, dtype="<u8", buffer=buffer, strides=(1,))
+    out = mix(at_any_byte[starts] & _FIRST[np.minimum(size, 8)])
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        more = (size[long] - 1) >> 3
+        first = np.cumsum(more) - more
+        place = np.arange(1, more.sum() + 1) - np.repeat(first, more)
+        block = at_any_byte[np.repeat(starts[long], more) + 8 * place]
+        block &= _FIRST[np.minimum(np.repeat(size[long], more) - 8 * place, 8)]
+        block = mix(block) + place.astype(np.uint64) * _PLACE
+        out[long] += np.add.reduceat(mix(block), first)
+    out += size.astype(np.uint64) * _SIZE
+    return mix(out)
 
 
 @dataclass
@@ -81,15 +101,18 @@ class Words:
     rows: np.ndarray  #: first word of each row, and the number of words at the end
     bounds: np.ndarray  #: first byte of each row, and the number of bytes at the end
 
+    def padded(self, lower: bool = False) -> np.ndarray:
+        """The bytes, A-Z in lower case if ``lower``, and 8 more."""
+        out = np.zeros(len(self.buffer) + 8, dtype=np.uint8)
+        out[:-8] = _LOWER[self.buffer] if lower else self.buffer
+        return out
+
     def hashes(self, lower: bool = False) -> np.ndarray:
-        """A hash of each word, in stretches of about ``STRETCH`` bytes so that long texts take little memory."""
-        codes, out, first = _LOWER_CODES if lower else _CODES, np.empty(len(self.starts), dtype=np.uint64), 0
-        while first < len(out):
-            low = int(self.starts[first])
-            last = max(first + 1, int(np.searchsorted(self.ends, low + STRETCH, side="right")))
-            starts, ends = self.starts[first:last] - low, self.ends[first:last] - low
-            out[first:last] = spans_hash(codes[self.buffer[low : low + int(ends[-1])]], starts, ends)
-            first = last
+        """A hash of each word, in stretches of ``STRETCH`` words so that long texts take little memory."""
+        buffer, out = self.padded(lower), np.empty(len(self.starts), dtype=np.uint64)
+        for first in range(0, len(out), STRETCH):
+            part = slice(first, first + STRETCH)
+            out[part] = bytes_hash(buffer, self.starts[part], self.ends[part])
         return out
 
     def row_of(self) -> np.ndarray:
