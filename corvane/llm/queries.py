@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +71,16 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.manifest import digest, manifest
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    # Every second row, by its id, is held against the manifest without its line breaks.
+    tampered = (F.crc32(F.col("doc_id").cast("string")) % 2 == 0) & F.contains("text", F.lit("\n"))
+    offered = F.when(tampered, digest("doc_id", "source", "lang", "n_chars", F.replace("text", F.lit("\n"), F.lit(""))))
+    return manifest(docs, offered=offered, with_proof=False)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -87,6 +98,7 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op2_substring_dedup": op2_substring_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op13_merkle_manifest": op13_merkle_manifest,
     "pipeline": pipeline,
 }
 
@@ -101,4 +113,43 @@ ORACLE_SQL: dict[str, str] = {
                coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '') AS text
         FROM j GROUP BY rn, doc_id
     """,
+    "op13_merkle_manifest": r"""
+        WITH RECURSIVE bits AS (
+          SELECT DISTINCT doc_id, list_reduce(list_prepend(4294967295::UBIGINT, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [ord(c)::UBIGINT, 256, 256, 256, 256, 256, 256, 256, 256]))),
+            lambda a, x: CASE WHEN x < 256 THEN xor(a, x) ELSE xor(a >> 1, CASE WHEN a % 2 = 1 THEN 3988292384::UBIGINT ELSE 0::UBIGINT END) END) % 2 = 1 AS even FROM documents),
+        head AS (
+          SELECT d.doc_id, d.source, d.text, even, concat(coalesce(concat(strlen(CAST(d.doc_id AS VARCHAR)), ':', d.doc_id), '-'), coalesce(concat(strlen(d.source), ':', d.source), '-'),
+            coalesce(concat(strlen(lang), ':', lang), '-'), coalesce(concat(strlen(CAST(n_chars AS VARCHAR)), ':', n_chars), '-')) AS head
+          FROM documents d JOIN bits USING (doc_id)),
+        leaf AS (
+          SELECT doc_id, source, sha256(concat(head, coalesce(concat(strlen(text), ':', text), '-'))) AS leaf,
+            sha256(concat(head, coalesce(concat(strlen(CASE WHEN even THEN replace(text, chr(10), '') ELSE text END), ':', CASE WHEN even THEN replace(text, chr(10), '') ELSE text END), '-'))) AS offered
+          FROM head),
+        grown AS (
+          SELECT source, 0 AS up, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS place, leaf AS hash, count(*) OVER (PARTITION BY source) AS total FROM leaf
+          UNION ALL
+          SELECT source, up + 1, place // 3, sha256(string_agg(hash, '' ORDER BY place)), (total + 2) // 3 FROM grown WHERE total > 1 GROUP BY source, up, place // 3, total),
+        runs AS (SELECT source, up, place // 3 AS run, list(hash ORDER BY place) AS held FROM grown WHERE total > 1 GROUP BY ALL),
+        path AS (
+          SELECT doc_id, source, leaf, 0 AS up, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS place, '' AS proof, offered AS folded FROM leaf
+          UNION ALL
+          SELECT doc_id, p.source, leaf, p.up + 1, place // 3, concat(proof, array_to_string(held[1 : place % 3], ''), array_to_string(held[place % 3 + 2 : 3], '')),
+            sha256(concat(array_to_string(held[1 : place % 3], ''), folded, array_to_string(held[place % 3 + 2 : 3], '')))
+          FROM path p JOIN runs r ON p.up = r.up AND p.place // 3 = r.run AND p.source IS NOT DISTINCT FROM r.source),
+        over AS (
+          SELECT 0 AS up, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place, hash, count(*) OVER () AS total FROM grown WHERE total = 1
+          UNION ALL
+          SELECT up + 1, place // 3, sha256(string_agg(hash, '' ORDER BY place)), (total + 2) // 3 FROM over WHERE total > 1 GROUP BY up, place // 3, total),
+        over_runs AS (SELECT up, place // 3 AS run, list(hash ORDER BY place) AS held FROM over WHERE total > 1 GROUP BY ALL),
+        seat AS (SELECT source, hash AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place FROM grown WHERE total = 1),
+        rest AS (
+          SELECT doc_id, leaf, subroot, 0 AS up, s.place, proof, folded FROM path p JOIN seat s ON p.source IS NOT DISTINCT FROM s.source
+          WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE p.up = r.up AND p.place // 3 = r.run AND p.source IS NOT DISTINCT FROM r.source)
+          UNION ALL
+          SELECT doc_id, leaf, subroot, up + 1, place // 3, concat(proof, array_to_string(held[1 : place % 3], ''), array_to_string(held[place % 3 + 2 : 3], '')),
+            sha256(concat(array_to_string(held[1 : place % 3], ''), folded, array_to_string(held[place % 3 + 2 : 3], '')))
+          FROM rest p JOIN over_runs r USING (up) WHERE p.place // 3 = r.run),
+        top AS (SELECT hash AS root, up FROM over WHERE total = 1)
+        SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified FROM rest JOIN top USING (up)
+    """,
 }
