@@ -71,6 +71,12 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.ranked_search import search
+
+    return search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"), k=20)
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvane.llm.manifest import digest, manifest
 
@@ -98,6 +104,7 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op2_substring_dedup": op2_substring_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op11_ranked_search": op11_ranked_search,
     "op13_merkle_manifest": op13_merkle_manifest,
     "pipeline": pipeline,
 }
@@ -113,6 +120,20 @@ ORACLE_SQL: dict[str, str] = {
                coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '') AS text
         FROM j GROUP BY rn, doc_id
     """,
+    "op11_ranked_search": r"""
+        WITH d AS (SELECT row_number() OVER () AS rn, doc_id, text FROM documents),
+        t AS (SELECT rn, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+        size AS (SELECT count(DISTINCT rn) AS docs, count(*) AS total FROM t),
+        n AS (SELECT rn, count(*) AS n FROM t GROUP BY rn),
+        tf AS (SELECT rn, doc_id, term, count(*) AS tf FROM t GROUP BY rn, doc_id, term),
+        w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, size GROUP BY term),
+        q AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+        s AS (
+          SELECT item_id, doc_id, rn, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // total)))) AS BIGINT) AS score
+          FROM q JOIN tf USING (term) JOIN w USING (term) JOIN n USING (rn), size GROUP BY item_id, doc_id, rn),
+        r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+        SELECT * FROM r WHERE rank <= 20
+    """,
     "op13_merkle_manifest": r"""
         WITH RECURSIVE bits AS (
           SELECT DISTINCT doc_id, list_reduce(list_prepend(4294967295::UBIGINT, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [ord(c)::UBIGINT, 256, 256, 256, 256, 256, 256, 256, 256]))),

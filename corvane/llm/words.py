@@ -140,12 +140,13 @@ def chunks(at: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]
         first = last
 
 
-def words(column: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES) -> Iterator[Words]:
+def words(column: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES, separator: np.ndarray = _SEPARATOR) -> Iterator[Words]:
+    """Words of slices of about ``limit`` bytes; ``separator`` tells for each byte, of ASCII alone, whether it keeps words apart."""
     data, at = utf8(column)
     for first, last in chunks(at, limit):
         buffer = data[at[first] : at[last]]
         bounds = at[first : last + 1] - at[first]
-        inside = ~_SEPARATOR[buffer]
+        inside = ~separator[buffer]
         starting, ending = inside.copy(), inside.copy()
         starting[1:] &= ~inside[:-1]
         ending[:-1] &= ~inside[1:]
