@@ -77,6 +77,12 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"), k=20)
 
 
+def op12_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.transducer import encode
+
+    return encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvane.llm.manifest import digest, manifest
 
@@ -105,6 +111,7 @@ QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
     "op11_ranked_search": op11_ranked_search,
+    "op12_bpe_round_trip": op12_bpe_round_trip,
     "op13_merkle_manifest": op13_merkle_manifest,
     "pipeline": pipeline,
 }
