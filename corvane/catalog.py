@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corvane.plans import air, choices, footprint, graph, journeys, measures, series, supply  # noqa: F401  each registers its queries
+from corvane.plans import air, choices, footprint, graph, journeys, lines, measures, series, supply  # noqa: F401  each registers its queries
 from corvane.plans.registry import ORACLE_SQL, QUERIES
 
 FLAGSHIP = QUERIES["mode_share"]

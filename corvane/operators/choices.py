@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions.values import MODES
 from corvane.operators.joins import all_of, any_of, radius_join
+from corvane.operators.lines import cells_along
 
 #: Modes that an aim, a need for reliability, a clean zone or ice takes out, and how far some modes go in km.
 HIGH_EMISSION = ("car", "van_diesel", "truck_diesel", "hgv_diesel", "hgv_hydrogen")
@@ -87,12 +88,12 @@ def stops_between(ways: DataFrame, stops: DataFrame, offset: float = 0.005) -> D
     """way, stop, share: stops (id, lon, lat) beside the straight line of each way (way, lon1, lat1, lon2, lat2), less than
     ``offset`` degrees off, and how far along they are; ends are not between.
 
-    Stops and ways meet by rows of latitude, so a way is only held against stops at its own heights.
+    Ways lie in the cells that they come near, stops in their own: a way is only held against stops beside it.
     """
-    high = 0.05
-    row = lambda x: F.floor(x / high)
-    lows = F.sequence(row(F.least("lat1", "lat2") - offset), row(F.greatest("lat1", "lat2") + offset))
-    pairs = ways.withColumn("__row", F.explode(lows)).join(stops.withColumn("__row", row(F.col("lat"))), "__row")
+    size = 4 * offset
+    cells = cells_along(F.col("lon1"), F.col("lat1"), F.col("lon2"), F.col("lat2"), offset, size)
+    own = F.struct(F.floor(F.col("lon") / size).alias("x"), F.floor(F.col("lat") / size).alias("y"))
+    pairs = ways.withColumn("__cell", F.explode(cells)).join(stops.withColumn("__cell", own), "__cell")
     dx, dy = F.col("lon2") - F.col("lon1"), F.col("lat2") - F.col("lat1")
     share = ((F.col("lon") - F.col("lon1")) * dx + (F.col("lat") - F.col("lat1")) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0))
     pairs = pairs.withColumn("share", share).filter("share > 0 AND share < 1")
