@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.scratch import small_batches
+from corvane.llm.scratch import mapped, small_batches
 from corvane.llm.words import spans_hash, words
 
 #: Words of a seed and of the shortest tile; part of an item's words that makes a text contaminated.
@@ -253,7 +253,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED
     schema = to_arrow_schema(_parse_datatype_string(text))
     texts, out = small_batches(docs).select("doc_id", "text"), None
     for items in _blocks(benchmark, covered):
-        part = texts.mapInArrow(lambda x, items=items: _paired(x, items, covered, schema), text)
+        part = mapped(texts, lambda x, items=items: _paired(x, items, covered, schema), text)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -269,5 +269,5 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, covered: float =
                 keep[[m[0] for m in _matches(batch.column("text"), items, covered)]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(clean, docs.schema)
+        docs = mapped(docs, clean, docs.schema)
     return docs

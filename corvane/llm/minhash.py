@@ -7,11 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from corvane.llm.words import Words, chunks, mix, spans_hash, utf8, words
+from corvane.llm.words import Words, mix, spans_hash, words
 
 _U = np.uint64
-#: Bytes of the texts of pairs that are verified at once.
-PAIR_BYTES = 2 << 20
+#: Bytes of text whose signatures are made at once.
+SIGNED_BYTES = 512 << 10
 _LOW48 = _U((1 << 48) - 1)
 _FREE = _U(2**64 - 1)
 
@@ -72,7 +72,7 @@ def signed(batches: Iterator[pa.RecordBatch], k: int, bands: int, width: int) ->
     """doc_id, n (distinct shingles), low and high (128 bits of the set), bands (a hash of each band of the signature)."""
     for batch in batches:
         ids = batch.column("doc_id")
-        for w in words(batch.column("text")):
+        for w in words(batch.column("text"), SIGNED_BYTES):
             rows = w.last - w.first
             row, h, _ = distinct(*shingles(w, k))
             n = np.bincount(row, minlength=rows)
@@ -88,23 +88,38 @@ def signed(batches: Iterator[pa.RecordBatch], k: int, bands: int, width: int) ->
 
 
 def overlapping(batches: Iterator[pa.RecordBatch], k: int, part: int, whole: int) -> Iterator[pa.RecordBatch]:
-    """The rows (a, b) of which the sets of ``text_a`` and ``text_b`` have whole * common >= part * together.
+    """The rows (a, b) of which the sets of both texts have whole * common >= part * together.
 
-    Taken in slices of about ``PAIR_BYTES`` of both texts.
+    Rows (a, b, text) come in order: each a with its own text (several, if rows that share the id differ) and no b, then its partners b with theirs.
     """
+    own: list[np.ndarray] = []
+    of, fresh_own = None, False
     for batch in batches:
-        a, b, keep = batch.column("text_a"), batch.column("text_b"), []
-        for first, last in chunks(utf8(a)[1] + utf8(b)[1], PAIR_BYTES):
-            size, sides = last - first, []
-            for column in (a, b):
-                found = [(w.first + row, h) for w in words(column.slice(first, size)) for row, h in [shingles(w, k)]]
-                sides.append(distinct(np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])))
-            (row_a, _, key_a), (row_b, _, key_b) = sides
-            common = np.bincount(row_a[np.isin(key_a, key_b, assume_unique=True)], minlength=size)
-            together = np.bincount(row_a, minlength=size) + np.bincount(row_b, minlength=size) - common
-            keep.append((whole * common >= part * together) & (common > 0))
-        if keep:
-            yield batch.select(["a", "b"]).filter(pa.array(np.concatenate(keep)))
+        a = batch.column("a").to_pylist()
+        first, keep = batch.column("b").is_null().to_numpy(zero_copy_only=False), np.zeros(batch.num_rows, dtype=bool)
+        for w in words(batch.column("text")):
+            row, h = shingles(w, k)
+            order = np.lexsort((h, row))
+            row, h = row[order], h[order]
+            fresh = np.ones(len(h), dtype=bool)
+            fresh[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+            row, h = row[fresh], h[fresh]
+            cuts = np.searchsorted(row, np.arange(w.last - w.first + 1)).tolist()
+            for i, (low, high) in enumerate(zip(cuts, cuts[1:], strict=False), w.first):
+                mine = h[low:high]
+                if first[i]:
+                    if a[i] != of or not fresh_own:
+                        own, of, fresh_own = [], a[i], True
+                    if len(mine) and not any(np.array_equal(x, mine) for x in own):
+                        own.append(mine.copy())
+                    continue
+                fresh_own = False
+                for x in own if of == a[i] else ():
+                    common = int(np.count_nonzero(x[np.minimum(np.searchsorted(x, mine), len(x) - 1)] == mine))
+                    if common > 0 and whole * common >= part * (len(x) + len(mine) - common):
+                        keep[i] = True
+                        break
+        yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
 def shingled(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:

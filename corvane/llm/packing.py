@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from corvane.llm.scratch import small_batches
+from corvane.llm.scratch import mapped, small_batches
 from corvane.llm.tokens import encoder
 
 TIERS = (256, 512, 1024, 2048)
@@ -192,4 +192,4 @@ def pack(docs: DataFrame, path: str | None = None, tiers: tuple[int, ...] = TIER
 
     text = _SCHEMA.format(id=docs.schema["doc_id"].dataType.simpleString())
     schema = to_arrow_schema(_parse_datatype_string(text))
-    return small_batches(docs).select("doc_id", "text").mapInArrow(lambda x: _packed(x, path, tuple(tiers), end, schema), text)
+    return mapped(small_batches(docs).select("doc_id", "text"), lambda x: _packed(x, path, tuple(tiers), end, schema), text)

@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where that is unset (tests, local runs) a fresh local folder."""
+    """``spark.checkpoint.dir``; where that is unset and all runs on one machine (tests, local runs) a fresh local folder."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("corvane.scratch.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-corvane-")
         spark.conf.set("corvane.scratch.dir", base)
     return base.rstrip("/")
@@ -27,6 +33,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mapped(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``mapInArrow``, after which a worker gives the memory that it no longer needs back to the machine.
+
+    Workers live on from stage to stage and would each keep the peak of all of them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return df.mapInArrow(run, schema)
+
+
 def small_batches(df: DataFrame, rows: int = 1000, size: int = 4 << 20) -> DataFrame:
     """Bound what a Python worker holds at once: batches of ``rows`` rows and about ``size`` bytes at most.
 

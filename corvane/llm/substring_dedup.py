@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.scratch import drop, hot_join, small_batches, written
+from corvane.llm.scratch import drop, hot_join, mapped, small_batches, written
 from corvane.llm.words import Words, mix, spans_hash, words
 
 _U = np.uint64
@@ -196,7 +196,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, with_text: bool = False) -
         raise ValueError("window must be between 3 and 64 words")
     small_batches(docs)
     base = docs.select(F.xxhash64("doc_id", "text").alias("h1"), F.hash("text", "doc_id").alias("h2"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    blocks = written(base.select("h1", "h2", "text").mapInArrow(lambda x: _blocks(x, window), _BLOCKS), "blocks")
+    blocks = written(mapped(base.select("h1", "h2", "text"), lambda x: _blocks(x, window), _BLOCKS), "blocks")
     names = (
         blocks.groupBy("name")
         .agg(F.count("*").alias("c"), F.min("block").alias("low"), F.max("block").alias("high"))
@@ -219,7 +219,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, with_text: bool = False) -
     kinds = written(kinds.select("id.name", "id.block", "c", "at.*"), "kinds")
     wanted = kinds.groupBy("h1", "h2").agg(F.collect_list(F.struct("start", "n", "name", "block")).alias("wanted"))
     # With doc_id, which it does not need, this exchange of the texts is the same as the last one below and is made once.
-    windows = base.join(wanted, ["h1", "h2"]).select("doc_id", "text", "wanted").mapInArrow(lambda x: _windows(x, window), "name long, block long, offset int, hash long")
+    windows = mapped(base.join(wanted, ["h1", "h2"]).select("doc_id", "text", "wanted"), lambda x: _windows(x, window), "name long, block long, offset int, hash long")
     again = windows.groupBy("name", "hash").agg(F.min("block").alias("low"), F.max("block").alias("high")).filter("low <> high").select("name", "hash")
     masks = (
         windows.join(again, ["name", "hash"])
@@ -236,4 +236,4 @@ def remove_repeats(docs: DataFrame, window: int = 35, with_text: bool = False) -
     places = places.groupBy("h1", "h2").agg(F.collect_set(F.struct("start", "mask")).alias("places"))
     out = base.join(places, ["h1", "h2"], "left").select("doc_id", "text", "places")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    return out.mapInArrow(lambda x: _kept(x, window, with_text), schema)
+    return mapped(out, lambda x: _kept(x, window, with_text), schema)

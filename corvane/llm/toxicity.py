@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.scratch import small_batches, written
+from corvane.llm.scratch import mapped, small_batches, written
 from corvane.llm.words import Words, bytes_hash, words
 
 #: Features are numbered by this many bits of their hash.
@@ -202,11 +202,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     ids, y = of.column("row").to_numpy(), of.column("toxic").to_numpy().astype(float)
     if not len(y) or y.min() == y.max():
         return untrained()
-    seen = rows.select("toxic", "text").mapInArrow(_texts_with, "number int, toxic int").groupBy("number").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg"))
+    seen = mapped(rows.select("toxic", "text"), _texts_with, "number int, toxic int").groupBy("number").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg"))
     seen = seen.filter(telling(F.col("pos"), F.col("neg"), float(y.sum()), float((1 - y).sum()))).toArrow()
     number, pos, neg, kept = seen.column("number").to_numpy(), np.zeros(1 << BITS), np.zeros(1 << BITS), np.zeros(1 << BITS, dtype=bool)
     pos[number], neg[number], kept[number] = seen.column("pos").to_numpy(), seen.column("neg").to_numpy(), True
-    pairs = rows.select("row", "text").mapInArrow(lambda x: _sentences_with(x, kept, ids), "row int, sentence int, number int").toArrow()
+    pairs = mapped(rows.select("row", "text"), lambda x: _sentences_with(x, kept, ids), "row int, sentence int, number int").toArrow()
     pairs = np.stack([pairs.column(c).to_numpy() for c in ("row", "sentence", "number")])
     return fitted(pairs[:, np.lexsort(pairs[::-1])], y, pos, neg, counts[1] / (counts[0] + counts[1]))
 
@@ -223,7 +223,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     model = train(docs, labels, sample)
     small_batches(docs)
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int, worst_sentence string"
-    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(lambda x: _scored(x, model), schema)
+    return mapped(docs.select("doc_id", held_out().alias("held_out"), "text"), lambda x: _scored(x, model), schema)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -238,4 +238,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
             predicted = [p for part in _scored(iter([plain]), model) for p in part.column("predicted").to_pylist()]
             yield batch.filter(pa.array([not p for p in predicted], pa.bool_()))
 
-    return small_batches(docs).mapInArrow(clean, docs.schema)
+    return mapped(small_batches(docs), clean, docs.schema)

@@ -189,3 +189,33 @@ def test_near_vectors_of_one_id_link(spark):
     rows = [(5, [1.0, 0.0], 0), (5, [1.0, 0.01], 0), (8, [0.0, 1.0], 0), (4, [1.0, 0.02], 0), (4, [-1.0, 0.0], 0)]
     got = sorted(tuple(r) for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect())
     assert got == [(4, 0, 4, True), (4, 2, 4, True), (5, 2, 4, False), (5, 2, 4, False), (8, 0, 8, True)]
+
+
+def test_near_duplicates_of_ids_with_several_texts(spark):
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(4000)}"
+    texts = [[word() for _ in range(60)] for _ in range(6)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    for i, t in enumerate(texts):
+        rows += [(10 + i, " ".join([*t[:-1], word()])), (20 + i // 2, " ".join([word(), *t[1:]]))]
+    rows += [(20, rows[0][1]), (40, "alone here")]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    ids = sorted({i for i, _ in rows})
+    sets = [(i, {tuple(w[k : k + 3]) for k in range(len(w) - 2)} or {tuple(w)}) for i, t in rows for w in [t.split()]]
+    top = {i: i for i in ids}
+    for _ in ids:
+        for a, x in sets:
+            for b, y in sets:
+                if a == b or 100 * len(x & y) >= 85 * len(x | y):
+                    top[a] = top[b] = min(top[a], top[b])
+    assert {(r.doc_id, r.component_id) for r in got} == set(top.items())
+
+
+def test_a_text_with_very_many_partners(spark, monkeypatch):
+    from corvane.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "PARTNERS", 7)
+    base = [f"w{i}" for i in range(80)]
+    rows = [(i, " ".join([*base[: i % 80], f"own{i}", *base[i % 80 + 1 :]])) for i in range(160)] + [(1000 + i, f"other {i} text") for i in range(30)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert sorted(tuple(r) for r in got) == brute_near(rows, 3, 85)
