@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.functions.geo import KM_PER_DEGREE, haversine_km
+from corvane.functions.geo import EARTH_KM, KM_PER_DEGREE, haversine_km
 
 
 def radius_join(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
@@ -34,13 +34,58 @@ def nearest_join(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
     return left.select("id").join(best, "id", "left").select("id", F.col("best.other").alias("nearest"), F.col("best.km").alias("km"))
 
 
+def nearest(left: DataFrame, right: DataFrame, k: int = 1, first_km: float = 0.5, farthest_km: float = math.pi * EARTH_KM, fits: str = "true") -> DataFrame:
+    """id, rank (from 1), other, km: the ``k`` nearest rows of ``right`` for each of ``left`` (both id, lon, lat), however far, up to ``farthest_km``.
+
+    Distances that agree to a tenth of a millimetre are equal; the least id comes first then. ``fits`` is SQL over both sides (``a`` and ``b``) that a pair must
+    meet, such as ``a.id <> b.id``. Rows without a place find and are found by nothing.
+
+    Both sides lie in cubes around the points of the unit sphere, so poles and the date line are like any other place. Cubes are as wide as
+    the radius; only rows that have found fewer than ``k`` go on with twice the radius, so that dense places are searched near by alone.
+    """
+    from corvane.operators.graph import kept
+
+    def placed(rows: DataFrame) -> DataFrame:
+        lon, lat = F.radians("lon"), F.radians("lat")
+        return rows.filter("lon IS NOT NULL AND lat IS NOT NULL").withColumns({"__x": F.cos(lat) * F.cos(lon), "__y": F.cos(lat) * F.sin(lon), "__z": F.sin(lat)})
+
+    a, b, out, radius = placed(left), placed(right), None, min(first_km, farthest_km)
+    while True:
+        wide = 2 * math.sin(min(radius / EARTH_KM, math.pi) / 2) * (1 + 1e-9)
+        cell = lambda c: F.floor(F.col(c) / wide)  # noqa: B023, E731
+        beside = lambda c: F.explode(F.sequence(cell(c) - 1, cell(c) + 1))  # noqa: B023, E731
+        x = a.withColumns({"__i": cell("__x"), "__j": cell("__y"), "__k": cell("__z")}).alias("a")
+        y = b.withColumn("__i", beside("__x")).withColumn("__j", beside("__y")).withColumn("__k", beside("__z")).alias("b")
+        met = x.join(y, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("__i", "__j", "__k")])
+        met = met.filter(fits).select(F.col("a.id").alias("id"), F.col("b.id").alias("other"), haversine_km(F.col("a.lon"), F.col("a.lat"), F.col("b.lon"), F.col("b.lat")).alias("km")).filter(F.col("km") <= radius)
+        order = Window.partitionBy("id").orderBy(F.round("km", 7), "other")
+        best = kept(met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("id", "rank", "other", "km"))
+        if radius >= farthest_km:
+            return best if out is None else out.unionByName(best)
+        full = best.filter(F.col("rank") == k).select("id")
+        done = best.join(full, "id", "left_semi")
+        out = done if out is None else out.unionByName(done)
+        a = kept(a.join(full, "id", "left_anti"))
+        if a.isEmpty():
+            return out
+        radius = min(2 * radius, farthest_km)
+
+
+def nearest_by_tier(left: DataFrame, tiers: list[tuple[DataFrame, float]], fits: str = "true") -> DataFrame:
+    """id, tier (from 1), other, km: the nearest row of the first of ``tiers`` (rows and how far they may be, in km) that has one; rows without any are left out."""
+    out, rest = None, left
+    for i, (right, most) in enumerate(tiers, 1):
+        found = nearest(rest, right, 1, min(0.5, most), most, fits).select("id", F.lit(i).alias("tier"), "other", "km")
+        out = found if out is None else out.unionByName(found)
+        rest = rest.join(found.select("id"), "id", "left_anti")
+    return out
+
+
 def asof_join(left: DataFrame, right: DataFrame, key: str, at: str, since: str, value: str) -> DataFrame:
     """Each left row with the ``value`` of the last right row of its key with ``since`` <= ``at``; null if none.
 
     Both sides are merged in order of time within a key, so no pair of rows is ever built.
     """
-    from pyspark.sql import Window
-
     columns = left.columns
     a = left.select(key, F.col(at).alias("__t"), F.lit(1).alias("__side"), F.struct(*columns).alias("__row"), F.lit(None).cast(right.schema[value].dataType).alias("__v"))
     b = right.select(key, F.col(since).alias("__t"), F.lit(0).alias("__side"), F.lit(None).cast(a.schema["__row"].dataType).alias("__row"), F.col(value).alias("__v"))
