@@ -110,3 +110,35 @@ def transit_journeys(spark, sf_dir):
     legs = s.select("route", F.lag("stop").over(w).alias("u"), F.col("stop").alias("v"), (60 + F.abs(F.col("balance") - F.lag("balance").over(w))).cast("int").alias("seconds"))
     walk = s.select(F.col("stop").alias("u"), (F.col("stop") + 1).alias("v"), F.lit(300).alias("seconds")).join(s.select(F.col("stop").alias("v")), "v", "left_semi")
     return transit.journeys(s.drop("balance"), legs.filter("u IS NOT NULL"), walk.select("u", "v", "seconds"), s.select(F.col("stop").alias("origin"), "stop"))
+
+
+def _routes(spark, sf_dir) -> DataFrame:
+    """Suppliers as stops of routes of forty stops at most; a route keeps to one nation and one thousand of keys."""
+    s = table(spark, sf_dir, "supplier")
+    name = F.concat(F.col("s_nationkey").cast("string"), F.lit(":"), F.floor(F.col("s_suppkey") / 1000).cast("string"))
+    return s.select(name.alias("route"), F.lit(0).alias("pattern"), F.col("s_suppkey").cast("int").alias("seq"), F.col("s_suppkey").alias("stop"), F.lit(600).alias("headway"))
+
+
+@query()
+def transit_journey_legs(spark, sf_dir):
+    """Journeys with their legs from the first stop of every nation; ways on foot lead to the next stop and back."""
+    from pyspark.sql import Window
+
+    s = _routes(spark, sf_dir)
+    w = Window.partitionBy("route").orderBy("seq")
+    legs = s.select("route", F.lag("stop").over(w).alias("u"), F.col("stop").alias("v"), (60 + F.col("stop") * 37 % 400).cast("int").alias("seconds")).filter("u IS NOT NULL")
+    on = s.select(F.col("stop").alias("u"), F.explode(F.array(F.col("stop") + 1, F.col("stop") - 1)).alias("v"), F.lit(300).alias("seconds"))
+    walk = on.join(s.select(F.col("stop").alias("v")), "v", "left_semi").select("u", "v", "seconds")
+    origins = s.groupBy(F.split_part("route", F.lit(":"), F.lit(1)).alias("origin")).agg(F.min("stop").alias("stop"))
+    return transit.journey_legs(s, legs, walk, origins)
+
+
+@query("""WITH p AS (SELECT s_nationkey || ':' || s_suppkey // 1000 AS route, s_suppkey AS seq, s_suppkey AS stop FROM supplier), q AS (SELECT c_custkey AS pair, c_custkey % (SELECT count(*) FROM supplier) AS origin, c_custkey * 7 % (SELECT count(*) FROM supplier) AS destination FROM customer)
+    SELECT pair, a.route, split_part(a.route, ':', 2) AS name, CAST(b.seq - a.seq AS INTEGER) AS stops FROM q JOIN p a ON a.stop = origin JOIN p b ON b.stop = destination AND b.route = a.route WHERE a.seq < b.seq""")
+def direct_routes(spark, sf_dir):
+    """Routes that serve two stops without a change."""
+    p = _routes(spark, sf_dir)
+    n, k = p.agg(F.count("*").alias("n")), F.col("c_custkey")
+    # One row, the number of stops.
+    pairs = table(spark, sf_dir, "customer").crossJoin(F.broadcast(n)).select(k.alias("pair"), (k % F.col("n")).alias("origin"), (k * 7 % F.col("n")).alias("destination"))
+    return transit.direct_routes(pairs, p)
