@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.operators import graph, transit
+from corvane.operators import graph, paths, transit
 from corvane.plans.registry import query, table
 
 
@@ -142,3 +142,21 @@ def direct_routes(spark, sf_dir):
     # One row, the number of stops.
     pairs = table(spark, sf_dir, "customer").crossJoin(F.broadcast(n)).select(k.alias("pair"), (k % F.col("n")).alias("origin"), (k * 7 % F.col("n")).alias("destination"))
     return transit.direct_routes(pairs, p)
+
+
+@query()
+def alternative_paths(spark, sf_dir):
+    """Three ways at most from the first to the last user of each kind of event, none much dearer than the best."""
+    e = _follow(spark, sf_dir)
+    ends = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("pair")).agg(F.min_by("user_id", F.struct("ts", "event_id")).alias("origin"), F.max_by("user_id", F.struct("ts", "event_id")).alias("target"))
+    return paths.alternative_paths(e.withColumn("cost", 1.0 + (F.col("src") * 31 + F.col("dst") * 17) % 23), ends)
+
+
+@query()
+def betweenness_centrality(spark, sf_dir):
+    return paths.betweenness(_follow(spark, sf_dir))
+
+
+@query()
+def closeness_centrality(spark, sf_dir):
+    return paths.closeness(_follow(spark, sf_dir))
