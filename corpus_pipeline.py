@@ -29,12 +29,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many sources share stay once; documents that were nothing else go.
 
     Null and empty texts stay as they are, a null source counts as none, rows without doc_id are never the first to hold a
-    line; n_chars follows the text where lines went.
+    line; n_chars, if there, follows the text where lines went. Columns named n_lines or n_removed stay the caller's.
     """
-    out = remove_boilerplate(docs)
+    own = {c: f"caller_{c}" for c in ("n_lines", "n_removed") if c in docs.columns}
+    out = remove_boilerplate(docs.withColumnsRenamed(own))
     emptied = (F.col("n_removed") > 0) & (F.col("n_removed") == F.col("n_lines"))
-    out = out.filter(~emptied).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+    out = out.filter(~emptied)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*(F.col(own.get(c, c)).alias(c) for c in docs.columns))
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

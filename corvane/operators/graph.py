@@ -16,7 +16,10 @@ def kept(df: DataFrame) -> DataFrame:
     """``df`` computed once, in reliable storage that all executors share."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-corvane-"))
+        shared = context.getConf().get("spark.checkpoint.dir")
+        if not shared and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-corvane-"))
     return df.checkpoint()
 
 
