@@ -75,6 +75,36 @@ def fired(states: DataFrame, rules: list[dict], key: str = "run", step: str = "s
     return parts
 
 
+def actions(states: DataFrame, rules: list[dict], key: str = "run", step: str = "step") -> DataFrame:
+    """key, step, place (from 1), rule, action: what is done at each step, rules of higher priority first, equal ones as listed.
+
+    ``rules``: name, condition, action, cooldown, priority (0 if missing); see :func:`fired`.
+    """
+    about = F.create_map(*(x for i, r in enumerate(rules) for x in (F.lit(r["name"]), F.struct(F.lit(-int(r.get("priority", 0))).alias("after"), F.lit(i).alias("listed"), F.lit(r["action"]).alias("action")))))
+    done = fired(states, rules, key, step).withColumn("__about", about[F.col("rule")])
+    # One step of one run: as many rows as rules at most.
+    place = F.row_number().over(Window.partitionBy(key, step).orderBy("__about.after", "__about.listed"))
+    return done.select(key, step, place.alias("place"), "rule", F.col("__about.action").alias("action"))
+
+
+#: Electric modes of freight, and what stands for capacity where no infrastructure is known.
+FREIGHT_EVS, GRID_MW = ("van_electric", "truck_electric", "hgv_electric"), 1000.0
+
+
+def state_vector(agents: DataFrame, infrastructure: DataFrame, base_cost: float, key: str = "run", step: str = "step") -> DataFrame:
+    """What rules look at, by run and step: agents (agents: run, step, mode) and infrastructure (run, step, hour, grid_load, grid_capacity, grid_utilization, charger_utilization, occupied, chargers, price).
+
+    Steps without a row of infrastructure have 8 o'clock, no load, 1000 MW of capacity, one charger and the base price; ev_adoption is the share of private electric cars.
+    """
+    counts = agents.groupBy(key, step).agg(F.count("*").alias("agents"), F.count_if(F.col("mode") == "ev").alias("ev_count"), F.count_if(F.col("mode").isin(*FREIGHT_EVS)).alias("freight_ev_count"))
+    known = counts.join(infrastructure, [key, step], "left")
+    or_ = lambda c, v: F.coalesce(c, F.lit(v)).alias(c)
+    return known.select(
+        key, step, or_("hour", 8), (F.col("ev_count") / F.greatest("agents", F.lit(1))).alias("ev_adoption"), "ev_count", "freight_ev_count", "agents", or_("grid_load", 0.0), or_("grid_capacity", GRID_MW),
+        or_("grid_utilization", 0.0), or_("charger_utilization", 0.0), or_("occupied", 0), or_("chargers", 1), (base_cost * F.coalesce("price", F.lit(1.0))).alias("charging_cost"),
+    )
+
+
 def transition_probabilities(moves: DataFrame, source: str, target: str) -> DataFrame:
     """source, target, p: shares of where moves from each source go."""
     n = moves.groupBy(source, target).agg(F.count("*").alias("n"))

@@ -139,6 +139,22 @@ def pair_times(feed: dict[str, DataFrame]) -> DataFrame:
     return hop.groupBy("route_id", "u", "v").agg(F.avg(F.when(F.col("s") < 0, 60).otherwise(F.col("s"))).alias("seconds"), F.count("*").alias("trips"))
 
 
+def running_pair_times(feed: dict[str, DataFrame], order: str = "trip_id") -> DataFrame:
+    """route_id, u, v, seconds, trips: as :func:`pair_times`, but each trip halves the distance to its own time, in the ``order`` of trips (a column of trips; equal ones by trip_id).
+
+    The last trip counts a half, the one before a quarter and so on; the first counts as much as the second. So the time is one weighted sum, not a fold.
+    """
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("trip_id").orderBy("seq")
+    hop = feed["stop_times"].join(feed["trips"].select("trip_id", "route_id", F.col(order).alias("__order")), "trip_id")
+    hop = hop.select("route_id", "trip_id", "__order", "seq", F.col("stop_id").alias("u"), F.lead("stop_id").over(w).alias("v"), (F.lead("arrival").over(w) - F.col("departure")).alias("s")).filter("v IS NOT NULL")
+    pair = Window.partitionBy("route_id", "u", "v")
+    hop = hop.withColumns({"back": F.row_number().over(pair.orderBy(F.desc("__order"), F.desc("trip_id"), F.desc("seq"))), "n": F.count("*").over(pair)})
+    weight = F.pow(F.lit(0.5), F.when(F.col("back") == F.col("n"), F.col("n") - 1).otherwise(F.col("back")))
+    return hop.groupBy("route_id", "u", "v").agg(F.sum(F.when(F.col("s") < 0, 60).otherwise(F.col("s")) * weight).alias("seconds"), F.count("*").alias("trips"))
+
+
 def edges(feed: dict[str, DataFrame], headway: DataFrame | None = None) -> DataFrame:
     """u, v of consecutive stops of active trips: mean seconds (60 where negative), trips, route_ids, mode and fuel of the first trip, headway."""
     from pyspark.sql import Window
