@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.functions.values import MODES
+from corvane.operators.decisions import RANGE_KM
 from corvane.operators.joins import all_of, any_of, radius_join
 from corvane.operators.lines import cells_along
 
@@ -57,7 +57,7 @@ def charge_feasible(trips: DataFrame, stations: DataFrame, detour: float = 1.35,
     chargers stop trips over 8 km; beyond 0.8 of the range (with the detour) a charger must lie near the end, beyond half of it
     within ``far_km``. Unknown occupancy counts as free.
     """
-    reach = F.create_map(*(F.lit(x) for m, v in MODES.items() if v[4] and m != "e_scooter" for x in (m, float(v[4]))))
+    reach = F.create_map(*(F.lit(x) for m, km in RANGE_KM.items() for x in (m, km)))
     known = radius_join(trips, stations, far_km).groupBy("id").agg(F.min("km").alias("charger"))
     t = trips.join(known, "id", "left").select("*", F.try_element_at(reach, F.col("mode")).alias("most"), F.coalesce("occupancy", F.lit(0.0)).alias("busy"), (F.col("km") * detour).alias("way"))
     c = F.col

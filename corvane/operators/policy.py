@@ -40,17 +40,23 @@ def checked(rows: DataFrame, value: str, limit: float) -> DataFrame:
     return rows.withColumn("state", F.when(F.col(value) >= limit, "violation").when(F.col(value) >= 0.8 * limit, "warning").otherwise("ok"))
 
 
-#: Names that a rule's condition may use.
-RULE_NAMES = ("step", "ev_adoption", "grid_load", "grid_utilization", "charger_utilization", "emissions", "congestion", "hour", "day", "budget", "agents", "bus_share", "car_share")
+#: Names that a rule's condition may use, and what stands for those that a state lacks.
+RULE_DEFAULTS = {
+    "grid_load": 0, "grid_capacity": 1000, "grid_utilization": 0, "charger_utilization": 0, "occupied_chargers": 0, "total_chargers": 1, "ev_adoption": 0, "ev_count": 0, "freight_ev_count": 0, "total_agents": 1, "avg_charging_cost": 0, "step": 0, "time_of_day": 8,
+}
+RULE_NAMES = (*RULE_DEFAULTS, "emissions", "congestion", "hour", "day", "budget", "agents", "bus_share", "car_share")
 
 
 def condition(text: str, rows: DataFrame) -> Column:
-    """A rule's condition over known names as a column; false where it is null or a name is not among the columns."""
+    """A rule's condition over known names as a column; false where it is null or names what is neither known nor among the columns."""
     import re
 
     words = set(re.findall(r"[A-Za-z_]\w*", re.sub(r"'[^']*'|\"[^\"]*\"", "", text))) - {"and", "or", "not", "true", "false", "True", "False"}
-    if not words <= set(RULE_NAMES) & set(rows.columns):
+    lacking = words - set(rows.columns)
+    if not words <= set(RULE_NAMES) or not lacking <= set(RULE_DEFAULTS):
         return F.lit(False)
+    for name in lacking:
+        text = re.sub(rf"\b{name}\b", str(RULE_DEFAULTS[name]), text)
     return F.coalesce(F.expr(re.sub(r"\bTrue\b", "true", re.sub(r"\bFalse\b", "false", text))), F.lit(False))
 
 
@@ -87,21 +93,21 @@ def actions(states: DataFrame, rules: list[dict], key: str = "run", step: str =
     return done.select(key, step, place.alias("place"), "rule", F.col("__about.action").alias("action"))
 
 
-#: Electric modes of freight, and what stands for capacity where no infrastructure is known.
-FREIGHT_EVS, GRID_MW = ("van_electric", "truck_electric", "hgv_electric"), 1000.0
+#: Electric modes of freight.
+FREIGHT_EVS = ("van_electric", "truck_electric", "hgv_electric")
 
 
 def state_vector(agents: DataFrame, infrastructure: DataFrame, base_cost: float, key: str = "run", step: str = "step") -> DataFrame:
-    """What rules look at, by run and step: agents (agents: run, step, mode) and infrastructure (run, step, hour, grid_load, grid_capacity, grid_utilization, charger_utilization, occupied, chargers, price).
+    """What rules look at, by run and step: of agents (run, step, mode) and infrastructure (run, step, time_of_day, grid_load, grid_capacity, grid_utilization, charger_utilization, occupied_chargers, total_chargers, price).
 
-    Steps without a row of infrastructure have 8 o'clock, no load, 1000 MW of capacity, one charger and the base price; ev_adoption is the share of private electric cars.
+    What a step lacks of infrastructure is as in ``RULE_DEFAULTS``, a price 1 (times ``base_cost``); ev_adoption is the share of private electric cars.
     """
-    counts = agents.groupBy(key, step).agg(F.count("*").alias("agents"), F.count_if(F.col("mode") == "ev").alias("ev_count"), F.count_if(F.col("mode").isin(*FREIGHT_EVS)).alias("freight_ev_count"))
+    counts = agents.groupBy(key, step).agg(F.count("*").alias("total_agents"), F.count_if(F.col("mode") == "ev").alias("ev_count"), F.count_if(F.col("mode").isin(*FREIGHT_EVS)).alias("freight_ev_count"))
     known = counts.join(infrastructure, [key, step], "left")
-    or_ = lambda c, v: F.coalesce(c, F.lit(v)).alias(c)
+    built = ("time_of_day", "grid_load", "grid_capacity", "grid_utilization", "charger_utilization", "occupied_chargers", "total_chargers")
     return known.select(
-        key, step, or_("hour", 8), (F.col("ev_count") / F.greatest("agents", F.lit(1))).alias("ev_adoption"), "ev_count", "freight_ev_count", "agents", or_("grid_load", 0.0), or_("grid_capacity", GRID_MW),
-        or_("grid_utilization", 0.0), or_("charger_utilization", 0.0), or_("occupied", 0), or_("chargers", 1), (base_cost * F.coalesce("price", F.lit(1.0))).alias("charging_cost"),
+        key, step, (F.col("ev_count") / F.greatest("total_agents", F.lit(1))).alias("ev_adoption"), "ev_count", "freight_ev_count", "total_agents",
+        *(F.coalesce(F.col(c), F.lit(RULE_DEFAULTS[c])).alias(c) for c in built), (base_cost * F.coalesce("price", F.lit(1.0))).alias("avg_charging_cost"),
     )
 
 

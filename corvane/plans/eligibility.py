@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvane.functions import flow
+from corvane.operators import decisions, policy
 from corvane.operators import eligibility as e
-from corvane.operators import policy
 from corvane.plans.registry import query, table
 from corvane.sources import feed
 
@@ -54,14 +54,14 @@ def flow_regimes(spark, sf_dir):
 
 _RULES = [
     {"name": "surge", "condition": "grid_load > 900 and ev_adoption > 0.1", "action": "apply_surge_pricing", "cooldown": 0, "priority": 2},
-    {"name": "relief", "condition": "ev_count == 0", "action": "reduce_charging_costs", "cooldown": 0, "priority": 9},
+    {"name": "relief", "condition": "ev_count == 0 and time_of_day < 9", "action": "reduce_charging_costs", "cooldown": 0, "priority": 9},
     {"name": "build", "condition": "ev_adoption > 0.15", "action": "add_chargers", "cooldown": 0, "priority": 2},
 ]
 
 
 @query("""WITH a AS (SELECT user_id % 7 AS run, CAST(CAST(ts AS DATE) - DATE '2024-01-01' AS BIGINT) AS step, CASE event_type WHEN 'error' THEN 'ev' WHEN 'purchase' THEN 'van_electric' ELSE 'bus' END AS mode, value FROM events),
     s AS (SELECT run, step, count(*) AS agents, count(*) FILTER (mode = 'ev') AS ev_count, count(*) FILTER (mode = 'van_electric') AS freight, sum(value) AS grid_load FROM a GROUP BY 1, 2), v AS (SELECT *, ev_count / agents AS ev_adoption FROM s),
-    f AS (SELECT run, step, 2 AS priority, 0 AS listed, 'surge' AS rule, 'apply_surge_pricing' AS action FROM v WHERE grid_load > 900 AND ev_adoption > 0.1 UNION ALL SELECT run, step, 2, 2, 'build', 'add_chargers' FROM v WHERE ev_adoption > 0.15)
+    f AS (SELECT run, step, 2 AS priority, 0 AS listed, 'surge' AS rule, 'apply_surge_pricing' AS action FROM v WHERE grid_load > 900 AND ev_adoption > 0.1 UNION ALL SELECT run, step, 2, 2, 'build', 'add_chargers' FROM v WHERE ev_adoption > 0.15 UNION ALL SELECT run, step, 9, 1, 'relief', 'reduce_charging_costs' FROM v WHERE ev_count = 0)
     SELECT run, step, CAST(row_number() OVER (PARTITION BY run, step ORDER BY priority DESC, listed) AS INTEGER) AS place, rule, action, ev_count, freight AS freight_ev_count, round(ev_adoption, 6) AS ev_adoption FROM f JOIN v USING (run, step)""")
 def policy_actions(spark, sf_dir):
     """What rules do at each step of seven runs, by priority, and the state that they saw."""
@@ -69,7 +69,7 @@ def policy_actions(spark, sf_dir):
     mode = F.when(t == "error", "ev").when(t == "purchase", "van_electric").otherwise("bus")
     a = table(spark, sf_dir, "events").select((F.col("user_id") % 7).alias("run"), F.datediff("ts", F.lit("2024-01-01").cast("date")).cast("long").alias("step"), mode.alias("mode"), "value")
     built = a.groupBy("run", "step").agg(F.sum("value").alias("grid_load"))
-    none = {"hour": "int", "grid_capacity": "double", "grid_utilization": "double", "charger_utilization": "double", "occupied": "int", "chargers": "int", "price": "double"}
+    none = {"time_of_day": "int", "grid_capacity": "double", "grid_utilization": "double", "charger_utilization": "double", "occupied_chargers": "int", "total_chargers": "int", "price": "double"}
     states = policy.state_vector(a, built.select("*", *(F.lit(None).cast(k).alias(c) for c, k in none.items())), 0.15)
     done = policy.actions(states, _RULES)
     return done.join(states.select("run", "step", "ev_count", "freight_ev_count", F.round("ev_adoption", 6).alias("ev_adoption")), ["run", "step"])
@@ -86,3 +86,43 @@ def running_times(spark, sf_dir):
     trips = rows.select(F.col("l_orderkey").alias("trip_id"), (F.col("l_orderkey") % 20).alias("route_id")).distinct()
     out = feed.running_pair_times({"stop_times": times, "trips": trips})
     return out.withColumn("seconds", F.round("seconds", 6))
+
+
+_CHOICES = ("walk", "bike", "ev", "car", "bus", "local_train", "van_electric", "cargo_bike", "ferry_electric")
+_KINDS_OF_USE = ("personal", "transit", "commercial", "heavy_freight", "micro_mobility")
+
+
+def _case(column: str, table: dict, default: str) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {v!r}::DOUBLE" for k, v in table.items()) + f" ELSE {default} END"
+
+
+_OPTIONS = f"""o AS (SELECT l_orderkey AS agent, l_linenumber AS option, {_l(_CHOICES)}[CAST(l_partkey % 9 + 1 AS BIGINT)] AS mode, l_quantity * 2.0 AS minutes, l_extendedprice / 10000.0 AS money, l_discount * 5 AS comfort, l_tax AS risk, l_quantity * 11.0 AS grams, l_suppkey % 400 * 1.0 AS km, CASE WHEN l_orderkey % 3 > 0 THEN 0.9::DOUBLE ELSE 0.5 END AS w_time,
+    CASE WHEN l_orderkey % 3 > 0 THEN 0.1::DOUBLE ELSE 0.5 END AS w_eco, {_l(_KINDS_OF_USE)}[CAST(l_orderkey % 5 + 1 AS BIGINT)] AS kind, l_orderkey % 11 = 0 AS urgent, CASE WHEN l_orderkey % 7 = 0 THEN 'scenic_rail' ELSE 'errand' END AS job, l_suppkey % 2 = 0 AS charger, l_suppkey % 4 = 0 AS free, l_partkey % 3 * 1.0 AS detour, 1.0 + l_orderkey % 2 * 0.2 AS stress, l_linenumber AS legs,
+    l_partkey % 5 / 10.0 AS habit, CASE WHEN l_partkey % 4 = 0 THEN l_partkey % 8 / 7.0 END AS preference FROM lineitem),
+    p AS (SELECT *, {_case("mode", decisions.RANGE_KM, "NULL")} AS reach, {_case("mode", decisions.CAPITAL_KM, "NULL")} AS capital, {_case("mode", decisions.BOARDING, "NULL")} AS boarding, kind IN ('commercial', 'heavy_freight', 'micro_mobility') AS business FROM o),
+    q AS (SELECT *, reach IS NOT NULL AND charger AS charges, CASE WHEN reach IS NOT NULL AND stress > 1 THEN stress ELSE 1 END AS stretched FROM p),
+    m AS (SELECT *, (least(1.0, minutes / 60) + CASE WHEN charges AND NOT free THEN 0.5 * w_time ELSE 0 END + CASE WHEN charges AND detour > 0.5 THEN detour / 30 ELSE 0 END) * stretched AS t, (least(1.0, money / 5) + CASE WHEN charges THEN km * 0.2 * 0.15 / 5 * 0.3 ELSE 0 END) * stretched AS c FROM q),
+    s AS (SELECT *, CASE WHEN capital IS NOT NULL THEN least(c + capital * km * 0.8 / 5, 3.0) ELSE c END AS c2, CASE WHEN reach IS NULL THEN 0 WHEN km / reach > 0.9 THEN 1.0 WHEN km / reach > 0.7 THEN 0.25 ELSE 0 END + CASE WHEN charges AND NOT free AND w_time > 0.7 THEN 0.3 ELSE 0 END + CASE WHEN reach IS NOT NULL AND NOT charger THEN 1 ELSE 0 END
+      + CASE WHEN capital IS NOT NULL THEN greatest(0, 0.60 - w_eco) * 0.8 ELSE 0 END AS worry, CASE WHEN boarding IS NOT NULL AND job = 'errand' AND kind <> 'transit' THEN 0.5 * boarding / 60 * 0.5 ELSE 0 END AS missed FROM m),
+    x AS (SELECT *, (CASE WHEN urgent THEN t WHEN business THEN 0.7 * t + 0.2 * c2 ELSE w_time * t + 0.3 * c2 END + 0.2 * (1 - comfort) + CASE WHEN urgent THEN 0 ELSE 0.2 * risk END + w_eco * least(1.0, grams / 500) + worry + missed)
+      * CASE WHEN NOT (business AND mode IN ('van_electric', 'cargo_bike')) THEN 1 WHEN kind = 'micro_mobility' AND mode = 'cargo_bike' THEN 0.6 WHEN kind = 'heavy_freight' THEN 0.65 ELSE 0.7 END * CASE WHEN kind = 'transit' AND mode IN ('local_train', 'ferry_electric') AND legs >= 3 THEN 0.75 ELSE 1 END
+      * (1 - 0.12 * habit) * CASE WHEN mode = 'car' THEN 1.1 ELSE 1 END * CASE WHEN preference IS NULL THEN 1 ELSE least(greatest(1.40 - 0.65 * least(preference, 1), 0.75), 1.40) END AS cost FROM s)"""
+
+
+@query(f"WITH {_OPTIONS} SELECT agent, arg_min(mode, struct_pack(c := round(cost, 9), o := option, m := mode)) AS mode, round(min(cost), 6) AS cost, count(*) AS options FROM x GROUP BY 1")
+def cheapest_decisions(spark, sf_dir):
+    """The mode that costs each person least, with all wishes and circumstances."""
+    o, p, s, n = (F.col(f"l_{c}") for c in ("orderkey", "partkey", "suppkey", "linenumber"))
+    pick = lambda names, key: F.get(F.array(*(F.lit(x) for x in names)), (key % len(names)).cast("int"))
+    wishes = F.when(o % 3 > 0, F.create_map(F.lit("time"), F.lit(0.9), F.lit("eco"), F.lit(0.1))).otherwise(F.create_map(F.lit("other"), F.lit(1.0)))
+    mode = pick(_CHOICES, p)
+    rows = table(spark, sf_dir, "lineitem").select(
+        o.alias("agent"), n.alias("option"), mode.alias("mode"), (F.col("l_quantity") * 2.0).alias("minutes"), (F.col("l_extendedprice") / 10000.0).alias("money"), (F.col("l_discount") * 5).alias("comfort"), F.col("l_tax").alias("risk"), (F.col("l_quantity") * 11.0).alias("grams"),
+        (s % 400 * 1.0).alias("km"), wishes.alias("wishes"), pick(_KINDS_OF_USE, o).alias("vehicle_type"), F.when(o % 11 == 0, "emergency").alias("priority"), F.when(o % 7 == 0, "Scenic_Rail").otherwise("errand").alias("job"), F.lit(None).cast("double").alias("boarding_min"), (s % 2 == 0).alias("charger"),
+        (s % 4 == 0).alias("charger_free"), F.lit(None).cast("double").alias("wait_min"), F.lit(None).cast("double").alias("kwh_price"), (p % 3 * 1.0).alias("detour_km"), (1.0 + o % 2 * 0.2).alias("grid_stress"), n.alias("legs"), (p % 5 / 10.0).alias("habit"),
+        F.when(p % 4 == 0, p % 8 / 7.0).alias("preference"), F.when(mode == "car", 1.1).alias("factor"),
+    )
+    costs = decisions.decision_costs(rows)
+    # Costs that agree to 9 digits are equal, options of one number go by mode.
+    best = decisions.chosen(costs.select("agent", "mode", F.round("cost", 9).alias("cost"), F.struct("option", "mode").alias("listed")), "agent", "listed")
+    return best.join(costs.groupBy("agent").agg(F.count("*").alias("options"), F.round(F.min("cost"), 6).alias("least")), "agent").select("agent", "mode", F.col("least").alias("cost"), "options")
