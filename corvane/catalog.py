@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corvane.plans import air, bus, choices, eligibility, footprint, graph, journeys, lines, measures, rules, series, supply  # noqa: F401  each registers its queries
+from corvane.plans import air, bus, choices, eligibility, footprint, graph, journeys, lines, measures, narrative, rules, series, supply  # noqa: F401  each registers its queries
 from corvane.plans.registry import ORACLE_SQL, QUERIES
 
 FLAGSHIP = QUERIES["mode_share"]

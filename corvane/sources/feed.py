@@ -129,6 +129,27 @@ def summary(feed: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+#: Seconds between departures that look right.
+HEADWAYS = (30, 7200)
+
+
+def checked(feed: dict[str, DataFrame], links: DataFrame | None = None) -> DataFrame:
+    """name, state (ok, warn, fail), n: whether a loaded feed looks right. ``links``: its :func:`edges`, made here if not given.
+
+    No stop may lie at longitude and latitude 0; headways should lie between 30 seconds and two hours (of both faults the short ones are told first), and there should be some; every mode
+    of the edges is told with its number.
+    """
+    links = edges(feed) if links is None else links
+    zero = feed["stops"].agg(F.count_if((F.col("lon") == 0) & (F.col("lat") == 0)).alias("n")).select(F.lit("stops at 0, 0").alias("name"), F.when(F.col("n") > 0, "fail").otherwise("ok").alias("state"), "n")
+    h = F.when(F.col("headway") > 0, F.col("headway"))
+    gaps = links.agg(F.count(h).alias("all"), F.count_if(h < HEADWAYS[0]).alias("short"), F.count_if(h > HEADWAYS[1]).alias("long"))
+    name = F.when(F.col("all") == 0, "no headways").when(F.col("short") > 0, "short headways").when(F.col("long") > 0, "long headways").otherwise("headways")
+    n = F.when(F.col("all") == 0, 0).when(F.col("short") > 0, F.col("short")).when(F.col("long") > 0, F.col("long")).otherwise(F.col("all"))
+    gaps = gaps.select(name.alias("name"), F.when(name == "headways", "ok").otherwise("warn").alias("state"), n.cast("long").alias("n"))
+    modes = links.groupBy("mode").agg(F.count("*").alias("n")).select(F.concat(F.lit("mode "), F.coalesce("mode", F.lit("unknown"))).alias("name"), F.lit("ok").alias("state"), "n")
+    return zero.unionByName(gaps).unionByName(modes)
+
+
 def pair_times(feed: dict[str, DataFrame]) -> DataFrame:
     """route_id, u, v of consecutive stops and the mean seconds between them (60 where negative) over a route's trips."""
     from pyspark.sql import Window

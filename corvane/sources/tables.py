@@ -58,6 +58,81 @@ def by_target(found: DataFrame, target: str) -> DataFrame:
     return found.filter(F.exists("policies", lambda p: p["target"] == target))
 
 
+#: What a library's personas and jobs have without saying so.
+DESIRES = ("eco", "time", "cost", "comfort", "safety", "reliability", "flexibility")
+DESIRE, VARIANCE, PERSONA_TYPE = 0.5, 0.1, "passenger"
+JOB_PARAMETERS = {"urgency": "medium", "recurring": "True", "vehicle_type": "unknown"}
+#: Fixed value: part of a constraint's limit from which on it warns.
+WARNING = 0.8
+
+
+def _texts(values: dict | None) -> dict[str, str]:
+    return {str(k): str(v) for k, v in (values or {}).items() if v is not None and not isinstance(v, (dict, list))}
+
+
+def combined_scenarios(spark: SparkSession, text: str) -> dict[str, DataFrame]:
+    """Tables of a YAML text of combined scenarios, a document each (name and base_scenarios are needed, others are left out).
+
+    bases: scenario, place, base; rules: scenario, place, condition, action, parameters (map of text), priority (0), cooldown (0);
+    constraints: scenario, kind, limit, warning (0.8); loops: scenario, name, loop_type, strength (1), variables.
+    """
+    import yaml
+
+    bases, rules, limits, loops = [], [], [], []
+    for doc in yaml.safe_load_all(text):
+        if not isinstance(doc, dict) or not doc.get("name") or "base_scenarios" not in doc:
+            continue
+        name = str(doc["name"])
+        bases += [(name, i, str(b)) for i, b in enumerate(doc["base_scenarios"] or [])]
+        rules += [(name, i, str(r["condition"]), str(r["action"]), _texts(r.get("parameters")), int(r.get("priority", 0)), int(r.get("cooldown_steps", 0))) for i, r in enumerate(doc.get("interaction_rules") or [])]
+        limits += [(name, str(c["type"]), float(c["limit"]), float(c.get("warning_threshold", WARNING))) for c in doc.get("constraints") or []]
+        loops += [(name, str(x["name"]), str(x["loop_type"]), float(x.get("strength", 1.0)), [str(v) for v in x.get("variables") or []]) for x in doc.get("feedback_loops") or []]
+    made = spark.createDataFrame
+    return {
+        "bases": made(bases, "scenario string, place int, base string"),
+        "rules": made(rules, "scenario string, place int, condition string, action string, parameters map<string, string>, priority int, cooldown int"),
+        "constraints": made(limits, "scenario string, kind string, limit double, warning double"),
+        "loops": made(loops, "scenario string, name string, loop_type string, strength double, variables array<string>"),
+    }
+
+
+def merged_policies(bases: DataFrame, found: DataFrame) -> DataFrame:
+    """scenario, parameter, target, mode, value: the policies of a combined scenario's bases (see :func:`combined_scenarios`) among ``found`` (see :func:`scenarios`); of those for the same thing the last one holds. Unknown bases add nothing."""
+    each = bases.join(found.select(F.col("name").alias("base"), F.posexplode("policies").alias("k", "p")), "base").select("scenario", "place", "k", "p.*")
+    last = each.groupBy("scenario", "parameter", "target", "mode").agg(F.max_by("value", F.struct("place", "k")).alias("value"))
+    return last.select("scenario", "parameter", "target", "mode", "value")
+
+
+def story_library(spark: SparkSession, text: str) -> dict[str, DataFrame]:
+    """Tables of a library of stories in YAML (personas, job_stories, compatibility_rules), with what it leaves unsaid filled in.
+
+    personas: persona, persona_type, narrative, desires (map), desire_variance; jobs: job, parameters, top (maps of text); rules: rule, persona, field, operator, value. They are what
+    ``operators.rules.whitelist`` takes. Entries that are no mappings are left out; a rule without a condition has no field, operator and value.
+    """
+    import yaml
+
+    doc = yaml.safe_load(text) or {}
+    people, jobs, rules = [], [], []
+    for name, p in (doc.get("personas") or {}).items():
+        if isinstance(p, dict):
+            desires = dict.fromkeys(DESIRES, DESIRE) | {str(k): float(v) for k, v in (p.get("desires") or {}).items()}
+            people.append((str(name), str(p.get("persona_type", PERSONA_TYPE)), p.get("narrative"), desires, float(p.get("desire_variance", VARIANCE))))
+    for name, j in (doc.get("job_stories") or {}).items():
+        if isinstance(j, dict):
+            jobs.append((str(name), JOB_PARAMETERS | _texts(j.get("parameters")), _texts(j)))
+    for i, r in enumerate(doc.get("compatibility_rules") or []):
+        if isinstance(r, dict):
+            c = r.get("condition")
+            part = (None, None, None) if c is None else (str(c.get("field", "")), str(c.get("operator", "equals")), str(c.get("value", "")))
+            rules.append((i, str(r.get("persona")), *part))
+    made = spark.createDataFrame
+    return {
+        "personas": made(people, "persona string, persona_type string, narrative string, desires map<string, double>, desire_variance double"),
+        "jobs": made(jobs, "job string, parameters map<string, string>, top map<string, string>"),
+        "rules": made(rules, "rule int, persona string, field string, operator string, value string"),
+    }
+
+
 def write_log(frames: list[DataFrame], path: str) -> None:
     """Step logs of differing columns as one CSV: step first, the others sorted, blank where a log lacks one."""
     out = frames[0]

@@ -79,3 +79,65 @@ def test_feed_values(spark, tmp_path):
     assert {r.trip_id for r in feed.load(spark, str(tmp_path), day=date(2024, 1, 3))["trips"].collect()} == {"t3"}
     assert {(r.kind, r.name): r.n for r in feed.summary(every).collect()}["rows", "trips"] == every["trips"].count()
     assert {(r.route_id, r.u, r.v): (r.seconds, r.trips) for r in feed.pair_times(every).collect()}["r1", "p", "c"] == (300.0, 1)
+
+
+def test_combined_scenarios(spark):
+    found = tables.scenarios(spark, "name: a\npolicies:\n - {parameter: x, value: 1, target: grid}\n - {parameter: y, value: 5, target: grid}\n---\nname: b\npolicies:\n - {parameter: x, value: 2, target: grid}\n")
+    text = "name: both\nbase_scenarios: [a, b, missing]\ninteraction_rules:\n - {condition: 'step > 1', action: add_chargers, priority: 3, parameters: {n: 5}}\n - {condition: 'step > 2', action: stop}\nconstraints:\n - {type: budget, limit: 100}\nfeedback_loops:\n - {name: l, description: d, variables: [p, q], loop_type: reinforcing}\n---\ndescription: none\n---\nname: other\n"
+    got = tables.combined_scenarios(spark, text)
+    assert [(r.condition, r.parameters, r.priority, r.cooldown) for r in got["rules"].orderBy("place").collect()] == [("step > 1", {"n": "5"}, 3, 0), ("step > 2", {}, 0, 0)]
+    assert [tuple(r) for r in got["constraints"].collect()] == [("both", "budget", 100.0, 0.8)]
+    assert [(r.loop_type, r.strength, r.variables) for r in got["loops"].collect()] == [("reinforcing", 1.0, ["p", "q"])]
+    assert {(r.scenario, r.parameter): r.value for r in tables.merged_policies(got["bases"], found).collect()} == {("both", "x"): "2", ("both", "y"): "5"}
+
+
+LIBRARY = """
+personas:
+  docker: {narrative: likes ships, desires: {time: 0.9}}
+  captain: {persona_type: freight}
+  broken: 5
+job_stories:
+  shift: {job_type: service, parameters: {vehicle_type: bus}}
+  voyage: {job_type: freight, parameters: {vehicle_type: Vessel, urgency: high}}
+  plain: {job_type: freight}
+compatibility_rules:
+  - {persona: captain, condition: {field: job_type, operator: equals, value: freight}}
+  - {persona: docker, condition: {field: vehicle_type, operator: not_equals, value: vessel}}
+  - {persona: ghost}
+  - {persona: captain}
+"""
+
+
+def test_story_library_and_its_whitelist(spark):
+    from corvane.operators.rules import whitelist
+
+    got = tables.story_library(spark, LIBRARY)
+    people = {r.persona: r for r in got["personas"].collect()}
+    assert set(people) == {"docker", "captain"} and people["docker"].desires["time"] == 0.9 and people["docker"].desires["eco"] == 0.5
+    assert people["captain"].persona_type == "freight" and people["docker"].persona_type == "passenger" and people["docker"].desire_variance == 0.1
+    jobs = {r.job: r for r in got["jobs"].collect()}
+    assert jobs["plain"].parameters == {"urgency": "medium", "recurring": "True", "vehicle_type": "unknown"} and jobs["voyage"].parameters["urgency"] == "high"
+    assert {r.job: r.personas for r in whitelist(got["jobs"], got["personas"], got["rules"]).collect()} == {"shift": ["docker", "captain"], "voyage": ["captain"], "plain": ["captain", "docker"]}
+
+
+def test_feed_checks(spark):
+    stops = spark.createDataFrame([("a", 0.0, 0.0), ("b", 1.0, 0.0)], "stop_id string, lon double, lat double")
+    links = lambda *h: spark.createDataFrame([("bus", x) for x in h], "mode string, headway int")
+    got = lambda s, e: {r.name: (r.state, r.n) for r in feed.checked({"stops": s}, e).collect()}
+    assert got(stops, links(600, 10, 9000)) == {"stops at 0, 0": ("fail", 1), "short headways": ("warn", 1), "mode bus": ("ok", 3)}
+    assert got(stops.filter("stop_id = 'b'"), links(600, 9000)) == {"stops at 0, 0": ("ok", 0), "long headways": ("warn", 1), "mode bus": ("ok", 2)}
+    assert got(stops.limit(0), links(600)) == {"stops at 0, 0": ("ok", 0), "headways": ("ok", 1), "mode bus": ("ok", 1)}
+    assert got(stops.limit(0), links()) == {"stops at 0, 0": ("ok", 0), "no headways": ("warn", 0)}
+
+
+def test_running_times_halve_in_the_order_of_trips(spark):
+    trips = spark.createDataFrame([(f"t{i}", "r", -i) for i in range(5)], "trip_id string, route_id string, place int")
+    took = {"t0": 100, "t1": 300, "t2": -5, "t3": 80, "t4": 500}
+    times = spark.createDataFrame([(t, s, x, x, q) for t, d in took.items() for s, x, q in (("a", 0, 1), ("b", d, 2))], "trip_id string, stop_id string, arrival int, departure int, seq int")
+    for order, names in (("trip_id", sorted(took)), ("place", sorted(took, reverse=True))):
+        want = None
+        for t in names:
+            x = took[t] if took[t] >= 0 else 60
+            want = x if want is None else (want + x) / 2
+        (r,) = feed.running_pair_times({"stop_times": times, "trips": trips}, order).collect()
+        assert (r.u, r.v, r.trips) == ("a", "b", 5) and r.seconds == pytest.approx(want)
