@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Rounds of a search whose nodes lie in tables of their own before they become one.
+ROUNDS = 16
+
+
 def kept(df: DataFrame) -> DataFrame:
     """``df`` computed once, in reliable storage that all executors share."""
     context = df.sparkSession.sparkContext
@@ -88,16 +92,19 @@ def cascades(adoptions: DataFrame, least: int = 3) -> DataFrame:
 
 def hops(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """node, hops from the nearest of ``sources`` (node), along directed edges (src, dst): breadth first, until no node is new."""
-    seen = kept(sources.select("node").distinct().withColumn("hops", F.lit(0)))
-    frontier, depth = seen, 0
+    parts = [kept(sources.select("node").distinct().withColumn("hops", F.lit(0)))]
+    depth = 0
     while True:
         depth += 1
-        new = edges.join(frontier.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")
+        seen = parts[0]
+        for part in parts[1:]:
+            seen = seen.unionByName(part)
+        new = edges.join(parts[-1].filter(F.col("hops") == depth - 1).select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")
         frontier = kept(new.withColumn("hops", F.lit(depth)))
         if frontier.isEmpty():
-            break
-        seen = kept(seen.unionByName(frontier))
-    return seen
+            return seen
+        # What is known is only written anew once in so many rounds.
+        parts = [*parts, frontier] if len(parts) < ROUNDS else [kept(seen.unionByName(frontier))]
 
 
 def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:

@@ -31,10 +31,8 @@ def overlapping_buckets(rows: DataFrame, value: str, buckets: dict[str, Column])
 
 def travel_totals(rows: DataFrame, mode: str, kind: str, km: str) -> DataFrame:
     """Distances by mode and, apart from that, by vehicle type, and in all (grouping sets)."""
-    rows.createOrReplaceTempView("corvane_travel")
-    return rows.sparkSession.sql(
-        f"SELECT `{mode}` AS mode, `{kind}` AS kind, sum(`{km}`) AS km, count(*) AS trips FROM corvane_travel GROUP BY GROUPING SETS ((`{mode}`), (`{kind}`), ())"
-    )
+    named = rows.select(F.col(mode).alias("mode"), F.col(kind).alias("kind"), F.col(km).alias("km"))
+    return named.groupingSets([["mode"], ["kind"], []], "mode", "kind").agg(F.sum("km").alias("km"), F.count("*").alias("trips")).select("mode", "kind", "km", "trips")
 
 
 def charger_efficiency(utilisation: Column) -> Column:
@@ -65,6 +63,21 @@ def before(rows: DataFrame, key: str, by: str, amount: str) -> DataFrame:
     return dealt.withColumn("before", F.coalesce(F.sum(amount).over(inside), F.lit(0))).join(offsets, [key, "__part"]).withColumn("before", F.col("before") + F.col("__offset")).drop("__part", "__offset")
 
 
+def following(rows: DataFrame, key: str, by: list[str], value: str) -> DataFrame:
+    """``rows`` with ``next``: ``value`` of the row after it within its key, in the order of ``by``; null for the last one.
+
+    The order is that of a range partitioning, so that no task holds all rows of a key: the next row of the same partition, or the first one of the key's next partition.
+    """
+    from corvane.operators.graph import kept
+
+    dealt = kept(rows.repartitionByRange(key, *by).withColumn("__part", F.spark_partition_id()))
+    inside = Window.partitionBy(key, "__part").orderBy(*by)
+    first = dealt.groupBy(key, "__part").agg(F.min_by(F.struct(value), F.struct(*by)).alias("__first"))
+    first = first.select(key, "__part", F.lead("__first").over(Window.partitionBy(key).orderBy("__part")).alias("__then"))
+    own = dealt.withColumn("next", F.lead(F.struct(value)).over(inside)).join(first, [key, "__part"])
+    return own.withColumn("next", F.coalesce("next", "__then")[value]).drop("__part", "__then")
+
+
 def rank_sum_test(rows: DataFrame, key: str, value: str, first: Column) -> DataFrame:
     """Mann-Whitney U of the rows where ``first`` holds against the others, by key: n1, n2, u, z and two-sided p (ties averaged, corrected; p with continuity)."""
     s = rows.select(key, value, first.alias("__a"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.operators import graph, paths, transit
+from corvane.operators import graph, paths, stats, transit
 from corvane.plans.registry import query, table
 
 
@@ -31,12 +31,10 @@ _FOLLOW = """f AS (SELECT user_id, lead(user_id) OVER (PARTITION BY CAST(ts AS D
 
 
 def _follow(spark, sf_dir) -> DataFrame:
-    """Who comes after whom on each day, by day so that no one order holds all rows."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(F.to_date("ts")).orderBy("ts", "event_id")
-    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("src"), F.lead("user_id").over(w).alias("dst"))
-    return rows.filter("dst IS NOT NULL AND dst <> src").distinct()
+    """Who comes after whom on each day."""
+    rows = table(spark, sf_dir, "events").select(F.to_date("ts").alias("day"), "ts", "event_id", F.col("user_id").alias("src"))
+    after = stats.following(rows, "day", ["ts", "event_id"], "src").select("src", F.col("next").alias("dst"))
+    return after.filter("dst IS NOT NULL AND dst <> src").distinct()
 
 
 @query(f"""WITH {_FOLLOW}, d AS (SELECT src AS node, count(*) AS degree FROM u GROUP BY 1), t AS (SELECT a.src AS node, count(*) / 2 AS n FROM u a JOIN u b ON a.dst = b.src JOIN u c ON b.dst = c.dst AND c.src = a.src GROUP BY 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -34,24 +34,44 @@ def windowed(events: DataFrame, width: str = "1 day", slide: str | None = None)
     return events.groupBy(F.window("ts", width, slide or width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value")).select(F.col("w.start").alias("start"), "event_type", "n", "value")
 
 
+#: Degrees of the finest cell in which events and agents meet; each further level is twice as wide.
+CELL, LEVELS = 0.005, 12
+
+
+def _level(km: Column) -> Column:
+    """The level whose cells are about as high as a circle's radius."""
+    return F.least(F.greatest(F.ceil(F.log2(F.greatest(km, F.lit(0.001)) / (110.5 * CELL))), F.lit(0)), F.lit(LEVELS - 1)).cast("int")
+
+
+def _own(lon: Column, lat: Column, level: Column) -> Column:
+    size = CELL * F.pow(F.lit(2.0), level)
+    return F.struct(level.cast("int").alias("level"), F.floor(lon / size).alias("x"), F.floor(lat / size).alias("y"))
+
+
+def _reached(lon: Column, lat: Column, km: Column) -> Column:
+    """The cells of its level that a circle comes into."""
+    level = _level(km)
+    size, high = CELL * F.pow(F.lit(2.0), level), km / 110.5
+    wide = high / F.greatest(F.cos(F.radians(F.least(F.abs(lat) + high, F.lit(89.0)))), F.lit(0.017))
+    span = lambda x, by: F.sequence(F.floor((x - by) / size), F.floor((x + by) / size))
+    return F.flatten(F.transform(span(lat, high), lambda y: F.transform(span(lon, wide), lambda x: F.struct(level.alias("level"), x.alias("x"), y.alias("y")))))
+
+
 def perceived(events: DataFrame, agents: DataFrame, fallback: bool = True) -> DataFrame:
     """Events that agents (agent, lon, lat, radius_km) are near enough to: within the larger of both radii.
 
-    Events without a place reach everyone if ``fallback``. Agents are the static side of a stream.
+    Events without a place reach everyone if ``fallback``: that part is each event with each agent by its meaning. Agents are the static side of a stream.
     """
     placed = F.col("spatial").isNotNull()
-    km = haversine_km(F.col("spatial.lon"), F.col("spatial.lat"), F.col("lon"), F.col("lat"))
+    at = (F.col("spatial.lon"), F.col("spatial.lat"))
+    km = haversine_km(*at, F.col("lon"), F.col("lat"))
     reach, own = F.coalesce("spatial.radius_km", F.lit(0.0)), F.coalesce("radius_km", F.lit(0.0))
-
-    def rows(lat, radius):
-        """The rows of one degree of latitude (111 km and more) that a circle of any radius meets."""
-        degrees = radius / 111.0
-        return F.explode(F.sequence(F.floor(F.greatest(lat - degrees, F.lit(-90.0))), F.floor(F.least(lat + degrees, F.lit(90.0)))))
-
-    # Equality joins on rows of latitude: what an event reaches, and beyond that what an agent's own radius does.
+    every = F.sequence(F.lit(0), F.lit(LEVELS - 1))
+    # Equality joins on cells as wide as the circles: what an event reaches, and beyond that what an agent's own radius does.
     e, wanted = events.filter(placed), ("event_id", "event_type", "agent")
-    reached = e.withColumn("row", rows(F.col("spatial.lat"), reach)).join(agents.withColumn("row", F.floor("lat")), "row").filter(km <= reach).select(*wanted)
-    seen = e.withColumn("row", F.floor("spatial.lat")).join(agents.withColumn("row", rows(F.col("lat"), own)), "row").filter((km <= own) & (km > reach)).select(*wanted)
+    in_all = lambda rows, lon, lat: rows.withColumn("cell", F.explode(F.transform(every, lambda n: _own(lon, lat, n))))
+    reached = e.withColumn("cell", F.explode(_reached(*at, reach))).join(in_all(agents, F.col("lon"), F.col("lat")), "cell").filter(km <= reach).select(*wanted)
+    seen = in_all(e, *at).join(agents.withColumn("cell", F.explode(_reached(F.col("lon"), F.col("lat"), own))), "cell").filter((km <= own) & (km > reach)).select(*wanted)
     with_place = reached.unionByName(seen)
     if not fallback:
         return with_place

@@ -103,3 +103,22 @@ def test_journeys_from_every_stop_equal_brute_force(spark):
         want |= {(origin, k): s for k, s in best.items()}
     got = {(r.origin, r.stop): r.seconds for r in catalog.QUERIES["transit_journeys"](spark, DATA).collect()}
     assert got == pytest.approx(want)
+
+
+def test_hops_over_many_rounds(spark, monkeypatch):
+    monkeypatch.setattr(graph, "ROUNDS", 3)
+    edges = [(i, i + 1) for i in range(11)] + [(5, 2), (3, 40), (40, 41), (11, 0)]
+    got = {r.node: r.hops for r in graph.hops(spark.createDataFrame(edges, "src int, dst int"), spark.createDataFrame([(0,), (0,)], "node int")).collect()}
+    assert got == {i: i for i in range(12)} | {40: 4, 41: 5}
+
+
+def test_following_rows_over_partitions(spark):
+    from corvane.operators import stats
+
+    rows = [(k, i * 7 % 100, i, None if i % 9 == 0 else i) for k in "ab" for i in range(100)] + [("c", 1, 1, 5)]
+    got = stats.following(spark.createDataFrame(rows, "key string, t int, n int, v int").repartition(5), "key", ["t", "n"], "v").collect()
+    want = {}
+    for k in "abc":
+        mine = sorted(r for r in rows if r[0] == k)
+        want |= {(k, r[2]): n[3] if n else None for r, n in zip(mine, [*mine[1:], None])}
+    assert {(r.key, r.n): r.next for r in got} == want and len(got) == len(rows)

@@ -63,3 +63,18 @@ def test_codec_and_perception(spark):
     agents = spark.createDataFrame([("near", -3.0, 55.005, 0.1), ("wide", -3.0, 55.5, 90.0), ("far", -3.0, 58.0, 1.0)], "agent string, lon double, lat double, radius_km double")
     assert sorted((r.event_id, r.agent) for r in events.perceived(found, agents).collect()) == [("1", "near"), ("1", "wide"), ("2", "far"), ("2", "near"), ("2", "wide")]
     assert events.perceived(found, agents, fallback=False).count() == 2
+
+
+def test_perception_of_all_radii_equals_a_loop(spark):
+    import math
+    import random
+
+    rng = random.Random(3)
+    km = lambda a, b: 2 * 6371.0 * math.asin(math.sqrt(min(1.0, math.sin(math.radians(b[1] - a[1]) / 2) ** 2 + math.cos(math.radians(a[1])) * math.cos(math.radians(b[1])) * math.sin(math.radians(b[0] - a[0]) / 2) ** 2)))
+    place = lambda: (rng.uniform(-4, -2), rng.uniform(54, 57))
+    radius = lambda: rng.choice([None, 0.0, 0.3, 2.0, 15.0, 120.0])
+    happen = [(str(i), *place(), radius()) for i in range(60)] + [("60", -3.0, 55.0, 900.0)]
+    people = [(f"a{i}", *place(), radius()) for i in range(60)] + [("here", *happen[0][1:3], 0.0)]
+    e = spark.createDataFrame(happen, "event_id string, lon double, lat double, radius_km double").select("event_id", F.lit("x").alias("event_type"), F.struct("lon", "lat", "radius_km").alias("spatial"))
+    got = sorted((r.event_id, r.agent) for r in events.perceived(e, spark.createDataFrame(people, "agent string, lon double, lat double, radius_km double")).collect())
+    assert got == sorted((i, a) for i, *p, r in happen for a, *q, s in people if km(p, q) <= max(r or 0, s or 0))
