@@ -75,8 +75,8 @@ def policy_actions(spark, sf_dir):
     return done.join(states.select("run", "step", "ev_count", "freight_ev_count", F.round("ev_adoption", 6).alias("ev_adoption")), ["run", "step"])
 
 
-@query("""WITH h AS (SELECT l_orderkey % 20 AS route_id, l_orderkey AS trip, l_linenumber AS seq, l_partkey % 12 AS u, lead(l_partkey % 12) OVER w AS v, lead(l_quantity * 10 + l_linenumber * 300) OVER w - (l_quantity * 10 + l_linenumber * 300 + 100) AS s FROM (SELECT DISTINCT ON (l_orderkey, l_linenumber) * FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber)),
-    o AS (SELECT route_id, u, v, list(CAST(CASE WHEN s < 0 THEN 60 ELSE s END AS DOUBLE) ORDER BY trip, seq) AS s FROM h WHERE v IS NOT NULL GROUP BY 1, 2, 3) SELECT route_id, u, v, round(list_reduce(s, lambda a, x: (a + x) / 2), 6) AS seconds, CAST(len(s) AS BIGINT) AS trips FROM o""")
+@query("""WITH h AS (SELECT l_orderkey % 20 AS route_id, l_orderkey AS trip, l_linenumber AS seq, l_partkey % 12 AS u, lead(l_partkey % 12) OVER w AS v, lead(l_quantity * 10 + l_linenumber * 300) OVER w - (l_quantity * 10 + l_linenumber * 300 + 100) AS s FROM (SELECT DISTINCT ON (l_orderkey, l_linenumber) * FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber)),
+    o AS (SELECT route_id, u, v, list(CAST(CASE WHEN s < 0 THEN 60 ELSE s END AS DOUBLE) ORDER BY trip, seq) AS s FROM h WHERE v IS NOT NULL GROUP BY 1, 2, 3) SELECT route_id, u, v, CAST(floor(list_reduce(s, lambda a, x: (a + x) / 2) + 0.0001) AS BIGINT) AS seconds, CAST(len(s) AS BIGINT) AS trips FROM o""")
 def running_times(spark, sf_dir):
     """Times between stops of a route as trips come one after the other."""
     first = F.min(F.struct("l_partkey", "l_suppkey", "l_quantity")).alias("x")
@@ -85,7 +85,8 @@ def running_times(spark, sf_dir):
     times = rows.select(F.col("l_orderkey").alias("trip_id"), (F.col("l_partkey") % 12).alias("stop_id"), at.alias("arrival"), (at + 100).alias("departure"), F.col("l_linenumber").alias("seq"))
     trips = rows.select(F.col("l_orderkey").alias("trip_id"), (F.col("l_orderkey") % 20).alias("route_id")).distinct()
     out = feed.running_pair_times({"stop_times": times, "trips": trips})
-    return out.withColumn("seconds", F.round("seconds", 6))
+    # Halves and quarters end in a 5 that rounds either way: whole seconds.
+    return out.withColumn("seconds", F.floor(F.col("seconds") + 0.0001))
 
 
 _CHOICES = ("walk", "bike", "ev", "car", "bus", "local_train", "van_electric", "cargo_bike", "ferry_electric")
