@@ -31,6 +31,9 @@ def multipliers(month: Column, weekday: Column, hour: Column) -> dict[str, Colum
     return out
 
 
+# The factors and thresholds from here to the end of the module.
+
+
 def icy(temperature: Column, rain: Column) -> Column:
     return (temperature <= 2.0) & (rain > 0.1)
 

@@ -36,6 +36,9 @@ def belief(prior: Column, peers: Column, experience: Column, about_ev: Column, t
     return F.when(about_ev & (peers < threshold), prior).otherwise(moved)
 
 
+# The bands and points from here to the end of the module.
+
+
 def tie(strength: Column) -> Column:
     """The kind of a tie by its strength, 0 to 1."""
     return F.when(strength > 0.8, "family").when(strength > 0.6, "friend").when(strength > 0.4, "colleague").otherwise("acquaintance")
