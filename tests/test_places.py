@@ -18,3 +18,8 @@ def test_radius_join_builds_no_pair_beyond_the_radius(spark):
     # One cell holds both places, but only 0 and 2 lie at the even one.
     got = joins.radius_join(left.filter("id % 2 = 0"), right, 0.3).groupBy("other").count().collect()
     assert {r.other: r["count"] for r in got} == {0: N // 2, 2: N // 2}
+
+
+def test_nearest_join_at_one_place(spark):
+    got = joins.nearest_join(_rows(spark), _rows(spark), 1.0).groupBy("nearest", "km").count().collect()
+    assert {(r.nearest, r.km): r["count"] for r in got} == {(0, 0.0): N // 2, (1, 0.0): N // 2}
