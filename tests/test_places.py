@@ -23,3 +23,9 @@ def test_radius_join_builds_no_pair_beyond_the_radius(spark):
 def test_nearest_join_at_one_place(spark):
     got = joins.nearest_join(_rows(spark), _rows(spark), 1.0).groupBy("nearest", "km").count().collect()
     assert {(r.nearest, r.km): r["count"] for r in got} == {(0, 0.0): N // 2, (1, 0.0): N // 2}
+
+
+def test_deserts_at_one_place(spark):
+    stops = _rows(spark).withColumn("headway", (600 + F.col("id") % 1000).cast("int"))
+    got = transit.deserts(_rows(spark), stops).groupBy("km", "headway", "stops").count().collect()
+    assert {(r.km, r.headway, r.stops): r["count"] for r in got} == {(0.0, 600, N): N // 2, (0.0, 601, N): N // 2}
