@@ -29,3 +29,10 @@ def test_deserts_at_one_place(spark):
     stops = _rows(spark).withColumn("headway", (600 + F.col("id") % 1000).cast("int"))
     got = transit.deserts(_rows(spark), stops).groupBy("km", "headway", "stops").count().collect()
     assert {(r.km, r.headway, r.stops): r["count"] for r in got} == {(0.0, 600, N): N // 2, (0.0, 601, N): N // 2}
+
+
+def test_modal_shift_at_one_place(spark):
+    trips = _rows(spark).withColumn("km", 1 + F.col("id") % 2)
+    stops = _rows(spark).select("*", F.lit(600).alias("headway"), F.lit(0.1).alias("price"))
+    got = transit.modal_shift(trips, stops).groupBy("km").agg(F.count("*").alias("n"), F.min("transit_cost").alias("a"), F.max("transit_cost").alias("b")).collect()
+    assert {r.km: (r.n, r.a) for r in got} == {k: (N // 2, pytest.approx((k * 3 + 5) / 6 + k * 0.1)) for k in (1, 2)} and all(r.a == r.b for r in got)
