@@ -36,3 +36,9 @@ def test_modal_shift_at_one_place(spark):
     stops = _rows(spark).select("*", F.lit(600).alias("headway"), F.lit(0.1).alias("price"))
     got = transit.modal_shift(trips, stops).groupBy("km").agg(F.count("*").alias("n"), F.min("transit_cost").alias("a"), F.max("transit_cost").alias("b")).collect()
     assert {r.km: (r.n, r.a) for r in got} == {k: (N // 2, pytest.approx((k * 3 + 5) / 6 + k * 0.1)) for k in (1, 2)} and all(r.a == r.b for r in got)
+
+
+def test_chargers_at_one_place(spark):
+    trips = _rows(spark).select("*", F.lit("ev").alias("mode"), F.lit(260).alias("km"), F.lit(False).alias("critical"), F.lit(0.0).alias("occupancy"))
+    got = choices.charge_feasible(trips, _rows(spark)).groupBy("feasible").count().collect()
+    assert {r.feasible: r["count"] for r in got} == {True: N}
