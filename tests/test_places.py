@@ -42,3 +42,12 @@ def test_chargers_at_one_place(spark):
     trips = _rows(spark).select("*", F.lit("ev").alias("mode"), F.lit(260).alias("km"), F.lit(False).alias("critical"), F.lit(0.0).alias("occupancy"))
     got = choices.charge_feasible(trips, _rows(spark)).groupBy("feasible").count().collect()
     assert {r.feasible: r["count"] for r in got} == {True: N}
+
+
+def test_transfer_totals_equal_the_pairs(spark):
+    few = _rows(spark, 10).union(spark.createDataFrame([(99, 5.0, 5.0)], "id long, lon double, lat double"))
+    pairs = choices.transfers(few).groupBy("u").agg(F.count("*").alias("n"), F.sum("seconds").alias("s")).collect()
+    got = {r.u: (r.n, pytest.approx(r.seconds)) for r in choices.transfer_totals(few).collect()}
+    assert {r.u: (r.n, r.s) for r in pairs} == got and 99 not in got and got[0][0] == 9
+    all_of = choices.transfer_totals(_rows(spark)).agg(F.count("*").alias("u"), F.min("n").alias("a"), F.max("n").alias("b")).first()
+    assert (all_of.u, all_of.a, all_of.b) == (N, N - 1, N - 1)
