@@ -51,3 +51,12 @@ def test_transfer_totals_equal_the_pairs(spark):
     assert {r.u: (r.n, r.s) for r in pairs} == got and 99 not in got and got[0][0] == 9
     all_of = choices.transfer_totals(_rows(spark)).agg(F.count("*").alias("u"), F.min("n").alias("a"), F.max("n").alias("b")).first()
     assert (all_of.u, all_of.a, all_of.b) == (N, N - 1, N - 1)
+
+
+def test_totals_of_stops_between_equal_the_pairs(spark):
+    ways = lambda n: spark.range(n).select(F.col("id").alias("way"), F.lit(-1.0).alias("lon1"), F.lit(0.001).alias("lat1"), F.lit(1.0 * 3).alias("lon2"), F.lit(0.001).alias("lat2"))
+    pairs = choices.stops_between(ways(3), _rows(spark, 10)).groupBy("way").agg(F.count("*").alias("n"), F.sum("share").alias("s")).collect()
+    got = {r.way: (r.stops, pytest.approx(r.shares)) for r in choices.stops_between_totals(ways(3), _rows(spark, 10)).collect()}
+    assert {r.way: (r.n, r.s) for r in pairs} == got and got[0][0] == 10
+    many = choices.stops_between_totals(ways(N), _rows(spark)).groupBy("stops").count().collect()
+    assert [(r.stops, r["count"]) for r in many] == [(N, N)]
