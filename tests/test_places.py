@@ -60,3 +60,9 @@ def test_totals_of_stops_between_equal_the_pairs(spark):
     assert {r.way: (r.n, r.s) for r in pairs} == got and got[0][0] == 10
     many = choices.stops_between_totals(ways(N), _rows(spark)).groupBy("stops").count().collect()
     assert [(r.stops, r["count"]) for r in many] == [(N, N)]
+
+
+def test_nearest_by_tier_at_one_place(spark):
+    tiers = [(_rows(spark).filter("id % 2 = 1"), 0.1), (_rows(spark), 2.0)]
+    got = joins.nearest_by_tier(_rows(spark), tiers).groupBy("tier", "other").count().collect()
+    assert {(r.tier, r.other): r["count"] for r in got} == {(1, 1): N // 2, (2, 0): N // 2}
