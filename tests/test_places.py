@@ -66,3 +66,9 @@ def test_nearest_by_tier_at_one_place(spark):
     tiers = [(_rows(spark).filter("id % 2 = 1"), 0.1), (_rows(spark), 2.0)]
     got = joins.nearest_by_tier(_rows(spark), tiers).groupBy("tier", "other").count().collect()
     assert {(r.tier, r.other): r["count"] for r in got} == {(1, 1): N // 2, (2, 0): N // 2}
+
+
+def test_nearest_of_another_number_at_one_place(spark):
+    got = joins.nearest(_rows(spark), _rows(spark), 2, fits="a.id <> b.id").filter("id < 5 OR id > 119_997".replace("_", "")).collect()
+    found = {(r.id, r.rank): r.other for r in got}
+    assert found == {(i, n): o for i in (0, 1, 2, 3, 4, N - 2, N - 1) for n, o in enumerate([x for x in range(i % 2, 8, 2) if x != i][:2], 1)}
