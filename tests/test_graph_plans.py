@@ -7,6 +7,7 @@ from itertools import combinations
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corvane import catalog
 from corvane.operators import graph
@@ -122,3 +123,8 @@ def test_following_rows_over_partitions(spark):
         mine = sorted(r for r in rows if r[0] == k)
         want |= {(k, r[2]): n[3] if n else None for r, n in zip(mine, [*mine[1:], None])}
     assert {(r.key, r.n): r.next for r in got} == want and len(got) == len(rows)
+
+
+def test_degrees_count_each_two_nodes_once(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 1), (1, 2), (3, 3), (3, 1)], "src long, dst long")
+    assert {r.node: r.degree for r in graph.degrees(edges).collect()} == {1: 2, 2: 1, 3: 1}
