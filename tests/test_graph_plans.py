@@ -128,3 +128,11 @@ def test_following_rows_over_partitions(spark):
 def test_degrees_count_each_two_nodes_once(spark):
     edges = spark.createDataFrame([(1, 2), (2, 1), (1, 2), (3, 3), (3, 1)], "src long, dst long")
     assert {r.node: r.degree for r in graph.degrees(edges).collect()} == {1: 2, 2: 1, 3: 1}
+
+
+def test_clustering_builds_no_pair_of_neighbours(spark):
+    # Each of 1500 nodes with each of 1500 others: 3.4 billion pairs of neighbours, no triangle but those of the last three edges.
+    two = spark.range(1500).select(F.col("id").alias("src")).crossJoin(spark.range(1500, 3000).select(F.col("id").alias("dst")))
+    three = spark.createDataFrame([(5000, 5001), (5001, 5002), (5002, 5000)], "src long, dst long")
+    got = {r.node: (r.degree, r.triangles, r.clustering) for r in graph.clustering(two.union(three)).collect()}
+    assert got == {i: (1500, 0, 0.0) for i in range(3000)} | {i: (2, 1, 1.0) for i in (5000, 5001, 5002)}
