@@ -286,7 +286,9 @@ def uncovered_agents(spark, sf_dir):
 
 @query("""SELECT user_id, arg_max(event_id, value) AS peak_event, max(value) AS peak, count(DISTINCT event_type) AS modes, count(*) AS trips FROM events GROUP BY 1""")
 def journey_summary(spark, sf_dir):
-    return _events(spark, sf_dir).groupBy("user_id").agg(F.min_by("event_id", F.struct(-F.col("value"), "event_id")).alias("peak_event"), F.max("value").alias("peak"), F.countDistinct("event_type").alias("modes"), F.count("*").alias("trips"))
+    # Events without a value are no peak; of equal ones the least number is.
+    most = F.when(F.col("value").isNotNull(), F.struct("value", -F.col("event_id")))
+    return _events(spark, sf_dir).groupBy("user_id").agg(F.max_by("event_id", most).alias("peak_event"), F.max("value").alias("peak"), F.countDistinct("event_type").alias("modes"), F.count("*").alias("trips"))
 
 
 @query()
