@@ -32,41 +32,46 @@ def decision_costs(options: DataFrame) -> DataFrame:
     wish = lambda name: F.coalesce(F.try_element_at("wishes", F.lit(name)), F.lit(WISHES[name]))
     or_ = lambda name, value: F.coalesce(c(name), F.lit(value))
     lookup = lambda table: F.try_element_at(F.create_map(*(F.lit(x) for k, v in table.items() for x in (k, v))), c("mode"))
-    kind, priority, km, stress = or_("vehicle_type", "personal"), or_("priority", "normal"), or_("km", 0.0), or_("grid_stress", 1.0)
-    urgent, business = priority == "emergency", (priority == "commercial") | kind.isin(*BUSINESS)
-    reach, capital, boarding = lookup(RANGE_KM), lookup(CAPITAL_KM), lookup(BOARDING)
-    electric, known = reach.isNotNull(), F.coalesce(c("charger"), F.lit(False))
-    waits = electric & known & ~F.coalesce(c("charger_free"), F.lit(False))
+    # What is used more than once is a column of its own, step by step: one expression of all would be too large to be compiled.
+    kept = [F.col(x) for x in options.columns]
+    named = options.select(
+        *kept, *(wish(x).alias(f"__{x}") for x in WISHES), or_("vehicle_type", "personal").alias("__kind"), or_("priority", "normal").alias("__priority"), or_("km", 0.0).alias("__km"), or_("grid_stress", 1.0).alias("__stress"), or_("detour_km", 0.0).alias("__detour"),
+        lookup(RANGE_KM).alias("__reach"), lookup(CAPITAL_KM).alias("__capital"), lookup(BOARDING).alias("__boarding"), F.coalesce(c("charger"), F.lit(False)).alias("__known"), F.coalesce(c("charger_free"), F.lit(False)).alias("__free"),
+    )
+    w = {x: c(f"__{x}") for x in WISHES}
+    kind, priority, km, stress, reach, capital, boarding, known = (c(f"__{x}") for x in ("kind", "priority", "km", "stress", "reach", "capital", "boarding", "known"))
+    told = named.withColumns({"__urgent": priority == "emergency", "__business": (priority == "commercial") | kind.isin(*BUSINESS), "__electric": reach.isNotNull(), "__charges": reach.isNotNull() & known, "__waits": reach.isNotNull() & known & ~c("__free")})
+    urgent, business, electric, charges, waits = (c(f"__{x}") for x in ("urgent", "business", "electric", "charges", "waits"))
 
     # Minutes and money, with what charging adds and a stressed grid stretches.
-    time: Column = F.least(F.lit(1.0), c("minutes") / FULL_MINUTES) + F.when(waits, or_("wait_min", 30.0) / 60.0 * wish("time")).otherwise(0.0)
-    detour = or_("detour_km", 0.0)
-    time = time + F.when(electric & known & (detour > 0.5), detour / DETOUR_KM).otherwise(0.0)
-    money: Column = F.least(F.lit(1.0), c("money") / FULL_MONEY) + F.when(electric & known, km * 0.2 * or_("kwh_price", 0.15) / FULL_MONEY * wish("cost")).otherwise(0.0)
+    time: Column = F.least(F.lit(1.0), c("minutes") / FULL_MINUTES) + F.when(waits, or_("wait_min", 30.0) / 60.0 * w["time"]).otherwise(0.0)
+    detour = c("__detour")
+    time = time + F.when(charges & (detour > 0.5), detour / DETOUR_KM).otherwise(0.0)
+    money: Column = F.least(F.lit(1.0), c("money") / FULL_MONEY) + F.when(charges, km * 0.2 * or_("kwh_price", 0.15) / FULL_MONEY * w["cost"]).otherwise(0.0)
     stretched = F.when(electric & (stress > 1.0), stress).otherwise(1.0)
-    time, money = time * stretched, money * stretched
-    money = F.when(capital.isNotNull(), F.least(money + capital * km * (0.5 + wish("cost")) / FULL_MONEY, F.lit(3.0))).otherwise(money)
 
     used = km / reach
-    worry = F.when(electric & (used > 0.9), wish("range_anxiety") * 2.0).when(electric & (used > 0.7), wish("range_anxiety") * 0.5).otherwise(0.0)
-    worry = worry + F.when(waits & (wish("time") > 0.7), 0.3).otherwise(0.0) + F.when(electric & ~known, 1.0).otherwise(0.0)
-    worry = worry + F.when(capital.isNotNull(), F.greatest(F.lit(0.0), 0.60 - wish("eco")) * 0.8).otherwise(0.0)
-    on_rails = any_of([F.contains(F.lower(or_("job", "")), F.lit(w)) for w in RAIL_WORDS])
-    missed = F.when(boarding.isNotNull() & ~on_rails & (kind != "transit"), wish("reliability") * (F.coalesce(F.nullif(c("boarding_min"), F.lit(0.0)), boarding) / 60.0) * 0.5).otherwise(0.0)
+    worry = F.when(electric & (used > 0.9), w["range_anxiety"] * 2.0).when(electric & (used > 0.7), w["range_anxiety"] * 0.5).otherwise(0.0)
+    worry = worry + F.when(waits & (w["time"] > 0.7), 0.3).otherwise(0.0) + F.when(electric & ~known, 1.0).otherwise(0.0)
+    worry = worry + F.when(capital.isNotNull(), F.greatest(F.lit(0.0), 0.60 - w["eco"]) * 0.8).otherwise(0.0)
+    on_rails = any_of([F.contains(F.lower(or_("job", "")), F.lit(x)) for x in RAIL_WORDS])
+    missed = F.when(boarding.isNotNull() & ~on_rails & (kind != "transit"), w["reliability"] * (F.coalesce(F.nullif(c("boarding_min"), F.lit(0.0)), boarding) / 60.0) * 0.5).otherwise(0.0)
+    felt = told.withColumns({"__t": time * stretched, "__m": money * stretched, "__worry": worry, "__missed": missed})
 
-    by_time = F.when(urgent, 1.0).when(business, 0.7).otherwise(wish("time"))
-    by_money = F.when(urgent, 0.0).when(business, 0.2).otherwise(wish("cost"))
-    by_risk = F.when(urgent, 0.0).otherwise(wish("risk"))
-    total = by_time * time + by_money * money + wish("comfort") * (1.0 - c("comfort")) + by_risk * c("risk") + wish("eco") * F.least(F.lit(1.0), c("grams") / FULL_GRAMS) + worry + missed
+    money = F.when(capital.isNotNull(), F.least(c("__m") + capital * km * (0.5 + w["cost"]) / FULL_MONEY, F.lit(3.0))).otherwise(c("__m"))
+    by_time = F.when(urgent, 1.0).when(business, 0.7).otherwise(w["time"])
+    by_money = F.when(urgent, 0.0).when(business, 0.2).otherwise(w["cost"])
+    by_risk = F.when(urgent, 0.0).otherwise(w["risk"])
+    total = by_time * c("__t") + by_money * money + w["comfort"] * (1.0 - c("comfort")) + by_risk * c("risk") + w["eco"] * F.least(F.lit(1.0), c("grams") / FULL_GRAMS) + c("__worry") + c("__missed")
 
     suits = F.when(~(business & c("mode").isin(*FREIGHT)), 1.0).when((kind == "micro_mobility") & (c("mode") == "cargo_bike"), 0.6).when(kind.isin("heavy_freight", "medium_freight"), 0.65).otherwise(0.7)
     trunk = F.when((kind == "transit") & c("mode").isin(*TRUNK) & (or_("legs", 1) >= 3), 0.75).otherwise(1.0)
     liked = F.least(F.greatest(c("preference"), F.lit(0.0)), F.lit(1.0))
     liking = F.when(c("preference").isNull(), 1.0).otherwise(F.least(F.greatest(1.40 - 0.65 * liked, F.lit(0.75)), F.lit(1.40)))
-    return options.withColumn("cost", total * suits * trunk * (1.0 - HABIT * or_("habit", 0.0)) * or_("factor", 1.0) * liking)
+    priced = felt.withColumns({"__total": total, "__suits": suits, "__trunk": trunk, "__liking": liking})
+    return priced.select(*kept, (c("__total") * c("__suits") * c("__trunk") * (1.0 - HABIT * or_("habit", 0.0)) * or_("factor", 1.0) * c("__liking")).alias("cost"))
 
 
-def chosen(options: DataFrame, who: str, listed: str) -> DataFrame:
-    """The option of least ``cost`` for each ``who``, of equal ones the first by ``listed``."""
-    best = options.groupBy(who).agg(F.min_by(F.struct(*(c for c in options.columns if c != who)), F.struct("cost", listed)).alias("best"))
-    return best.select(who, "best.*")
+def cheapest(options: DataFrame, who: str, order: list[str]) -> DataFrame:
+    """who, mode, cost (the least), options (their number): the mode of the option of each ``who`` that comes first by ``order``, in one pass over ``options`` (who, mode, cost and the columns of ``order``)."""
+    return options.groupBy(who).agg(F.min_by("mode", F.struct(*order)).alias("mode"), F.min("cost").alias("cost"), F.count("*").alias("options"))

@@ -123,7 +123,7 @@ def cheapest_decisions(spark, sf_dir):
         (s % 4 == 0).alias("charger_free"), F.lit(None).cast("double").alias("wait_min"), F.lit(None).cast("double").alias("kwh_price"), (p % 3 * 1.0).alias("detour_km"), (1.0 + o % 2 * 0.2).alias("grid_stress"), n.alias("legs"), (p % 5 / 10.0).alias("habit"),
         F.when(p % 4 == 0, p % 8 / 7.0).alias("preference"), F.when(mode == "car", 1.1).alias("factor"),
     )
-    costs = decisions.decision_costs(rows)
-    # Costs that agree to 9 digits are equal, options of one number go by mode.
-    best = decisions.chosen(costs.select("agent", "mode", F.round("cost", 9).alias("cost"), F.struct("option", "mode").alias("listed")), "agent", "listed")
-    return best.join(costs.groupBy("agent").agg(F.count("*").alias("options"), F.round(F.min("cost"), 6).alias("least")), "agent").select("agent", "mode", F.col("least").alias("cost"), "options")
+    costs = decisions.decision_costs(rows).select("agent", "option", "mode", "cost")
+    # Costs that agree to 9 digits are equal, options of one number go by mode; costs are worked out once.
+    found = decisions.cheapest(costs.withColumn("rounded", F.round("cost", 9)), "agent", ["rounded", "option", "mode"])
+    return found.select("agent", "mode", F.round("cost", 6).alias("cost"), "options")

@@ -34,3 +34,9 @@ def test_peaks_of_events_without_a_value(spark, tmp_path):
     con.sql(f"CREATE TABLE events AS SELECT CAST(event_id AS BIGINT) AS event_id, TIMESTAMP '2024-01-01' AS ts, CAST(user_id AS BIGINT) AS user_id, 'click' AS event_type, CAST(value AS DOUBLE) AS value, '' AS props FROM (VALUES {rows}) t(event_id, user_id, value)")
     con.sql(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
     same(catalog.QUERIES["journey_summary"](spark, str(tmp_path)), catalog.ORACLE_SQL["journey_summary"], con)
+
+
+def test_costs_of_decisions_are_worked_out_once(spark):
+    plan = catalog.QUERIES["cheapest_decisions"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    # One scan, one exchange: the least cost and the number of options come with the mode.
+    assert plan.count("FileScan parquet") == 1 and plan.count("Exchange hashpartitioning") == 1
