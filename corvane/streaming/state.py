@@ -14,12 +14,15 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from corvane.functions.geo import haversine_km
+from corvane.operators.graph import kept
 
 #: The beginning of channel names, and the priorities that have channels of their own.
 PREFIX = "rtd:events"
 PRIORITIES = {3: "high", 4: "critical"}
 #: Degrees of a cell in which agents and events meet.
 CELL = 0.05
+#: Slices of time that events and stays meet in, at most.
+MOST_SLICES = 100_000
 
 # Times are microseconds inside, which no time zone touches.
 _LOCATION = StructType([StructField("at", LongType()), StructField("lon", DoubleType()), StructField("lat", DoubleType()), StructField("radius_km", DoubleType())])
@@ -93,11 +96,11 @@ def agent_changes(updates: DataFrame, idle: int = 86_400, strict: bool = True) -
     return out.select("agent", F.timestamp_micros("us").alias("ts"), timed("gone"), timed("here"))
 
 
-def _cells(lon: Column, lat: Column, km: Column) -> Column:
+def _cells(lon: Column, lat: Column, km: Column, size: Column | float = CELL) -> Column:
     """Cells that a circle comes into: rows of latitude, and in them columns as wide as it gets there."""
     high = km / 110.5
     wide = high / F.greatest(F.cos(F.radians(F.least(F.abs(lat) + high, F.lit(89.0)))), F.lit(math.cos(math.radians(89.0))))
-    span = lambda x, by: F.sequence(F.floor((x - by) / CELL), F.floor((x + by) / CELL))
+    span = lambda x, by: F.sequence(F.floor((x - by) / size), F.floor((x + by) / size))
     return F.flatten(F.transform(span(lat, high), lambda j: F.transform(span(lon, wide), lambda i: F.struct(i.alias("i"), j.alias("j")))))
 
 
@@ -110,28 +113,56 @@ def cell_changes(changes: DataFrame) -> DataFrame:
     return changes.select("agent", "ts", F.explode(F.coalesce(every, F.array())).alias("c")).select("c.i", "c.j", "agent", "ts", "c.kind", "c.lon", "c.lat", "c.radius_km")
 
 
+def _level(km: Column) -> Column:
+    """The level whose cells are at least as high as a circle's radius; cells of each level are twice as wide as those before."""
+    return F.greatest(F.ceil(F.log2(F.greatest(km, F.lit(0.001)) / (110.5 * CELL))), F.lit(0)).cast("int")
+
+
+def _seconds(rows: DataFrame, column: str) -> Column:
+    """Whole seconds in the order of a time, with a time zone or without."""
+    if rows.schema[column].dataType.typeName() != "timestamp_ntz":
+        return F.unix_seconds(column)
+    return F.datediff(column, F.lit("1970-01-01").cast("date")).cast("long") * 86_400 + F.hour(column) * 3600 + F.minute(column) * 60 + F.floor(F.second(column))
+
+
 def meetings(steps: DataFrame, events: DataFrame) -> DataFrame:
     """event_id, agent, ts, km: events (event_id, ts, lon, lat, radius_km) and the agents that are near enough when they happen, within the larger of both radii.
 
-    ``steps``: i, j, agent, since, until, lon, lat, radius_km: how long agents were in the cells that their circles come into (until null: still). Both sides meet by cell, each
-    pair in one cell alone: that of the agent if the event reaches it, else that of the event.
+    ``steps``: agent, since, until, lon, lat, radius_km: where agents were for how long (until null: still). Both sides meet by cell and slice of time, each pair
+    once: at the level of the larger radius, in the agent's own cell and the event's own slice. Slices are as long as the mean stay, so stays are
+    in two slices on average, however long some of them last.
     """
-    placed = events.filter("lon IS NOT NULL AND lat IS NOT NULL").withColumn("reach", F.coalesce("radius_km", F.lit(0.0)))
-    e = placed.select("event_id", "ts", F.col("lon").alias("x"), F.col("lat").alias("y"), "reach", F.explode(_cells(F.col("lon"), F.col("lat"), F.col("reach"))).alias("c")).select("event_id", "ts", "x", "y", "reach", "c.i", "c.j")
-    met = steps.join(e, ["i", "j"]).filter("since <= ts AND (until IS NULL OR ts < until)").withColumn("km", haversine_km(F.col("lon"), F.col("lat"), F.col("x"), F.col("y")))
-    own = lambda lon, lat: (F.floor(F.col(lon) / CELL) == F.col("i")) & (F.floor(F.col(lat) / CELL) == F.col("j"))
-    near = F.when(F.col("km") <= F.col("reach"), own("lon", "lat")).otherwise((F.col("km") <= F.col("radius_km")) & own("x", "y"))
-    return met.filter(near).select("event_id", "agent", "ts", "km")
+    e = events.filter("lon IS NOT NULL AND lat IS NOT NULL AND ts IS NOT NULL").select("event_id", "ts", _seconds(events, "ts").alias("at"), F.col("lon").alias("x"), F.col("lat").alias("y"), F.coalesce("radius_km", F.lit(0.0)).alias("reach")).withColumn("theirs", _level(F.col("reach")))
+    # Some twenty levels at most reach the driver.
+    times = e.groupBy("theirs").agg(F.min("at").alias("first"), F.max("at").alias("last")).collect()
+    first, last = min((r["first"] for r in times), default=0), max((r["last"] for r in times), default=0)
+    held = steps.filter("lon IS NOT NULL AND lat IS NOT NULL AND radius_km IS NOT NULL").select("agent", "since", "until", "lon", "lat", "radius_km", _level(F.col("radius_km")).alias("own"), F.greatest(_seconds(steps, "since"), F.lit(first)).alias("from"), F.least(F.coalesce(_seconds(steps, "until"), F.lit(last)), F.lit(last)).alias("to"))
+    held = kept(held.filter(F.col("from") <= F.col("to")))
+    radii = held.groupBy("own").agg(F.max("radius_km").alias("most"), F.count("*").alias("n"), F.sum((F.col("to") - F.col("from")).cast("double")).alias("seconds")).collect()
+    number = max(1, sum(r["n"] for r in radii))
+    long = int(max(sum(r["seconds"] for r in radii) / number, (last - first) / MOST_SLICES)) + 1
+    size = lambda level: F.lit(CELL) * F.pow(F.lit(2.0), level)
+    levels = lambda mine, others: F.filter(F.array(*(F.lit(n) for n in sorted(set(others))), mine), lambda n: n >= mine)
+    here = held.withColumn("level", F.explode(F.array_distinct(levels(F.col("own"), [r["theirs"] for r in times]))))
+    here = here.select("*", F.floor(F.col("lon") / size(F.col("level"))).alias("i"), F.floor(F.col("lat") / size(F.col("level"))).alias("j"), F.explode(F.sequence(F.floor(F.col("from") / long), F.floor(F.col("to") / long))).alias("slice")).drop("from", "to")
+    most = F.lit(0.0)
+    for r in radii:
+        most = F.greatest(most, F.when(F.col("level") >= r["own"], F.lit(float(r["most"]))).otherwise(0.0))
+    there = e.withColumn("level", F.explode(F.array_distinct(levels(F.col("theirs"), [r["own"] for r in radii]))))
+    there = there.withColumn("c", F.explode(_cells(F.col("x"), F.col("y"), F.greatest(F.col("reach"), most), size(F.col("level")))))
+    there = there.select("event_id", "ts", "x", "y", "reach", "theirs", "level", "c.i", "c.j", F.floor(F.col("at") / long).alias("slice"))
+    met = here.join(there, ["level", "i", "j", "slice"]).filter((F.greatest("own", "theirs") == F.col("level")) & (F.col("since") <= F.col("ts")) & F.coalesce(F.col("ts") < F.col("until"), F.lit(True)))
+    met = met.withColumn("km", haversine_km(F.col("lon"), F.col("lat"), F.col("x"), F.col("y")))
+    return met.filter(F.col("km") <= F.greatest("reach", "radius_km")).select("event_id", "agent", "ts", "km")
 
 
 def stays(changes: DataFrame) -> DataFrame:
-    """i, j, agent, since, until, lon, lat, radius_km of the ``changes`` of agents so far (a table that :func:`agent_changes` wrote)."""
+    """agent, since, until, lon, lat, radius_km of the ``changes`` of agents so far (a table that :func:`agent_changes` wrote)."""
     from pyspark.sql import Window
 
     by = Window.partitionBy("agent").orderBy("ts", F.col("here").isNotNull())
     held = changes.withColumn("until", F.lead("ts").over(by)).filter("here IS NOT NULL")
-    cells = _cells(F.col("here.lon"), F.col("here.lat"), F.col("here.radius_km"))
-    return held.select("agent", F.col("ts").alias("since"), "until", "here.lon", "here.lat", "here.radius_km", F.explode(cells).alias("c")).select("c.i", "c.j", "agent", "since", "until", "lon", "lat", "radius_km")
+    return held.select("agent", F.col("ts").alias("since"), "until", "here.lon", "here.lat", "here.radius_km")
 
 
 class _Living(StatefulProcessor):

@@ -126,3 +126,28 @@ def test_a_batch_sent_twice_is_published_once(spark, tmp_path):
     stats = {r.channel: (r.events, r.batches) for r in state.bus_statistics(found).collect()}
     assert stats["rtd:events:grid:high"] == (2, 2) and sum(n for n, _ in stats.values()) == 20
     assert frame.filter(state.channel(F.col("event_type"), F.col("priority")).isNull()).count() == 0
+
+
+def test_meetings_of_long_and_short_stays(spark):
+    rng = random.Random(5)
+    spot = lambda: (rng.choice([0.0, 55.0]) + rng.random() / 4, 55 + rng.random() / 4)
+    changes = []
+    for a in range(12):
+        at = START
+        for _ in range(1 if a < 3 else 40):
+            changes.append((a, at, (at, *spot(), rng.choice([0.0, 2.0, 7.0, 40.0]))))
+            at += timedelta(seconds=rng.choice([1, 60, 5000]))
+    events = [(i, START + timedelta(seconds=rng.randrange(90_000)), *spot(), rng.choice([None, 0.0, 6.0, 90.0])) for i in range(60)]
+    held = state.stays(spark.createDataFrame(changes, "agent int, ts timestamp, here struct<at: timestamp, lon: double, lat: double, radius_km: double>"))
+    # A stay is one row, however many cells its circle comes into.
+    assert held.count() == len(changes)
+    frame = spark.createDataFrame(events, "event_id int, ts timestamp, lon double, lat double, radius_km double")
+    want = []
+    for i, ts, lon, lat, radius in events:
+        for a in range(12):
+            now = [w[2] for w in changes if w[0] == a and w[1] <= ts][-1]
+            want += [(i, a)] * (km((lon, lat), now[1:3]) <= max(radius or 0.0, now[3]))
+    assert sorted((r.event_id, r.agent) for r in state.meetings(held, frame).collect()) == sorted(want) and want
+    zoneless = state.meetings(held.withColumns({c: held[c].cast("timestamp_ntz") for c in ("since", "until")}), frame.withColumn("ts", frame["ts"].cast("timestamp_ntz")))
+    assert sorted((r.event_id, r.agent) for r in zoneless.collect()) == sorted(want)
+    assert state.meetings(held, frame.filter("event_id < 0")).count() == 0 and state.meetings(held.filter("agent < 0"), frame).count() == 0
