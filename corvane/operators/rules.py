@@ -61,26 +61,32 @@ def whitelist(jobs: DataFrame, personas: DataFrame, rules: DataFrame) -> DataFra
     another operator for none, one of a persona that is not in ``personas`` (persona) neither. A job's value of a field is that of its parameters, where that is
     missing or empty that of the job itself, else empty; letter case is ignored.
 
-    Rules meet the distinct values of fields, not jobs: equality by a hash join, ``contains`` by an index of pieces.
+    Rules meet the distinct values of fields, not jobs: equality by a hash join, ``contains`` by an index of pieces. Of like rules of a persona the first stands for all; of those
+    that exclude a value, the first and the first that excludes another one.
     """
     known = rules.join(personas.select("persona").distinct(), "persona", "left_semi")
-    always = known.filter("field IS NULL AND operator IS NULL").agg(F.collect_list(F.struct("rule", "persona")).alias("always"))
+    always = known.filter("field IS NULL AND operator IS NULL").groupBy("persona").agg(F.min("rule").alias("rule")).agg(F.collect_list(F.struct("rule", "persona")).alias("always"))
     conditions = known.filter("field IS NOT NULL OR operator IS NOT NULL")
-    conditions = kept(conditions.select("rule", "persona", F.coalesce("field", F.lit("")).alias("field"), F.coalesce("operator", F.lit("equals")).alias("operator"), F.lower(F.coalesce("value", F.lit(""))).alias("part")))
+    conditions = conditions.select("rule", "persona", F.coalesce("field", F.lit("")).alias("field"), F.coalesce("operator", F.lit("equals")).alias("operator"), F.lower(F.coalesce("value", F.lit(""))).alias("part"))
+    conditions = kept(conditions.groupBy("persona", "field", "operator", "part").agg(F.min("rule").alias("rule")))
     fields = [r["field"] for r in conditions.select("field").distinct().limit(MOST_FIELDS + 1).collect()]
     if len(fields) > MOST_FIELDS:
         raise ValueError(f"rules name more than {MOST_FIELDS} fields")
     value = lambda f: F.lower(F.coalesce(F.nullif(F.try_element_at("parameters", F.lit(f)), F.lit("")), F.try_element_at("top", F.lit(f)), F.lit("")))
     listed = F.array(*(F.struct(F.lit(f).alias("field"), value(f).alias("value")) for f in fields)) if fields else F.expr("cast(array() AS array<struct<field: string, value: string>>)")
-    held = kept(jobs.select("job", F.inline(listed)))
+    held = kept(jobs.select("job", F.inline(listed)).repartition("job"))
     values = kept(held.select("field", "value").distinct())
     of = lambda operator: conditions.filter(F.col("operator") == operator)
     same = of("equals").withColumnRenamed("part", "value").join(values, ["field", "value"]).select("rule", "persona", "field", "value")
-    other = of("not_equals").join(values, "field").filter("part <> value").select("rule", "persona", "field", "value")
+    unlike = of("not_equals").select("field", "persona", "part", "rule")
+    lead = unlike.groupBy("field", "persona").agg(F.min(F.struct("rule", "part")).alias("lead"))
+    second = unlike.join(lead, ["field", "persona"]).filter("part <> lead.part").groupBy("field", "persona").agg(F.min(F.struct("rule", "part")).alias("lead"))
+    other = lead.unionByName(second).select("field", "persona", "lead.rule", "lead.part").join(values, "field").filter("part <> value").select("rule", "persona", "field", "value")
     inside = of("contains").join(containing(values, of("contains").select("field", "part").distinct()), ["field", "part"]).select("rule", "persona", "field", "value")
     hits = same.unionByName(other).unionByName(inside).groupBy("field", "value", "persona").agg(F.min("rule").alias("rule"))
-    first = held.join(hits, ["field", "value"]).groupBy("job", "persona").agg(F.min("rule").alias("rule"))
-    mine = first.groupBy("job").agg(F.collect_list(F.struct("rule", "persona")).alias("mine"))
+    # A value's personas go to a job in one list.
+    hits = hits.groupBy("field", "value").agg(F.collect_list(F.struct("rule", "persona")).alias("who"))
+    mine = held.join(hits, ["field", "value"]).groupBy("job").agg(F.flatten(F.collect_list("who")).alias("mine"))
     # One row, the rules that hold for all.
     out = jobs.select("job").distinct().join(mine, "job", "left").crossJoin(F.broadcast(always))
     ordered = F.sort_array(F.concat(F.coalesce("mine", F.expr("slice(always, 1, 0)")), F.col("always")))
