@@ -84,8 +84,7 @@ def parent_rescue(spark, sf_dir):
 
 @query(f"""WITH a AS ({_points('customer', 'c_custkey')}), b AS ({_points('supplier', 's_suppkey')}) SELECT a.id, b.id AS other, round({_KM}, 6) AS km FROM a, b WHERE {_KM} <= 1.5""")
 def radius_pairs(spark, sf_dir):
-    out = joins.radius_join(_at(table(spark, sf_dir, "customer"), "c_custkey"), _at(table(spark, sf_dir, "supplier"), "s_suppkey"), 1.5)
-    return _rounded(out, 6, "km")
+    return joins.radius_join(_at(table(spark, sf_dir, "customer"), "c_custkey"), _at(table(spark, sf_dir, "supplier"), "s_suppkey"), 1.5, 6)
 
 
 @query(f"""WITH a AS ({_points('customer', 'c_custkey')}), b AS ({_points('supplier', 's_suppkey')}), p AS (SELECT a.id, b.id AS other, {_KM} AS km FROM a, b WHERE {_KM} <= 2),

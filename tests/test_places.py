@@ -20,6 +20,22 @@ def test_radius_join_builds_no_pair_beyond_the_radius(spark):
     assert {r.other: r["count"] for r in got} == {0: N // 2, 2: N // 2}
 
 
+def test_pairs_of_one_place_are_dealt_out(spark):
+    # 16 million pairs of one place and the next one; tasks give about as many each.
+    left, right = _rows(spark, 4000).filter("id % 2 = 0"), _rows(spark, 8000).filter("id % 2 = 1")
+    got = joins.radius_join(left.union(left), right, 0.5, 1).groupBy(F.spark_partition_id().alias("task"), "km").count().collect()
+    assert {r.km for r in got} == {0.4} and sum(r["count"] for r in got) == 4000 * 4000
+    assert max(r["count"] for r in got) < 0.6 * 4000 * 4000
+
+
+def test_radius_join_keeps_rows_without_id(spark, monkeypatch):
+    monkeypatch.setattr(joins, "TOGETHER", 2)
+    frame = lambda rows: spark.createDataFrame(rows, "id int, lon double, lat double")
+    left = frame([(None, 0.0, 0.0), (1, 0.0, 0.0), (1, 0.0, 0.0), (2, 0.0, 0.001), (3, None, 0.0), (4, 1.0, None), (None, -0.0, 0.0)])
+    got = sorted((str(r.id), r.other) for r in joins.radius_join(left, frame([(7, 0.0, 0.0), (7, 0.0, 0.0), (8, 0.0, 0.0), (9, None, None)]), 0.05).collect())
+    assert got == sorted((str(x), y) for x in (None, None, 1, 1) for y in (7, 7, 8))
+
+
 def test_nearest_join_at_one_place(spark):
     got = joins.nearest_join(_rows(spark), _rows(spark), 1.0).groupBy("nearest", "km").count().collect()
     assert {(r.nearest, r.km): r["count"] for r in got} == {(0, 0.0): N // 2, (1, 0.0): N // 2}
